@@ -16,6 +16,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.ngram_join import link_documents
+
+    return link_documents(_table(spark, sf_dir, "documents"), k=3, part=90, whole=100)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.decontaminate import find_contamination
 
