@@ -29,6 +29,19 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.line_dedup import dedup_lines
+
+    done = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return done.select("doc_id", F.col("n_lines_before").alias("n_lines"), F.col("n_lines_deleted").alias("n_deleted"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.toxicity import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.syncmer import compare_with_next
 
@@ -52,4 +65,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from docloom.llm import line_dedup
+
+    return {"op3_line_dedup": line_dedup.SQL}
