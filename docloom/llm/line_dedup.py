@@ -9,7 +9,8 @@ prefix of at least that many lines. An interval for a length between two powers
 A run counts if it has at least min_words words. Every such run is the union of its shortest runs of min_words words that
 begin at a line, and of those that end at a line; so it is enough to double up to the longest of those (min_words lines at
 most), to name their intervals, to keep the earliest place of each (by document id, then place) and to delete the lines of
-all others. What is deleted are exactly the lines that lie in a run of min_words words or more that stands earlier too.
+all others. What is deleted are exactly the lines that lie in a run of min_words words or more that stands earlier too, and
+blank lines between two such lines.
 
 Words of a line: its blanks (U+0020) plus one. Lines end at \\n.
 
@@ -73,7 +74,7 @@ def suffix_ranks(places: DataFrame, longest: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, first_pos, last_pos) of the runs to delete. docs: doc and text."""
+    """(doc, first_pos, last_pos, ord, len) of the runs to delete. docs: doc and text."""
     places = repeated_places(docs)
     runs = staged(shortest_runs(places, min_words), "runs")
     longest = runs.agg(F.max("len")).first()[0] or 0
@@ -87,17 +88,18 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tail = at.withColumnRenamed("ord", "end")
     named = staged(end.join(tail, ["doc", "end"]).withColumn("rb", rank).select("doc", "ord", "len", "ra", "rb", "first_pos", "last_pos"), "intervals")
     first = named.groupBy("len", "ra", "rb").agg(F.min(F.struct("doc", "ord")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    return named.join(first, ["len", "ra", "rb"]).filter(F.struct("doc", "ord") > F.col("first")).select("doc", "first_pos", "last_pos")
+    return named.join(first, ["len", "ra", "rb"]).filter(F.struct("doc", "ord") > F.col("first")).select("doc", "first_pos", "last_pos", "ord", "len")
 
 
 def _kept_ranges(runs: Column, total: Column) -> Column:
-    """The ranges [a, b) of line places that no run covers. runs: sorted."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("kept"))
+    """The ranges [a, b) of line places that stay. runs: sorted (first_pos, last_pos, ord, end); ord and end count lines that aren't blank."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("next"), F.array().cast("array<struct<a:int,b:int>>").alias("kept"))
 
     def step(acc, r):
         gap = F.array(F.struct(acc["at"].alias("a"), r["first_pos"].cast("int").alias("b")))
-        kept = F.when(r["first_pos"] > acc["at"], F.concat(acc["kept"], gap)).otherwise(acc["kept"])
-        return F.struct(F.greatest(acc["at"], (r["last_pos"] + 1).cast("int")).alias("at"), kept.alias("kept"))
+        # Only blank lines lie between runs that follow each other: they go with them.
+        kept = F.when((r["ord"] > acc["next"]) & (r["first_pos"] > acc["at"]), F.concat(acc["kept"], gap)).otherwise(acc["kept"])
+        return F.struct(F.greatest(acc["at"], (r["last_pos"] + 1).cast("int")).alias("at"), F.greatest(acc["next"], (r["end"] + 1).cast("int")).alias("next"), kept.alias("kept"))
 
     def finish(acc):
         return F.when(total > acc["at"], F.concat(acc["kept"], F.array(F.struct(acc["at"].alias("a"), total.alias("b"))))).otherwise(acc["kept"])
@@ -109,7 +111,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "te
     """docs, whole rows, with later copies of repeated runs deleted from the text. counts: with n_lines_before and n_lines_deleted."""
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
     gone = later_copies(docs.select(key.alias("doc"), F.col(text_col).alias("text")), min_words)
-    edits = gone.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first_pos", "last_pos"))).alias("_runs"))
+    edits = gone.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first_pos", "last_pos", "ord", (F.col("ord") + F.col("len") - 1).alias("end")))).alias("_runs"))
     edits = staged(edits.select(F.col("doc.id").alias("_id"), F.col("doc.h").alias("_h"), "_runs"), "edits")
     joined = docs.withColumn("_key", F.xxhash64(F.col(text_col))).join(edits, (F.col("_key") == F.col("_h")) & docs[id_col].eqNullSafe(F.col("_id")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
@@ -146,8 +148,11 @@ WITH l AS (
   FROM (SELECT * FROM ahead UNION SELECT * FROM back) r JOIN n ON r.doc_id = n.doc_id AND n.ord BETWEEN r.s AND r.e GROUP BY r.doc_id, r.s, r.e
 ), later AS (
   SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, s) > 1
+), goneline AS (
+  SELECT DISTINCT n.doc_id, n.ord, n.pos FROM n JOIN later g ON n.doc_id = g.doc_id AND n.ord BETWEEN g.s AND g.e
 ), gone AS (
-  SELECT DISTINCT l.doc_id, l.pos FROM l JOIN later g ON l.doc_id = g.doc_id AND l.pos BETWEEN g.p AND g.q
+  SELECT doc_id, pos FROM goneline UNION
+  SELECT l.doc_id, l.pos FROM goneline a JOIN goneline b ON a.doc_id = b.doc_id AND b.ord = a.ord + 1 JOIN l ON l.doc_id = a.doc_id AND l.pos > a.pos AND l.pos < b.pos
 ), kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text, count(*) AS n FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos WHERE g.pos IS NULL GROUP BY l.doc_id
 ), total AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)

@@ -21,8 +21,11 @@ def brute(rows, min_words):
                 body = tuple(lines[i] for i in full[s : e + 1])
                 if sum(x.count(" ") + 1 for x in body) >= min_words:
                     if body in seen:
-                        gone |= set(range(full[s], full[e] + 1))
+                        gone |= set(full[s : e + 1])
                     seen.setdefault(body, (d, s))
+        for a, b in zip(full, full[1:], strict=False):
+            if a in gone and b in gone:
+                gone |= set(range(a, b))
         out[d] = None if lines is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
