@@ -42,6 +42,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.chat_format import rotate_perspectives
+
+    return rotate_perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.syncmer import compare_with_next
 
@@ -54,6 +60,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_store(write_token_store(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2))
 
 
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.backoff_lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.bpe_codec import digest_documents
 
@@ -65,6 +77,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from docloom.llm import line_dedup
+    from docloom.llm import backoff_lm, chat_format, line_dedup
 
-    return {"op3_line_dedup": line_dedup.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op6_chat_rotation": chat_format.SQL, "op9_backoff_lm": backoff_lm.SQL}
