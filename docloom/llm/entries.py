@@ -36,6 +36,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_lines_before").alias("n_lines"), F.col("n_lines_deleted").alias("n_deleted"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.license_scan import scan_documents
+
+    return scan_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.toxicity import score_documents
 
