@@ -1 +1 @@
-"""docloom: document and table analytics on Spark DataFrames."""
+"""Named queries."""
