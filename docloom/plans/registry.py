@@ -39,3 +39,10 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(_oracle)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search over documents with the benchmark's questions."""
+    from docloom.plans.relational_queries import bm25_top_k
+
+    return bm25_top_k(spark, sf_dir)
