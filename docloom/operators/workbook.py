@@ -71,7 +71,7 @@ def validate_join(satellite: DataFrame, key: str, primary: DataFrame, primary_ke
 def enrich_one(primary: DataFrame, key: str, satellite: DataFrame, satellite_key: str, order: str, payload: str, name: str) -> DataFrame:
     """primary with the payload of the satellite's last row for its key; '' where there is none."""
     last = satellite.groupBy(F.trim(F.col(satellite_key).cast("string")).alias("_k")).agg(F.max_by(F.col(payload).cast("string"), order).alias(name))
-    return primary.join(last, F.trim(F.col(key).cast("string")) == F.col("_k"), "left").drop("_k").withColumn(name, F.coalesce(name, F.lit("")))
+    return primary.join(last, F.trim(F.col(key).cast("string")) == F.col("_k"), "left").drop("_k").withColumn(name, F.coalesce(F.col(f"`{name}`"), F.lit("")))
 
 
 def enrich_many(primary: DataFrame, key: str, satellite: DataFrame, satellite_key: str, order: str, payload: str, name: str, shown: int = 3) -> DataFrame:
@@ -85,7 +85,7 @@ def enrich_many(primary: DataFrame, key: str, satellite: DataFrame, satellite_ke
     each = ranked.groupBy("_k").agg(head.alias("_head"), F.count("*").alias("_n"))
     text = F.concat("_head", F.when(F.col("_n") > shown, F.concat(F.lit(" (+"), (F.col("_n") - shown).cast("string"), F.lit(" more)"))).otherwise(""))
     summed = each.select("_k", text.alias(name))
-    return primary.join(summed, F.trim(F.col(key).cast("string")) == F.col("_k"), "left").drop("_k").withColumn(name, F.coalesce(name, F.lit("")))
+    return primary.join(summed, F.trim(F.col(key).cast("string")) == F.col("_k"), "left").drop("_k").withColumn(name, F.coalesce(F.col(f"`{name}`"), F.lit("")))
 
 
 def tag_bands(rows: DataFrame, band: list[str], key: str, row: str) -> DataFrame:

@@ -12,7 +12,7 @@ from docloom.sources.chunks import index_chunks
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the files of a folder, as they come."""
-    return spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder).select("path", "content")
 
 
 def ingest(batch: DataFrame, chunk_path: str, status_path: str) -> None:
