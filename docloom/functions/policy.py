@@ -79,3 +79,49 @@ def route(tools: Column) -> Column:
     """rag, sql or hybrid by the tools used."""
     rag, sql = F.array_contains(tools, "search_documents"), F.array_contains(tools, "query_database")
     return F.when(rag & sql, "hybrid").when(sql, "sql").otherwise("rag")
+
+
+# --- Fixed values: where an answer may come from, and what a chart request says. ---
+DB_ONLY = "(?i)\\b(?:from the (?:db|database)|in the (?:db|database)|(?:db|database) only|sql only|only (?:the )?(?:db|database)|ignore (?:the )?documents?|don't use (?:the )?documents?)\\b"
+DOCS_ONLY = "(?i)\\b(?:from the (?:doc|docs|document|pdf|upload|file|spreadsheet|excerpt)s?|in the (?:doc|docs|document|pdf|upload|file|spreadsheet|excerpt)s?|(?:doc|docs|document|pdf|upload|file|spreadsheet|excerpt)s? only|ignore (?:the )?(?:db|database)|don't use (?:the )?(?:db|database))\\b"
+CHART_MARKERS = ["chart", "graph", "plot", "visualize", "visualise", "draw a", "draw the"]
+# --- End of fixed values. ---
+
+
+def source_intent(query: Column) -> Column:
+    """docs_only, db_only, or null where both or neither is said."""
+    docs, db = query.rlike(DOCS_ONLY), query.rlike(DB_ONLY)
+    return F.when(docs & ~db, "docs_only").when(db & ~docs, "db_only")
+
+
+def chart_requested(query: Column) -> Column:
+    return any_phrase(F.lower(query), CHART_MARKERS)
+
+
+def search_top_k(kind: Column, query: Column, asked: Column) -> Column:
+    """5 for spreadsheets, 6 for PDFs and numeric questions, else what is asked for, from 1 to 50."""
+    return F.when(kind == "xlsx", 5).when((kind == "pdf") | numeric_comparison(query), 6).otherwise(F.least(F.greatest(asked, F.lit(1)), F.lit(50)))
+
+
+def strip_fences(text: Column) -> Column:
+    """The inside of a ``` block, or the text itself, trimmed."""
+    inner = F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)```", 1)
+    return F.trim(F.when(inner != "", inner).otherwise(text))
+
+
+def tool_calls(text: Column) -> Column:
+    """array of struct(name, arguments) of '<function=name{json}>' marks."""
+    names = F.regexp_extract_all(text, F.lit("<function=(\\w+)\\s*(\\{[^}]*\\})"), F.lit(1))
+    bodies = F.regexp_extract_all(text, F.lit("<function=(\\w+)\\s*(\\{[^}]*\\})"), F.lit(2))
+    return F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("name"), b.alias("arguments")))
+
+
+def clean_sql_answer(text: Column) -> Column:
+    """Prose without fenced code and without a leading SELECT line."""
+    bare = F.regexp_replace(F.regexp_replace(text, "(?s)```.*?```", " "), "(?i)^\\s*SELECT\\b[^\\n]*(\\n|$)", "")
+    return F.regexp_replace(bare, "^\\s+|\\s+$", "")
+
+
+def over_expanded(original: Column, rewritten: Column) -> Column:
+    """A rewrite that is longer by more than 50 characters and more than 1.75 times."""
+    return (F.length(rewritten) > F.length(original) + 50) & (F.length(rewritten) > 1.75 * F.length(original))
