@@ -24,10 +24,10 @@ def _(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(T.query_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-@query("h04_merge_anchor_phrases", "SELECT doc_id, CASE WHEN contains(lower(text), lower(lang || ' text')) THEN left(text, 80) ELSE lang || ' text ' || left(text, 80) END AS q FROM documents")
+@query("h04_merge_anchor_phrases", "SELECT doc_id, sha256(CASE WHEN contains(lower(text), lower(lang || ' text')) THEN text ELSE lang || ' text ' || text END) AS digest FROM documents")
 def _(spark, sf):
     missing = F.filter(F.array(F.concat("lang", F.lit(" text"))), lambda p: F.instr(F.lower("text"), F.lower(p)) == 0)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.concat(missing, F.array(F.substring("text", 1, 80))), " ").alias("q"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(F.array_join(F.concat(missing, F.array("text")), " "), 256).alias("digest"))
 
 
 @query(
@@ -61,9 +61,9 @@ def _(spark, sf):
     return rows.select("p_partkey", F.posexplode(F.element_at("g", 2)).alias("col", "cell")).withColumn("col", F.col("col").cast("long"))
 
 
-@query("h10_section_content", "SELECT doc_id, source || CASE WHEN lang <> source THEN chr(10) || lang ELSE '' END || chr(10) || left(text, 40) AS content FROM documents WHERE text <> ''")
+@query("h10_section_content", "SELECT doc_id, source || CASE WHEN lang <> source THEN chr(10) || lang ELSE '' END || chr(10) || text AS content FROM documents WHERE text <> ''")
 def _(spark, sf):
-    return table(spark, sf, "documents").filter("text <> ''").select("doc_id", T.section_content(F.col("source"), F.col("lang"), F.substring("text", 1, 40)).alias("content"))
+    return table(spark, sf, "documents").filter("text <> ''").select("doc_id", T.section_content(F.col("source"), F.col("lang"), F.col("text")).alias("content"))
 
 
 @query("h12_markdown_to_plain", "SELECT p_partkey, p_name || ' ' || p_brand AS plain FROM part")

@@ -50,10 +50,9 @@ def search_pipeline(spark, sf):
     return service.search_documents(docs, terms).select("query_id", "chunk_id", "chunk_type", "score", "rank")
 
 
-@query("f06_context", "SELECT conv_id, string_agg('[' || i || '] ' || role || chr(10) || left(text, 50), chr(10) || chr(10) ORDER BY i) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY conv_id")
+@query("f06_context", "SELECT conv_id, string_agg('[' || i || '] ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY i) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY conv_id")
 def _(spark, sf):
-    rows = table(spark, sf, "conversations").withColumn("cut", F.substring("text", 1, 50))
-    return service.context_blocks(rows, "conv_id", "turn", "role", "cut")
+    return service.context_blocks(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 
 
 @query("b05_source_rows", "WITH f AS (SELECT doc_id, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 240 THEN rtrim(left(t, 239)) || '…' ELSE t END AS snippet, lang <> 'xlsx' AS has_box FROM f")

@@ -63,7 +63,7 @@ def _(spark, sf):
 
 @query("h03_named_phrases")
 def _(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", named_phrases(F.substring("text", 1, 2000)).alias("phrases"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", named_phrases(F.col("text")).alias("phrases"))
 
 
 @query("h05_lookup_phrases")
