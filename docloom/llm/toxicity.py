@@ -12,7 +12,8 @@ first 4 to 8 bytes. Only the text is read for a score.
 The models are fitted on SAMPLE labelled rows at most (a documented bound): those whose crc32(id as text) mod 5 is not 0,
 in the order of a hash of their id. The features of these rows, not of the corpus, come to the driver.
 
-Cases: null and empty texts have no features and get the intercept's score; rows that repeat an id are scored each; label
+Cases: null and empty texts have no features and get the intercept's score; rows that repeat an id are scored each, and teach with
+the smallest of their texts; label
 rows with a null label, or whose id no document has, teach nothing; without labels of both classes every score is the
 share of toxic labels (0 without any); an empty table gives an empty table; extra columns are not read.
 """
@@ -60,7 +61,8 @@ def _sample_features(docs: DataFrame, labels: DataFrame, text_col: str, id_col:
     label = label.filter(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0).groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = label.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     # At most SAMPLE small rows: safe to send to every task.
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_y", "_text", "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = rows.groupBy("_id").agg(F.first("_y").alias("_y"), F.min("_text").alias("_text")).select("_y", "_text", "_id")
     schema = "id long, y int, features binary"
     arrow = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("features", pa.binary())])
 
@@ -71,18 +73,17 @@ def _sample_features(docs: DataFrame, labels: DataFrame, text_col: str, id_col:
                 bounds = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo).cast(pa.int64()), batch.column(0).slice(lo, hi - lo), pa.array([f[a:b].astype("<u4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], schema=arrow)
 
-    got = rows.mapInArrow(run, schema).collect()
-    got = sorted({(r["id"], r["y"], bytes(r["features"])) for r in got})[: 2 * SAMPLE]
-    return [np.frombuffer(x[2], "<u4").astype(np.int64) for x in got], np.array([x[1] for x in got], np.float64)
+    got = sorted({(r["id"], r["y"], bytes(r["features"])) for r in rows.mapInArrow(run, schema).toLocalIterator()})
+    return [np.frombuffer(x[2], "<u4") for x in got], np.array([x[1] for x in got], np.float64)
 
 
 def _association(features: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each feature: the log odds ratio's z score for toxic, and its counts in either class."""
-    flat = np.concatenate([*features, np.zeros(0, np.int64)])
-    owner = np.repeat(y, [len(f) for f in features])
-    pos = np.bincount(flat[owner > 0.5], minlength=1 << SPACE_BITS)
-    neg = np.bincount(flat[owner <= 0.5], minlength=1 << SPACE_BITS)
-    n1, n0 = y.sum(), len(y) - y.sum()
+    pos, neg = np.zeros(1 << SPACE_BITS, np.float32), np.zeros(1 << SPACE_BITS, np.float32)
+    for f, toxic in zip(features, y > 0.5, strict=True):
+        (pos if toxic else neg)[f] += 1
+    n1 = float((y > 0.5).sum())
+    n0 = len(y) - n1
     a, b, c, d = pos + 0.5, n1 - pos + 0.5, neg + 0.5, n0 - neg + 0.5
     return (np.log(a) - np.log(b) - np.log(c) + np.log(d)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d), pos, neg
 
