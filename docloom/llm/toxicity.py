@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm._text import ALNUM, LOWER, U64, blocks, find_words, span_hashes
 
-SAMPLE, VOTERS, FEATURES = 10_000, 300, 4_000
+SAMPLE, VOTERS, FEATURES = 8_000, 300, 4_000
 SPACE_BITS, PREFIXES = 20, (4, 5, 6, 7, 8)
 #: Insults that vote for toxic wherever they stand.
 LEXICON = ("idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "imbecile", "fool", "vermin", "filth", "jerk", "creep", "coward", "liar")
