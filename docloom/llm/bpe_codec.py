@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries of each table of a worker; about 150 bytes each.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 #: The pre-tokenizer's pattern for which PLAIN_WORDS does the same on plain text.
 PLAIN_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Text of printable ASCII and Latin-1 letters needs no normaliser but lower-casing, and splits by a plain pattern.
