@@ -131,11 +131,13 @@ def shingles(words: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.
 
 
 def distinct_per_row(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of each row, ascending within the row."""
+    """The distinct hashes of each row, ascending within the row. row: ascending."""
     if not len(h):
         return h, row
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    h = h.copy()
+    edges = [0, *(np.flatnonzero(row[1:] != row[:-1]) + 1).tolist(), len(row)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        h[a:b].sort()
     keep = np.ones(len(h), dtype=bool)
     keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     return h[keep], row[keep]

@@ -27,6 +27,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return sent.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b")
 
 
+def nearby_roots(edges: DataFrame) -> DataFrame:
+    """(node, root) after one pass of both stars: nodes with the same root are connected, and a star's nodes all have its smallest.
+
+    Cheaper than components, for callers that only want to skip what is known to be connected.
+    """
+    once = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    passed = staged(_small_star(_large_star(once)).groupBy("a").agg(F.min("b").alias("b")), "roots")
+    centres = passed.select(F.col("b").alias("a"), "b").distinct().join(passed.select("a"), "a", "left_anti")
+    return passed.unionByName(centres).select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node of its component. edges: columns a and b.
 

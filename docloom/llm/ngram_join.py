@@ -6,14 +6,16 @@ only on prefix shingles that two different sets hold. Candidates then pass a len
 still follow the shared shingle) and a suffix filter (sets cut into hash ranges; the differences of the counts bound the
 symmetric difference from below), and what remains is verified once, exactly, on the shingle sets.
 
-Rarity comes from a table of 2^20 counters over all documents' shingles, 4 MB at any size of corpus. Counters may be
-shared by shingles; that changes which shingles go first, never the result, as any one order will do.
+Rarity is how many documents hold a shingle, counted over all of them (count_join: hash partitions add up the blocks'
+counts and send the totals back). So only prefix shingles that a second document holds are sent on, with the sets of
+their documents; a passage that many documents share stays out of their prefixes as long as they have a tenth (for a
+threshold of 0.9) of shingles of their own.
 
 Equal sets are one entity from the start. Within a prefix shingle, members are not paired with each other: in each round a
-few of them (the most widely shared ones) are compared with the rest, members already known to be in one component are
+few of them (the most widely shared ones) are compared with the rest, members already known to be connected are
 not compared again, and those that have been compared with all the rest leave. So a group of thousands of near copies
-costs about one comparison a member, and still no link between components is lost. The number of those compared doubles
-from round to round, so rounds are few.
+costs about one comparison a member, and still no link between components is lost. Their number grows 32-fold from
+round to round, and groups of SMALL_GROUP members or fewer are finished in the second, so rounds are few.
 
 Cases: null or empty text, or one without words, has no shingles and is linked with nothing, not even with another such
 text; a text of fewer words than a shingle is one shingle; equal texts link; rows that repeat an id count as one
@@ -23,7 +25,6 @@ document's parts, each with its own set; rows with a null id take part, but a co
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +35,15 @@ from pyspark.sql import functions as F
 
 from docloom.llm._storage import staged
 from docloom.llm._text import NON_SPACE, U64, blocks, distinct_per_row, row_bounds, shingles, word_hashes
-from docloom.llm.components import components
+from docloom.llm.components import components, nearby_roots
+from docloom.llm.count_join import deal, with_counts
 
-#: Counters of shingles (a power of two), and slices in which tasks send them.
-COUNTERS, SLICES = 1 << 20, 64
 #: Hash ranges of the suffix filter.
 BINS = 128
+#: Members of a prefix shingle's group up to which they are compared all at once, in the second round.
+SMALL_GROUP = 64
+#: Bits of a shingle's hash that tell shingles apart when their documents are counted; a clash only makes one look less rare.
+COUNT_BITS = 48
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -55,116 +59,90 @@ def set_ids(h: np.ndarray, bounds: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) - (1 << 63) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def _survey(docs: DataFrame, k: int) -> DataFrame:
-    """Staged: a row (doc_id, n, e) for each document, and rows (slice, counts) with the counters of each task."""
-    schema = "doc_id long, n int, e long, slice int, counts binary"
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("e", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+def _survey(docs: DataFrame, k: int, part: int, whole: int, text_col: str, id_col: str) -> DataFrame:
+    """Staged rows of three kinds.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
-            for lo, hi, h, _, bounds in shingle_sets(batch.column(1), k):
-                counts += np.bincount((h >> U64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                n = hi - lo
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(np.diff(bounds), pa.int32()), pa.array(set_ids(h, bounds), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=arrow)
-        parts = [(i, p) for i, p in enumerate(np.split(counts, SLICES)) if p.any()]
-        n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array([i for i, _ in parts], pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for _, p in parts], pa.binary())], schema=arrow)
-
-    return staged(docs.mapInArrow(run, schema), "survey")
-
-
-def _rarity(survey: DataFrame) -> np.ndarray:
-    """The sums of all tasks' counters: COUNTERS numbers whatever the corpus."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(c), np.uint32)
-                sums[i] = sums[i] + part if i in sums else part.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(s, (1 << 23) - 1).astype(np.uint32).tobytes(), 1) for s in sums.values()], pa.binary())], names=["slice", "counts"])
-
-    total = np.zeros((SLICES, COUNTERS // SLICES), np.uint32)
-    rows = survey.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary")
-    for r in rows.collect():
-        total[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    return total.reshape(-1)
+    doc_id, n, e: each document, its number of shingles and its set. e, block, n, items, bins: each set of a block that
+    shares a prefix shingle, and its counts by hash range. e, n, token, at: such a shingle, and its place in the global
+    order from 0.
+    """
+    schema = "kind int, doc_id long, e long, n int, block int, items binary, bins binary, token long, at int"
+    arrow = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("e", pa.int64()), ("n", pa.int32()), ("block", pa.int32()), ("items", pa.binary()), ("bins", pa.binary()), ("token", pa.int64()), ("at", pa.int32())])
 
+    def explode(table: pa.Table) -> list[np.ndarray]:
+        return [np.concatenate([h for _, _, h, _, _ in shingle_sets(table.column("text"), k)] or [np.zeros(0, U64)])]
 
-def _prefixes(docs: DataFrame, k: int, part: int, whole: int, rarity) -> DataFrame:
-    """(token, e, n, at): the prefix of every distinct set of a task; at: the place in the global order from 0."""
-    arrow = pa.schema([("token", pa.int64()), ("e", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+    def rows(kind: int, length: int, **columns) -> pa.Table:
+        return pa.Table.from_arrays([pa.array([kind] * length, pa.int32()), *[pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(length, f.type) for f in list(arrow)[1:]]], schema=arrow)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(table: pa.Table, totals: list[np.ndarray]) -> pa.Table:
+        parts = list(shingle_sets(table.column("text"), k))
+        _, place_of = np.unique(np.concatenate([p[2] for p in parts] or [np.zeros(0, U64)]) >> U64(64 - COUNT_BITS), return_inverse=True)
+        counts, done = (totals[0][place_of] if totals else np.zeros(0, np.int64)), 0
+        block = table.column("block")[0].as_py()
+        ids = table.column("doc_id").to_pylist()
         seen: set[int] = set()
-        for batch in batches:
-            for lo, hi, h, row, bounds in shingle_sets(batch.column(0), k):
-                e = set_ids(h, bounds)
-                n = np.diff(bounds)
-                fresh = np.zeros(hi - lo, bool)
-                for i, x in enumerate(e):
-                    if n[i] and x not in seen:
-                        seen.add(x)
-                        fresh[i] = True
-                # The order: counter first, then the hash; that number is the token.
-                token = (rarity.value[(h >> U64(44)).astype(np.int64)].astype(U64) << U64(40)) | (h & U64((1 << 40) - 1))
-                take = fresh[row]
-                token, row = token[take], row[take]
-                order = np.lexsort((token, row))
-                token, row = token[order], row[order]
-                count = np.where(fresh, n, 0)
-                at = np.arange(len(row)) - (np.cumsum(count) - count)[row]
-                length = n - (-(-part * n // whole)) + 1
-                take = at < length[row]
-                token, row, at = token[take], row[take], at[take]
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.array(e, np.int64)[row]), pa.array(n[row], pa.int32()), pa.array(at, pa.int32())], schema=arrow)
-
-    return docs.select("text").mapInArrow(run, "token long, e long, n int, at int")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Staged (e, items, bins) of the wanted sets. wanted: e and the id of one document that has it."""
-    arrow = pa.schema([("e", pa.int64()), ("items", pa.binary()), ("bins", pa.binary())])
-    chosen = docs.join(wanted.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, h, row, bounds in shingle_sets(batch.column(0), k):
-                place = row * BINS + (h >> U64(57)).astype(np.int64)
-                bins = np.bincount(place, minlength=(hi - lo) * BINS).astype("<u4").reshape(hi - lo, BINS)
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, bounds), pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()), pa.array([b.tobytes() for b in bins], pa.binary())], schema=arrow)
-
-    sets = chosen.select("text").mapInArrow(run, "e long, items binary, bins binary")
-    # Rows that repeat an id may bring sets nobody asked for, and the same set twice.
-    return staged(sets.join(wanted.select("e").distinct(), "e", "left_semi").dropDuplicates(["e"]), "sets")
-
-
-def _suffix_filter(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """Pairs (a, na, b, nb) whose counts by hash range leave room for the threshold."""
+        out = []
+        for lo, hi, h, row, bounds in parts:
+            n = np.diff(bounds)
+            e = set_ids(h, bounds)
+            here, done = counts[done : done + len(h)], done + len(h)
+            out.append(rows(1, hi - lo, doc_id=ids[lo:hi], n=n, e=e))
+            fresh = np.zeros(hi - lo, bool)
+            for i, x in enumerate(e):
+                if n[i] and x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            take = fresh[row]
+            own, row = h[take], row[take]
+            if not len(own):
+                continue
+            count = here[take]
+            # The global order: the count first, then the hash, in which a row's shingles stand already.
+            order = np.argsort((row << 40) + np.minimum(count, (1 << 40) - 1), kind="stable")
+            own, row, count = own[order], row[order], count[order]
+            sizes = np.where(fresh, n, 0)
+            at = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+            take = (at < (n - (-(-part * n // whole)) + 1)[row]) & (count > 1)
+            token, owner, at = own[take], row[take], at[take]
+            e = np.array(e, np.int64)
+            out.append(rows(3, len(token), e=e[owner], n=n[owner], token=token.view(np.int64), at=at))
+            some = np.unique(owner)
+            place = some[np.searchsorted(some, row[np.isin(row, some)])]
+            bins = np.bincount(np.searchsorted(some, place) * BINS + (own[np.isin(row, some)] >> U64(57)).astype(np.int64), minlength=len(some) * BINS)
+            bins = np.minimum(bins, 255).astype(np.uint8).reshape(len(some), BINS)
+            out.append(rows(2, len(some), e=e[some], n=n[some], block=[block] * len(some), items=[h[bounds[i] : bounds[i + 1]].tobytes() for i in some], bins=[x.tobytes() for x in bins]))
+        return pa.concat_tables([*out, rows(1, 0)])
+
+    dealt, blocks_of_text = deal(docs, text_col, id_col)
+    return staged(with_counts(dealt, blocks_of_text, explode, finish, schema, COUNT_BITS), "survey")
+
+
+def _suffix_filter(pairs: DataFrame, bins: DataFrame, part: int, whole: int) -> DataFrame:
+    """Pairs (a, b) whose counts by hash range leave room for the threshold. bins: e, n, bins."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    bins = sets.select("e", "bins")
-    both = pairs.join(bins.select(F.col("e").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("e").alias("b"), F.col("bins").alias("y")), "b")
+    side = lambda c, v, n: bins.select(F.col("e").alias(c), F.col("bins").alias(v), F.col("n").alias(n))
+    both = pairs.join(side("a", "x", "na"), "a").join(side("b", "y", "nb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BINS).astype(np.int64) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for c in (2, 3))
             least = np.abs(x - y).sum(axis=1)
-            total = x.sum(axis=1) + y.sum(axis=1)
+            total = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
             # |A Δ B| = total - 2 |A ∩ B|, and the threshold needs |A ∩ B| >= total * part / (part + whole).
             ok = pa.array(least * (part + whole) <= total * (whole - part))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], schema=arrow)
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold exactly."""
+    """The pairs (a, b) that reach the threshold exactly. sets: e and items, each set once."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    items = sets.select("e", "items")
-    both = pairs.join(items.select(F.col("e").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("e").alias("b"), F.col("items").alias("y")), "b")
+    side = lambda c, v: sets.select(F.col("e").alias(c), F.col("items").alias(v))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,22 +165,21 @@ def _roots(edges: DataFrame | None, spark) -> DataFrame:
 def link_documents(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link where whole * |A ∩ B| >= part * |A ∪ B|.
 
-    Shuffles: the prefixes (about (whole - part) / whole of all shingles, 20 bytes each), the texts of sets that share a
-    prefix shingle with another set, and tables of ids.
+    Shuffles: the texts once, 4 bytes for each distinct shingle of a block, and for documents that share a prefix shingle
+    their sets and those shingles.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = _survey(source, k)
-    infos = survey.filter("slice is null").select("doc_id", "n", "e")
-    rarity = spark.sparkContext.broadcast(_rarity(survey))
-
-    held = _prefixes(source, k, part, whole, rarity).repartition("token").groupBy("token", "e").agg(F.first("n").alias("n"), F.first("at").alias("at"))
-    # Two different sets at least; the smallest and the largest tell without a list.
-    members = staged(held, "prefixes")
-    shared = members.groupBy("token").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).filter("lo <> hi").select("token")
-    members = staged(members.join(shared, "token", "left_semi"), "members")
-    wanted = members.select("e").distinct().join(infos.groupBy("e").agg(F.min("doc_id").alias("doc_id")), "e")
-    sets = _sets(source, wanted, k)
+    survey = _survey(docs, k, part, whole, text_col, id_col)
+    infos = survey.filter("kind = 1").select("doc_id", "n", "e")
+    # A set once for each token: copies in several blocks bring it several times.
+    held = survey.filter("kind = 3").select("token", "e", "n", "at").distinct()
+    shared = held.groupBy("token").agg(F.min("e").alias("lo"), F.max("e").alias("hi")).filter("lo <> hi").select("token")
+    members = staged(held.join(shared, "token", "left_semi"), "members")
+    # Of a set in several blocks, one.
+    one = survey.filter("kind = 2").groupBy("e").agg(F.min("block").alias("block"))
+    one = one.join(members.select("e").distinct(), "e", "left_semi")
+    sets = staged(survey.filter("kind = 2").select("e", "block", "n", "items", "bins").join(one, ["e", "block"], "left_semi").drop("block"), "sets")
+    bins = sets.select("e", "n", "bins")
     score = members.groupBy("e").agg(F.count("*").alias("score"))
     members = members.join(score, "e")
 
@@ -212,24 +189,27 @@ def link_documents(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100
     while True:
         # Members with their component so far; prefix shingles whose members are all in one component are done.
         placed = members.join(roots.withColumnRenamed("node", "e"), "e", "left").withColumn("root", F.coalesce("root", "e"))
-        open_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-        members = staged(placed.join(open_tokens, "token", "left_semi"), "members")
+        open_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).filter("lo <> hi").select("token", "many")
+        members = staged(placed.join(open_tokens, "token"), "members")
         if members.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("e", "token"), F.lit(slots))
+        # From the second round on, every member of a small group is compared with the rest at once.
+        small = (F.col("many") <= SMALL_GROUP) & F.lit(slots > 1)
+        slot = F.when(small, F.col("e")).otherwise(F.pmod(F.xxhash64("e", "token"), F.lit(slots)))
         pivots = members.groupBy("token", slot.alias("slot")).agg(F.max(F.struct("score", "e", "n", "at", "root")).alias("p")).select("token", F.col("p.e").alias("b"), F.col("p.n").alias("nb"), F.col("p.at").alias("bt"), F.col("p.root").alias("rb"))
         pivots = staged(pivots, "pivots")
-        met = members.join(pivots, "token").filter("e <> b and root <> rb")
+        met = members.join(pivots, "token").filter("root <> rb").filter((F.col("e") < F.col("b")) | ~small)
         # Length: the smaller set must be at least the threshold's share of the larger. Position: the shared shingle and all that follows it.
         met = met.filter(F.expr(f"least(n, nb) * {whole}L >= greatest(n, nb) * {part}L"))
         met = met.filter(F.expr(f"least(n - at, nb - bt) * {part + whole}L >= (n + nb) * {part}L"))
         pairs = met.select(F.least("e", "b").alias("a"), F.greatest("e", "b").alias("b")).distinct()
-        good = staged(_verify(_suffix_filter(pairs, sets, part, whole), sets, part, whole), "links")
+        good = staged(_verify(_suffix_filter(pairs, bins, part, whole), sets, part, whole), "links")
         edges = good if edges is None else edges.unionByName(good)
-        roots = _roots(edges, spark)
-        members = members.drop("root").join(pivots.select("token", F.col("b").alias("e")), ["token", "e"], "left_anti")
-        slots *= 2
+        roots = nearby_roots(edges)
+        members = members.drop("root", "many").join(pivots.select("token", F.col("b").alias("e")), ["token", "e"], "left_anti")
+        slots *= 32
 
+    roots = _roots(edges, spark)
     own = infos.groupBy("e").agg(F.min("doc_id").alias("own"))
     joined = own.join(roots.withColumnRenamed("node", "e"), "e", "left").withColumn("root", F.coalesce("root", "e"))
     least = joined.groupBy("root").agg(F.min("own").alias("component_id"))
