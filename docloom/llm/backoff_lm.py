@@ -1,10 +1,7 @@
 """Stupid-backoff language-model scores, relationally: count tables partitioned by hash, joined to the n-grams of the documents.
 
-Documents are dealt into blocks of some megabytes. A block explodes its texts into n-grams, sums them, and sends each hash
-partition its distinct n-grams with their counts (one sorted array for each partition, not a row for each n-gram). A
-partition adds up the counts of all blocks, which is its part of the count table, joins the table back to each block's
-n-grams, and returns the totals in the block's order. The block then scores its documents. An n-gram, however frequent,
-is one entry of a block's array, so a hot one costs a partition no more than the number of blocks.
+count_join deals documents into blocks, which explode their texts into n-grams and sum them; hash partitions add the blocks'
+counts up to the count tables and join the totals back; the block then sums the scores of its documents' words.
 
 Score of a word: with the longest context that its document gives it (order - 1 words at most), c(context word) /
 c(context) if the n-gram occurs min_count times, else alpha times the score with a context shorter by one word; a single
@@ -20,7 +17,6 @@ all count and are scored each; an empty table gives an empty table; extra column
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +25,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm._storage import staged
 from docloom.llm._text import _ODD, ALNUM, U64, blocks, mix, word_hashes
+from docloom.llm.count_join import deal, with_counts
 
-#: Bytes of text of a block, on average.
-BLOCK_BYTES = 12_000_000
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
 
 
@@ -55,88 +50,24 @@ def _ngrams(column, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.n
     return row, grams, places
 
 
-def _pack(h: np.ndarray) -> bytes:
-    """Ascending hashes as their differences, in 6 bytes each where they fit."""
-    d = h.copy()
-    d[1:] -= h[:-1]
-    if len(d) and int(d[1:].max(initial=0)) < 1 << 48:
-        return b"6" + h[:1].tobytes() + d[1:].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return b"8" + d.tobytes()
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    if b[:1] == b"8":
-        return np.cumsum(np.frombuffer(b, U64, offset=1))
-    if len(b) == 1:
-        return np.zeros(0, U64)
-    rest = np.frombuffer(b, np.uint8, offset=9).reshape(-1, 6)
-    d = np.zeros((len(rest) + 1, 8), np.uint8)
-    d[1:, :6] = rest
-    d[0] = np.frombuffer(b, np.uint8, 8, 1)
-    return np.cumsum(d.view(U64).reshape(-1))
-
-
-def _small(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def _large(b: bytes) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(b), np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
-
-
 def count_and_score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, n_unigram, log_micro): log_micro lacks the -log N of each of the n_unigram words scored alone."""
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(1, -(-size // BLOCK_BYTES))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "block")
-
-    sent = pa.schema([("part", pa.int32()), ("from", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-
-    def send(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        _, grams, _ = _ngrams(table.column("text"), order)
-        rows: list[tuple] = []
-        for n, g in enumerate(grams, 1):
-            g, c = np.unique(g, return_counts=True)
-            place = ((g >> U64(32)) * U64(parts)) >> U64(32)
-            edges = np.searchsorted(place, np.arange(parts + 1, dtype=U64))
-            rows += [(p, block, n, _pack(g[a:b]), _small(c[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(sent)], schema=sent)
-
-    answered = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("counts", pa.binary())])
-
-    def add(table: pa.Table) -> pa.Table:
-        """One hash partition: its count table for each n, joined back to the n-grams of each block."""
-        kinds = np.array(table.column("n").to_pylist())
-        done = []
-        for n in np.unique(kinds):
-            mine = table.filter(pa.array(kinds == n))
-            grams = [_unpack(b) for b in mine.column("grams").to_pylist()]
-            counts = [_large(b) for b in mine.column("counts").to_pylist()]
-            known, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate(counts), len(known)).astype(np.int64)[inverse]
-            ends = np.cumsum([len(g) for g in grams])
-            replies = [_small(t) for t in np.split(total, ends[:-1])]
-            done.append(pa.Table.from_arrays([mine.column("from").combine_chunks(), mine.column("part").combine_chunks(), mine.column("n").combine_chunks(), pa.array(replies, pa.binary())], schema=answered))
-        return pa.concat_tables(done)
+    def explode(table: pa.Table) -> list[np.ndarray]:
+        return _ngrams(table.column("text"), order)[1]
 
     scored = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_unigram", pa.int64()), ("log_micro", pa.int64())])
 
-    def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
+    def score(texts: pa.Table, counts: list[np.ndarray]) -> pa.Table:
         rows = texts.num_rows
         row, grams, places = _ngrams(texts.column("text"), order)
         first = np.searchsorted(row, np.arange(rows + 1))
         deep = np.arange(len(row)) - first[row]
         totals = []
-        answers = sorted(zip(replies.column("n").to_pylist(), replies.column("part").to_pylist(), replies.column("counts").to_pylist(), strict=True))
-        for n, (g, at) in enumerate(zip(grams, places, strict=True), 1):
-            mine = [_large(c) for k, _, c in answers if k == n]
-            _, inverse = np.unique(g, return_inverse=True)
-            by_word = np.zeros(len(row), np.int64)
+        for n, (g, at) in enumerate(zip(grams, places, strict=True)):
             # The count of the n-gram that begins at each word.
-            by_word[at] = np.concatenate([*mine, np.zeros(0, np.int64)])[inverse]
+            by_word = np.zeros(len(row), np.int64)
+            if len(at):
+                by_word[at] = counts[n][np.unique(g, return_inverse=True)[1]]
             totals.append(by_word)
         value = np.zeros(len(row), np.int64)
         todo = np.ones(len(row), bool)
@@ -153,9 +84,8 @@ def count_and_score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
         sums = np.where(np.diff(first) > 0, sums, 0)
         return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), pa.array(np.diff(first)), pa.array(np.bincount(row[at], minlength=rows)), pa.array(sums)], schema=scored)
 
-    requests = dealt.groupBy("block").applyInArrow(send, "part int, from int, n int, grams binary, counts binary")
-    tables = requests.repartition(parts, "part").groupBy("part").applyInArrow(add, "block int, part int, n int, counts binary")
-    return dealt.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, n_unigram long, log_micro long")
+    dealt, parts = deal(docs, text_col, id_col)
+    return with_counts(dealt, parts, explode, score, "doc_id long, n_words long, n_unigram long, log_micro long")
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

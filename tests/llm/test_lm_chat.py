@@ -14,7 +14,7 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores(spark, order, monkeypatch):
-    monkeypatch.setattr("docloom.llm.backoff_lm.BLOCK_BYTES", 2000)
+    monkeypatch.setattr("docloom.llm.count_join.BLOCK_BYTES", 2000)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60]
     rows += [(900, None), (901, ""), (902, "..."), (903, "one"), (903, "one"), (None, "One TWO one two éé"), (904, "the " * 3000)]
     docs = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, block string").repartition(3)
