@@ -113,7 +113,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "te
     gone = later_copies(docs.select(key.alias("doc"), F.col(text_col).alias("text")), min_words)
     edits = gone.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first_pos", "last_pos", "ord", (F.col("ord") + F.col("len") - 1).alias("end")))).alias("_runs"))
     edits = staged(edits.select(F.col("doc.id").alias("_id"), F.col("doc.h").alias("_h"), "_runs"), "edits")
-    joined = docs.withColumn("_key", F.xxhash64(F.col(text_col))).join(edits, (F.col("_key") == F.col("_h")) & docs[id_col].eqNullSafe(F.col("_id")), "left")
+    # One plan at every size: texts and edits meet in a merge join.
+    joined = docs.withColumn("_key", F.xxhash64(F.col(text_col))).join(edits.hint("merge"), (F.col("_key") == F.col("_h")) & docs[id_col].eqNullSafe(F.col("_id")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     joined = joined.withColumn("_kept", F.when(F.col("_runs").isNotNull(), _kept_ranges(F.col("_runs"), F.size(lines))))
     left = F.flatten(F.transform("_kept", lambda r: F.slice(lines, r["a"] + 1, r["b"] - r["a"])))
