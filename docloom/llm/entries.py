@@ -57,7 +57,7 @@ def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.syncmer import compare_with_next
 
-    return compare_with_next(_table(spark, sf_dir, "documents"))
+    return compare_with_next(_table(spark, sf_dir, "documents"), passages=True)
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

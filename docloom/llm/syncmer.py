@@ -6,6 +6,10 @@ fingerprint is the bottom sketch of the anchors' hashes: the SKETCH smallest dis
 fingerprints' likeness is the share of common hashes among the smallest of their union, an estimate of the Jaccard
 similarity of the anchor sets.
 
+Positions place what is shared: anchors of two texts with equal hashes and one offset difference, no further apart than k
+code points, are one passage, equal letter by letter. placed() uses every anchor of both texts; shared_passages joins the
+anchors of a whole table on their hashes.
+
 Cases: null is the empty text; an empty text has the empty fingerprint, and two empty ones have likeness 1; a text
 shorter than k code points is one anchor; equal texts have equal fingerprints; rows that repeat an id are ordered by
 their text; null ids come last in descending order; a single row's next document is the row itself (the last row's
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm._text import U64, mix, powers
@@ -56,7 +60,11 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 def sketch(text: str, k: int = K, s: int = S, size: int = SKETCH) -> np.ndarray:
     """The smallest distinct 32-bit hashes of the anchors, ascending."""
-    h = (anchors(text, k, s)[1] >> U64(32)).astype(np.uint32)
+    return smallest(anchors(text, k, s)[1], size)
+
+
+def smallest(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    h = (hashes >> U64(32)).astype(np.uint32)
     if len(h) > 4 * size:
         part = np.partition(h, 3 * size)[: 3 * size + 1]
         if len(low := np.unique(part)) >= size:
@@ -79,6 +87,76 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.intersect1d(np.intersect1d(a, b, True), union, True).size / len(union))
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Likeness of two texts by all their anchors' hashes; 1 for two empty texts."""
+    a, b = np.unique(a), np.unique(b)
+    both = np.intersect1d(a, b, True).size
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def placed(mine: tuple[np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.ndarray], k: int = K) -> np.ndarray:
+    """(start, start in the other text, length) of the passages of a text that stand in another, from all anchors of both.
+
+    Each shared anchor is placed once: where the passage of the anchor before it goes on if it does, else at the leftmost
+    place of its hash. So a text of one repeated word costs no pairs of all its places.
+    """
+    (at, h), (other, g) = mine, theirs
+    order = np.argsort(g, kind="stable")
+    found = np.searchsorted(g, h, sorter=order)
+    found[found == len(g)] = 0
+    shared = np.flatnonzero(g[order[found]] == h) if len(g) and len(h) else np.zeros(0, np.int64)
+    if not len(shared):
+        return np.zeros((0, 3), np.int64)
+    at, h = at[shared], h[shared]
+    leftmost = other[order[found[shared]]] - at
+    offset = leftmost.copy()
+    near = np.append(False, np.diff(at) <= k)
+    # An anchor is looked at again whenever the one before it has moved.
+    todo = np.flatnonzero(near)
+    while len(todo):
+        wanted = offset[todo - 1]
+        place = np.minimum(np.searchsorted(other, at[todo] + wanted), len(other) - 1)
+        new = np.where((other[place] == at[todo] + wanted) & (g[place] == h[todo]), wanted, leftmost[todo])
+        moved = todo[new != offset[todo]]
+        offset[todo] = new
+        todo = moved[moved < len(at) - 1] + 1
+        todo = todo[near[todo]]
+    first = np.flatnonzero(np.append(True, ~near[1:] | (np.diff(offset) != 0)))
+    last = np.append(first[1:], len(at)) - 1
+    return np.stack([at[first], at[first] + offset[first], at[last] - at[first] + k], 1)
+
+
+def anchor_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = K, s: int = S) -> DataFrame:
+    """(doc_id, position, hash) of every anchor of every text of k code points or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(text or "") >= k:
+                    at, h = anchors(text, k, s)
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int64()), pa.array(at), pa.array(h.view(np.int64))], names=["doc_id", "position", "hash"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, position long, hash long")
+
+
+def shared_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = K, s: int = S, hot: int = 1000, salts: int = 16) -> DataFrame:
+    """(doc_id, other_id, start, other_start, length) of every passage that two documents share, doc_id < other_id.
+
+    Ids are distinct; null ids take no part. Hashes that occur more than hot times are dealt over salts. Every pair of equal
+    anchors counts, so rows grow with the square of the documents that share a passage.
+    """
+    every = anchor_rows(docs.filter(F.col(id_col).isNotNull()), text_col, id_col, k, s)
+    counts = every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    known = every.join(counts, "hash").withColumn("_salts", F.when(F.col("n") > hot, F.lit(salts)).otherwise(F.lit(1)))
+    left = known.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "position"), F.col("_salts").cast("long")).cast("int"))
+    right = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select("hash", "_salt", F.col("doc_id").alias("other_id"), F.col("position").alias("_other"))
+    pairs = left.join(right, ["hash", "_salt"]).filter("doc_id < other_id").select("doc_id", "other_id", "position", (F.col("_other") - F.col("position")).alias("_offset"))
+    line = Window.partitionBy("doc_id", "other_id", "_offset").orderBy("position")
+    begins = F.coalesce(F.col("position") - F.lag("position").over(line) > k, F.lit(True))
+    runs = pairs.withColumn("_begins", begins.cast("int")).withColumn("_run", F.sum("_begins").over(line))
+    each = runs.groupBy("doc_id", "other_id", "_offset", "_run").agg(F.min("position").alias("start"), (F.max("position") - F.min("position") + k).alias("length"))
+    return each.select("doc_id", "other_id", "start", (F.col("start") + F.col("_offset")).alias("other_start"), "length")
+
+
 def fingerprint_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = K, s: int = S, size: int = SKETCH) -> DataFrame:
     """(id, fingerprint) of every whole text, in one scan."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -92,10 +170,15 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text", id_col: str =
 
 PAIR = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
+#: What positional matching adds for each of the two comparisons; the longest passage is the leftmost of its length.
+PLACES = [("jaccard", "double"), ("n_passages", "long"), ("shared_chars", "long"), ("longest_start", "long"), ("longest_other_start", "long"), ("longest_chars", "long")]
 
-def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+
+def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", passages: bool = False) -> DataFrame:
     """Fingerprint every text, the next document's text, and the text with its last half replaced by the next one's beginning.
 
+    passages: also match the text with the other two by all anchors and their positions (PLACES, for _edited and _next).
+
     Next is by descending id; the first follows the last. The texts are range-partitioned once; each range also takes the
     first row of the following range, found from the ids alone, so that no task waits for another.
     """
@@ -131,6 +214,14 @@ def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "do
     both = F.when(F.col("place.guest").isNotNull(), F.array(own, sent)).otherwise(F.array(own))
     dealt = source.withColumn("place", place("id")).select("id", "text", F.explode(both).alias("to")).select("to.at", "to.late", "id", "text")
 
+    spelled = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = PAIR
+    if passages:
+        spelled += "".join(f", {name}_{side} {kind}" for side in ("edited", "next") for name, kind in PLACES)
+        for side in ("edited", "next"):
+            for name, kind in PLACES:
+                schema = schema.append(pa.field(f"{name}_{side}", pa.float64() if kind == "double" else pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come range by range, each in its order and then the guests; only the first guest counts.
         held: tuple | None = None
@@ -138,23 +229,42 @@ def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "do
             out: list[tuple] = []
             for at, late, i, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if held is not None and held[0] == at:
-                    mine = sketch(text)
-                    out.append(_row(held, text, mine))
+                    mine = anchors(text)
+                    out.append(_row(held, text, mine, passages))
                 elif late:
                     continue
                 else:
-                    mine = sketch(text)
+                    mine = anchors(text)
                 held = None if late else (at, i, text, mine)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), PAIR, strict=True)], schema=PAIR)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     ordered = dealt.repartition(n, "at").sortWithinPartitions("at", "late", F.col("id").desc_nulls_last(), "text")
-    return ordered.select("at", "late", "id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.select("at", "late", "id", "text").mapInArrow(run, spelled)
+
+
+def _places(mine: tuple, text: str, theirs: tuple, other: str) -> tuple:
+    like = jaccard(mine[1], theirs[1])
+    if min(len(text), len(other)) < K:
+        # A text shorter than k is one anchor of all its letters, which stands nowhere but in its equal.
+        found = np.array([[0, 0, len(text)]] if text and text == other else np.zeros((0, 3)), np.int64)
+    else:
+        found = placed(mine, theirs)
+    if not len(found):
+        return like, 0, 0, None, None, 0
+    starts, ends = found[:, 0], np.maximum.accumulate(found[:, 0] + found[:, 2])
+    covered = int(np.sum(ends - np.maximum(starts, np.append(0, ends[:-1]))))
+    longest = found[np.argmax(found[:, 2])].tolist()
+    return like, len(found), covered, *longest
 
 
-def _row(held: tuple, following: str, next_sketch: np.ndarray) -> tuple:
+def _row(held: tuple, following: str, following_anchors: tuple, passages: bool = False) -> tuple:
     _, i, text, mine = held
     half = len(text) // 2
     edited = text[: len(text) - half] + following[:half]
-    theirs = sketch(edited)
-    return i, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), as_text(mine), as_text(theirs), likeness(mine, theirs), likeness(mine, next_sketch)
+    theirs = anchors(edited)
+    a, b, c = smallest(mine[1]), smallest(theirs[1]), smallest(following_anchors[1])
+    row = (i, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), as_text(a), as_text(b), likeness(a, b), likeness(a, c))
+    if passages:
+        row += (*_places(mine, text, theirs, edited), *_places(mine, text, following_anchors, following))
+    return row
