@@ -118,3 +118,28 @@ SELECT d.doc_id, coalesce(g.n_words, 0) AS n_words, CAST(coalesce(g.n_unigram, 0
   CASE WHEN g.n_words > 0 THEN CAST(g.x AS DOUBLE) / 1e6 / g.n_words END AS mean_log_score
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
+
+#: The same for order 3.
+SQL_ORDER_3 = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+), w AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d
+), p AS (
+  SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM w
+), c1 AS (SELECT w, count(*) AS n FROM w GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS n FROM p WHERE u IS NOT NULL GROUP BY u, v, w),
+total AS (SELECT count(*) AS n FROM w),
+s AS (
+  SELECT p.doc_id, CASE WHEN c3.n >= {MIN_COUNT} THEN CAST(round_even(1e6 * ln(c3.n / cuv.n), 0) AS BIGINT)
+    WHEN c2.n >= {MIN_COUNT} THEN CAST(round_even(1e6 * ln((CASE WHEN p.u IS NULL THEN 1.0::DOUBLE ELSE {ALPHA}::DOUBLE END) * (c2.n / cv.n)), 0) AS BIGINT)
+    ELSE CAST(round_even(1e6 * ln(pow({ALPHA}::DOUBLE, CASE WHEN p.v IS NULL THEN 0 WHEN p.u IS NULL THEN 1 ELSE 2 END) * cw.n), 0) AS BIGINT) - CAST(round_even(1e6 * ln((SELECT n FROM total)), 0) AS BIGINT) END AS x,
+    CASE WHEN coalesce(c3.n, 0) < {MIN_COUNT} AND coalesce(c2.n, 0) < {MIN_COUNT} THEN 1 ELSE 0 END AS alone
+  FROM p JOIN c1 cw ON cw.w = p.w LEFT JOIN c1 cv ON cv.w = p.v LEFT JOIN c2 ON c2.v = p.v AND c2.w = p.w
+    LEFT JOIN c2 cuv ON cuv.v = p.u AND cuv.w = p.v LEFT JOIN c3 ON c3.u = p.u AND c3.v = p.v AND c3.w = p.w
+), g AS (SELECT doc_id, count(*) AS n_words, sum(alone) AS n_unigram, sum(x) AS x FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.n_words, 0) AS n_words, CAST(coalesce(g.n_unigram, 0) AS BIGINT) AS n_unigram, CAST(coalesce(g.x, 0) AS BIGINT) AS log_score_micro,
+  CASE WHEN g.n_words > 0 THEN CAST(g.x AS DOUBLE) / 1e6 / g.n_words END AS mean_log_score
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""

@@ -86,3 +86,20 @@ def oracle_sql() -> dict[str, str]:
     from docloom.llm import backoff_lm, chat_format, line_dedup
 
     return {"op3_line_dedup": line_dedup.SQL, "op6_chat_rotation": chat_format.SQL, "op9_backoff_lm": backoff_lm.SQL}
+
+
+def trigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.backoff_lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), order=3)
+
+
+def more_queries() -> dict:
+    """Second queries of an operator, beside the one of its number."""
+    return {"op9_backoff_lm_order3": trigram_lm}
+
+
+def more_oracle_sql() -> dict[str, str]:
+    from docloom.llm import backoff_lm
+
+    return {"op9_backoff_lm_order3": backoff_lm.SQL_ORDER_3}
