@@ -97,6 +97,11 @@ def _(spark, sf):
     return table(spark, sf, "part").filter("p_partkey BETWEEN 1 AND 18278").select("p_partkey", T.column_label(F.col("p_partkey")).alias("label"))
 
 
+@query("h18_column_label_all", "WITH RECURSIVE r(p_partkey, n, s) AS (SELECT p_partkey, CAST(p_partkey AS BIGINT), '' FROM part UNION ALL SELECT p_partkey, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INT)) || s FROM r WHERE n > 0) SELECT p_partkey, s AS label FROM r WHERE n <= 0")
+def _(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.column_label(F.col("p_partkey")).alias("label"))
+
+
 @query("b03_image_url", "SELECT doc_id, '/images/' || source || '/' || doc_id || '.png' AS url FROM documents WHERE source IS NOT NULL")
 def _(spark, sf):
     path = F.concat(F.lit("data\\images\\"), F.col("source"), F.lit("\\"), F.col("doc_id").cast("string"), F.lit(".png"))
