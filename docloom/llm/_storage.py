@@ -1,24 +1,39 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and what keeps workers small."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of an Arrow batch of text: what a worker holds at once, besides a longer single row.
+BATCH_BYTES = 4 << 20
+#: Rows of numbers up to which a staged table is sent to every task; a larger one is joined by shuffles.
+BROADCAST_ROWS = 100_000
 
-from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests, one machine) a folder of our own."""
+    """spark.checkpoint.dir of the session, which the driver and all executors see.
+
+    Where it is unset, a session of one process (tests) gets a folder of its own; a cluster is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return _own[app]
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="docloom-")
+    return _own[context.applicationId]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -31,3 +46,43 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, label: str, **also: Column) -> tuple[DataFrame, dict]:
+    """staged, with its number of rows n and other aggregates of it, found while it is written."""
+    seen = Observation()
+    out = staged(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in also.items()]), label)
+    return out, seen.get
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """df as the side of a join: sent to every task if it has BROADCAST_ROWS at most, else left to shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts reach Python workers in batches of BATCH_BYTES, not of 10,000 rows however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and each would keep its largest task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None) -> Callable:
+    """run for mapInArrow, which leaves nothing in the worker when its task ends. forget: drops what run keeps between batches."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            release()
+
+    return wrapped

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _BASE = 0xA0761D6478BD642F
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2545F4914F6CDD1D, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], dtype=U64)

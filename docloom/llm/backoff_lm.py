@@ -84,8 +84,8 @@ def count_and_score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
         sums = np.where(np.diff(first) > 0, sums, 0)
         return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), pa.array(np.diff(first)), pa.array(np.bincount(row[at], minlength=rows)), pa.array(sums)], schema=scored)
 
-    dealt, parts = deal(docs, text_col, id_col)
-    return with_counts(dealt, parts, explode, score, "doc_id long, n_words long, n_unigram long, log_micro long")
+    dealt, size = deal(docs, text_col, id_col)
+    return with_counts(dealt, size, explode, score, "doc_id long, n_words long, n_unigram long, log_micro long")
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -5,52 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._storage import staged
+from docloom.llm._storage import measured, sent
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
-    return tuple(row)
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node sends its larger neighbours to the smallest node it knows."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
+    return both.join(sent(least, 2 * n), "u").filter("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node sends its smaller neighbours, and itself, to the smallest of them. edges: a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    sent = edges.join(least, "a")
-    return sent.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b")
-
-
-def nearby_roots(edges: DataFrame) -> DataFrame:
-    """(node, root) after one pass of both stars: nodes with the same root are connected, and a star's nodes all have its smallest.
-
-    Cheaper than components, for callers that only want to skip what is known to be connected.
-    """
-    once = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    passed = staged(_small_star(_large_star(once)).groupBy("a").agg(F.min("b").alias("b")), "roots")
-    centres = passed.select(F.col("b").alias("a"), "b").distinct().join(passed.select("a"), "a", "left_anti")
-    return passed.unionByName(centres).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    passed = edges.join(sent(least, n), "a")
+    return passed.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge; root is the smallest node of its component. edges: columns a and b.
+def components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """((node, root) of every node that isn't its own root, their number); root is the smallest node of its component.
 
-    A star's centre costs a partial aggregate and a join that Spark can split; nothing of a component meets in one task.
+    edges: columns a and b. A star's centre costs a partial aggregate and a join that Spark can split; nothing of a
+    component meets in one task.
     """
+    digest = F.sum(F.xxhash64("a", "b") % (1 << 40))
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = staged(now, "edges")
-    seen = _digest(now)
-    if not seen[0]:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    while True:
-        now = staged(_small_star(_large_star(now)).distinct(), "edges")
-        if (found := _digest(now)) == seen:
+    now, seen = measured(now, "edges", digest=digest)
+    while seen["n"]:
+        before = seen
+        now, seen = measured(_small_star(_large_star(now, seen["n"]), seen["n"]).distinct(), "edges", digest=digest)
+        if seen == before:
             break
-        seen = found
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")), seen["n"]

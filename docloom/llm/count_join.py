@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm._storage import release
 from docloom.llm._text import U64
 
-#: Bytes of text of a block, on average.
-BLOCK_BYTES = 12_000_000
+#: Bytes of text of a block, and bytes of text whose items a hash range takes, on average. What a task holds follows from
+#: them, whatever the size of the table; each block sends each range one row, so give larger executors larger ones.
+BLOCK_BYTES, RANGE_BYTES = 8_000_000, 16_000_000
 
 
 def pack(h: np.ndarray) -> bytes:
@@ -54,14 +56,14 @@ def unpack_counts(b: bytes) -> np.ndarray:
 
 
 def deal(docs: DataFrame, text_col: str, id_col: str) -> tuple[DataFrame, int]:
-    """((doc_id, text, block), number of blocks): a block's rows in one partition."""
+    """((doc_id, text, block), bytes of text): a block's rows in one partition."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(1, -(-size // BLOCK_BYTES))
+    blocks = max(1, -(-size // BLOCK_BYTES))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")).repartition(parts, "block"), parts
+    return source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block"), size
 
 
-def with_counts(dealt: DataFrame, parts: int, explode: Callable[[pa.Table], list[np.ndarray]], finish: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str, bits: int = 64) -> DataFrame:
+def with_counts(dealt: DataFrame, size: int, explode: Callable[[pa.Table], list[np.ndarray]], finish: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str, bits: int = 64) -> DataFrame:
     """finish(block, totals) of every block, as rows of schema.
 
     explode: a block's hashes, an array for each kind of item, with repeats. totals: for each kind the counts over all
@@ -69,15 +71,20 @@ def with_counts(dealt: DataFrame, parts: int, explode: Callable[[pa.Table], list
     """
     sent = pa.schema([("part", pa.int32()), ("from", pa.int32()), ("kind", pa.int32()), ("items", pa.binary()), ("counts", pa.binary())])
     answered = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("counts", pa.binary())])
+    parts = max(1, -(-size // RANGE_BYTES))
 
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         rows: list[tuple] = []
         for kind, items in enumerate(explode(table)):
-            items, c = np.unique(items >> U64(64 - bits), return_counts=True)
-            place = ((items >> U64(bits - 32)) * U64(parts)) >> U64(32)
-            edges = np.searchsorted(place, np.arange(parts + 1, dtype=U64))
+            items >>= U64(64 - bits)
+            items.sort()
+            first = np.flatnonzero(np.append(True, items[1:] != items[:-1])) if len(items) else np.zeros(0, np.int64)
+            c = np.diff(np.append(first, len(items)))
+            items = items[first]
+            edges = np.searchsorted(((items >> U64(bits - 32)) * U64(parts)) >> U64(32), np.arange(parts + 1, dtype=U64))
             rows += [(p, block, kind, pack(items[a:b]), pack_counts(c[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+        release()
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(sent)], schema=sent)
 
     def add(table: pa.Table) -> pa.Table:
@@ -85,19 +92,24 @@ def with_counts(dealt: DataFrame, parts: int, explode: Callable[[pa.Table], list
         done = []
         for kind in np.unique(kinds):
             mine = table.filter(pa.array(kinds == kind))
-            items = [unpack(b) for b in mine.column("items").to_pylist()]
-            counts = [unpack_counts(b) for b in mine.column("counts").to_pylist()]
-            known, inverse = np.unique(np.concatenate(items), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate(counts), len(known)).astype(np.int64)[inverse]
-            ends = np.cumsum([len(g) for g in items])
-            replies = [pack_counts(t) for t in np.split(total, ends[:-1])]
+            packed = mine.column("items").to_pylist()
+            known = np.concatenate([unpack(b) for b in packed])
+            known.sort()
+            known = known[np.append(True, known[1:] != known[:-1])]
+            total = np.zeros(len(known), np.int64)
+            for b, c in zip(packed, mine.column("counts").to_pylist(), strict=True):
+                total[np.searchsorted(known, unpack(b))] += unpack_counts(c)
+            replies = [pack_counts(total[np.searchsorted(known, unpack(b))]) for b in packed]
             done.append(pa.Table.from_arrays([mine.column("from").combine_chunks(), mine.column("part").combine_chunks(), mine.column("kind").combine_chunks(), pa.array(replies, pa.binary())], schema=answered))
+        release()
         return pa.concat_tables(done)
 
     def close(texts: pa.Table, replies: pa.Table) -> pa.Table:
         answers = sorted(zip(replies.column("kind").to_pylist(), replies.column("part").to_pylist(), replies.column("counts").to_pylist(), strict=True))
         kinds = 1 + max((a[0] for a in answers), default=-1)
-        return finish(texts, [np.concatenate([unpack_counts(c) for k, _, c in answers if k == kind] or [np.zeros(0, np.int64)]) for kind in range(kinds)])
+        out = finish(texts, [np.concatenate([unpack_counts(c) for k, _, c in answers if k == kind] or [np.zeros(0, np.int64)]) for kind in range(kinds)])
+        release()
+        return out
 
     requests = dealt.groupBy("block").applyInArrow(send, "part int, from int, kind int, items binary, counts binary")
     tables = requests.repartition(parts, "part").groupBy("part").applyInArrow(add, "block int, part int, kind int, counts binary")

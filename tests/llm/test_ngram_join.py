@@ -51,6 +51,7 @@ def family(rng, base, n, rate):
 @pytest.mark.parametrize("k,part", [(3, 90), (5, 80)])
 def test_against_brute_force(spark, k, part, monkeypatch):
     monkeypatch.setattr("docloom.llm.count_join.BLOCK_BYTES", 60_000)
+    monkeypatch.setattr("docloom.llm.count_join.RANGE_BYTES", 40_000)
     monkeypatch.setattr("docloom.llm.ngram_join.SMALL_GROUP", 8)
     rng = random.Random(k)
     texts = [None, "", " \n ", "One", "one", "one TWO", "ONE two", "one two three four", "x" * 5000, "é É", "a\x00b a", "a b a"]
@@ -76,6 +77,40 @@ def test_against_brute_force(spark, k, part, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_each_pair_is_met_once_and_links_with_the_suffix_filter(spark, monkeypatch):
+    from docloom.llm import ngram_join
+
+    tables = []
+    plain = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 4)
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *a: tables.append(pairs) or plain(pairs, *a))
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    texts = [t for r in (0.01, 0.03, 0.06) for t in family(rng, base, 24, r)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = link_documents(docs, 3, 90, 100)
+    assert sorted(tuple(r) for r in got.collect()) == brute(list(enumerate(texts)), 3, 90, 100)
+    met = [(r.a, r.b) for t in tables for r in t.select("a", "b").collect()]
+    assert len(tables) > 1 and len(met) == len(set(met)) and all(a < b for a, b in met)
+
+
+def test_the_suffix_filter_never_drops_a_link():
+    import numpy as np
+
+    from docloom.llm.ngram_join import passes_suffix_filter, similar
+
+    rng = np.random.default_rng(2)
+    stopped = 0
+    for _ in range(400):
+        x = np.unique(rng.integers(0, 1 << 60, rng.integers(1, 80))).astype(np.uint64)
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.choice([0.5, 0.9, 0.98, 1])], rng.integers(0, 1 << 60, rng.integers(0, 8)).astype(np.uint64)]))
+        for v in np.intersect1d(x, y)[:5]:
+            ok = passes_suffix_filter(x, y, int(np.searchsorted(x, v)), int(np.searchsorted(y, v)), 80, 100)
+            assert ok or not similar(x, y, 80, 100)
+            stopped += not ok
+    assert stopped > 20
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert link_documents(docs).count() == 0
@@ -96,5 +131,7 @@ def test_components(spark):
     for a, b in pairs:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in root if any(x in p and p[0] != p[1] for p in pairs)}
+    found, n = components(spark.createDataFrame(pairs, "a long, b long"))
+    got = {r.node: r.root for r in found.collect()}
+    assert n == len(got)
+    assert got == {x: find(x) for x in root if x != find(x)}
