@@ -4,7 +4,9 @@ Merging only ever joins neighbours into a vocabulary token, so two neighbouring
 vocabulary token can never end up in one: between them lies a certain cut. A text is cut at blanks, its pieces by the
 tokenizer's own normaliser and pre-tokenizer, and each pre-token at its forced boundaries; the fragments are encoded on
 their own and the ids concatenated. Fragments and pieces repeat, so a worker keeps the ids of those it has met in two
-bounded tables (emptied when full: a matter of speed alone).
+bounded tables (emptied when full: a matter of speed alone), which it drops with the model when its task ends.
+
+Texts come in batches of BATCH_BYTES; a very long text is encoded whole, by itself.
 
 Cases: null is the empty text and gives no ids; strings of added tokens inside a text are those tokens, as in the
 tokenizers library; repeated rows give repeated results; an empty table gives an empty table; extra columns are not read.
@@ -21,8 +23,10 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Entries of each table of a worker; about 150 bytes each.
-CACHE_ENTRIES = 200_000
+from docloom.llm._storage import small_batches, tidy
+
+#: Entries of each table of a worker; about 150 bytes each, so 20 MB a table.
+CACHE_ENTRIES = 130_000
 #: The pre-tokenizer's pattern for which PLAIN_WORDS does the same on plain text.
 PLAIN_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Text of printable ASCII and Latin-1 letters needs no normaliser but lower-casing, and splits by a plain pattern.
@@ -127,7 +131,7 @@ class ForcedBoundaryBpe:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if self.plain and PLAIN.fullmatch(text) and "<|" not in text:
+        if self.plain and PLAIN.fullmatch(text) and not any(a in text for a in self.added):
             known, make, units = self.words.get, self.word_ids, PLAIN_WORDS.findall(text.lower())
         else:
             # Blanks and line ends are dropped by the pre-tokenizer, and no pre-token contains one.
@@ -162,7 +166,8 @@ def map_text(docs: DataFrame, columns: list[str], schema: str, make: Callable[[l
                 part = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(make([c.to_pylist() for c in part.columns]), arrow, strict=True)], schema=arrow)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(tidy(run, _loaded.clear), schema)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

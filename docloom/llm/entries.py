@@ -63,7 +63,8 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.token_store import read_token_store, write_token_store
 
-    return read_token_store(write_token_store(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2))
+    docs = _table(spark, sf_dir, "documents")
+    return read_token_store(write_token_store(docs, _tokenizer("byte_bpe_50k.json"), end_id=2), docs)
 
 
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

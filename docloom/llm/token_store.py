@@ -3,20 +3,21 @@
 write_token_store range-partitions documents by id and lets each task write one shard, in ascending id order: the raw ids
 of its documents, one after the other, and an index from document key to the document's place in the shard. The index is
 a minimal perfect hash (hash and displace: keys fall into small buckets, and each bucket stores the first displacement
-that sends its keys to free slots), so a lookup reads one displacement and one slot; the slot's stored fingerprint tells
-a key that is not there. A key's shard is found from the key ranges in the manifest, one row a shard.
+that sends its keys to free slots), so a lookup reads one displacement, one slot, one length and the ids, wherever they
+are; keys themselves are not stored, and the slot's fingerprint of 64 bits tells a key that is not there. A key's shard is
+found from the key ranges in the manifest, one row a shard.
 
-File of a shard: magic, header (JSON length, JSON), displacements, slots, payload, all little-endian.
+File of a shard: magic, header (JSON length, JSON), displacements, slots, lengths, payload, all little-endian.
 
-Cases: null text is empty and holds the end id alone; null ids come first, as in Spark's order; rows that repeat an id
-follow each other in the order of their text, and the index leads to the first and says how many there are; an empty
-table gives no shards and an empty result; extra columns are not read. A task that runs again writes the same file under
-another name and renames it, so lost executors leave no half-written shard.
+Cases: null text is empty and holds the end id alone; a very long text is one payload, encoded whole; null ids come first,
+as in Spark's order, and stand in no index: the header counts them; rows that repeat an id follow each other in the order
+of their text, and the index leads to the first and says how many there are; an empty table gives no shards and an empty
+result; extra columns are not read. A task that runs again writes the same file under another name and renames it, so lost
+executors leave no half-written shard.
 """
 
 from __future__ import annotations
 
-import io
 import json
 import os
 import re
@@ -25,11 +26,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm._storage import new_path
+from docloom.llm._storage import new_path, release, small_batches
 from docloom.llm._text import mix
 
 MAGIC = b"DLTOKST1"
@@ -37,7 +40,7 @@ MAGIC = b"DLTOKST1"
 BUCKET_KEYS, MAX_DISPLACEMENT = 4, 1 << 20
 #: Entries of a worker's table of encoded words; a matter of speed alone.
 CACHE_ENTRIES = 700_000
-SLOT = np.dtype([("fingerprint", "<u4"), ("copies", "<u4"), ("row", "<u4"), ("tokens", "<u4"), ("offset", "<u8")])
+SLOT = np.dtype([("fingerprint", "<u8"), ("copies", "<u4"), ("row", "<u4"), ("offset", "<u8")])
 
 #: Pre-tokens of plain text (printable ASCII, line ends and Latin-1 letters) under the byte-level pattern.
 PLAIN = re.compile("[ -~\\nÀ-ÖØ-öø-ÿ]*")
@@ -135,6 +138,11 @@ def _key_hash(keys: np.ndarray) -> np.ndarray:
     return mix(keys.astype(np.int64).view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
 
 
+def _fingerprint(keys: np.ndarray) -> np.ndarray:
+    """Of the key alone, and independent of its hash."""
+    return mix(keys.astype(np.int64).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D))
+
+
 def _slots(h: np.ndarray, displacement: np.ndarray, n: int) -> np.ndarray:
     return mix(h ^ (displacement.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(max(n, 1))
 
@@ -181,38 +189,68 @@ def shard_bytes(ids: list[int | None], payloads: list[bytes], kind: np.dtype) ->
     table = np.zeros(len(distinct), SLOT)
     starts = np.cumsum(tokens) - tokens
     at = first + nulls
-    table["fingerprint"][slot] = (_key_hash(distinct) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    table["copies"][slot], table["row"][slot], table["tokens"][slot], table["offset"][slot] = copies, at, tokens[at], starts[at]
-    rows = np.zeros(len(ids), [("key", "<i8"), ("tokens", "<u8")])
-    rows["key"][nulls:], rows["tokens"] = keys, tokens
+    table["fingerprint"][slot] = _fingerprint(distinct)
+    table["copies"][slot], table["row"][slot], table["offset"][slot] = copies, at, starts[at]
     header = json.dumps({"dtype": kind.str, "rows": len(ids), "nulls": nulls, "keys": len(distinct), "buckets": len(displacement), "tokens": int(tokens.sum())}).encode()
-    return [MAGIC, len(header).to_bytes(4, "little"), header, displacement.tobytes(), table.tobytes(), rows.tobytes(), *payloads]
+    return [MAGIC, len(header).to_bytes(4, "little"), header, displacement.tobytes(), table.tobytes(), tokens.astype("<u8").tobytes(), *payloads]
 
 
 class Shard:
-    """A shard's file, read back."""
+    """A shard's file, open for keyed access. index: keep displacements, slots and lengths in memory, for many keys."""
 
-    def __init__(self, content: bytes):
-        f = io.BytesIO(content)
-        if f.read(8) != MAGIC:
+    def __init__(self, file, index: bool = False):
+        self.file = file
+        if file.read(8) != MAGIC:
             raise ValueError("not a token shard")
-        self.head = h = json.loads(f.read(int.from_bytes(f.read(4), "little")))
-        self.displacement = np.frombuffer(f.read(4 * h["buckets"]), "<u4")
-        self.table = np.frombuffer(f.read(SLOT.itemsize * h["keys"]), SLOT)
-        self.rows = np.frombuffer(f.read(16 * h["rows"]), [("key", "<i8"), ("tokens", "<u8")])
-        self.ids = np.frombuffer(content, h["dtype"], h["tokens"], f.tell())
-
-    def get(self, key: int) -> np.ndarray | None:
-        """The ids of a key's first document in constant time; None where the stored fingerprint differs."""
-        n = len(self.table)
-        if not n:
-            return None
-        h = _key_hash(np.array([key]))
-        bucket = (h >> np.uint64(33)) % np.uint64(len(self.displacement))
-        found = self.table[int(_slots(h, self.displacement[bucket.astype(np.int64)], n)[0])]
-        if found["fingerprint"] != int(h[0]) & 0xFFFFFFFF or self.rows["key"][found["row"]] != key:
-            return None
-        return self.ids[int(found["offset"]) : int(found["offset"]) + int(found["tokens"])]
+        size = int.from_bytes(file.read(4), "little")
+        self.head = h = json.loads(file.read(size))
+        self.kind = np.dtype(h["dtype"])
+        self.at_slots = 12 + size + 4 * h["buckets"]
+        self.at_lengths = self.at_slots + SLOT.itemsize * h["keys"]
+        self.at_ids = self.at_lengths + 8 * h["rows"]
+        self.at_displacements = 12 + size
+        self.index = None
+        if index:
+            self.index = self._read(self.at_displacements, h["buckets"], "<u4"), self._read(self.at_slots, h["keys"], SLOT), self._read(self.at_lengths, h["rows"], "<u8")
+
+    def _read(self, at: int, n: int, kind) -> np.ndarray:
+        kind = np.dtype(kind)
+        self.file.seek(at)
+        return np.frombuffer(self.file.read(n * kind.itemsize), kind)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slots of keys, by displacement; copies is 0 where the stored fingerprint differs."""
+        n = self.head["keys"]
+        if not n or not len(keys):
+            return np.zeros(len(keys), SLOT)
+        h = _key_hash(keys)
+        bucket = ((h >> np.uint64(33)) % np.uint64(self.head["buckets"])).astype(np.int64)
+        if self.index is not None:
+            found = self.index[1][_slots(h, self.index[0][bucket], n).astype(np.int64)]
+        else:
+            moved = np.concatenate([self._read(self.at_displacements + 4 * b, 1, "<u4") for b in bucket.tolist()])
+            found = np.concatenate([self._read(self.at_slots + SLOT.itemsize * s, 1, SLOT) for s in _slots(h, moved, n).astype(np.int64).tolist()])
+        found = found.copy()
+        found["copies"][found["fingerprint"] != _fingerprint(keys)] = 0
+        return found
+
+    def rows(self, first: int, n: int) -> np.ndarray:
+        """The numbers of ids of n rows."""
+        return (self.index[2][first : first + n] if self.index is not None else self._read(self.at_lengths + 8 * first, n, "<u8")).astype(np.int64)
+
+    def ids(self, offset: int, n: int) -> np.ndarray:
+        return self._read(self.at_ids + self.kind.itemsize * offset, n, self.kind)
+
+    def documents(self, slot: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(offset, ids) of each document of a found key."""
+        lengths = self.rows(int(slot["row"]), int(slot["copies"]))
+        offsets = int(slot["offset"]) + np.cumsum(lengths) - lengths
+        return [(o, self.ids(o, n)) for o, n in zip(offsets.tolist(), lengths.tolist(), strict=True)]
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of a key's documents, read in constant time; none where the key isn't there."""
+        slot = self.find(np.array([key], np.int64))[0]
+        return [ids for _, ids in self.documents(slot)] if slot["copies"] else []
 
 
 MANIFEST = "shard int, path string, first_key long, last_key long, n_docs long, n_ids long"
@@ -222,6 +260,7 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, directory: str | Non
     """Write the shards of docs into directory (by default a new one in the shared folder) and return the manifest, one row a shard with the number of ids in the shards before it."""
     spark = docs.sparkSession
     directory = directory or new_path(spark, "tokens")
+    small_batches(spark)
     schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +279,8 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, directory: str | Non
             path = f"{directory}/shard-{shard:06d}.tok"
             _publish(path, shard_bytes(ids, payloads, e.kind))
             known = [i for i in ids if i is not None] or [None]
+            payloads.clear()
+            release()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "first_key": [known[0]], "last_key": [known[-1]], "n_docs": [len(ids)], "n_ids": [sum(map(len, payloads)) // e.kind.itemsize]}, schema=schema)
 
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -250,48 +291,74 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, directory: str | Non
     return spark.read.schema(made.schema).parquet(path)
 
 
-def read_token_store(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the shards of a manifest.
+def _routed(manifest: DataFrame, keys: DataFrame, key_col: str) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """((shard, key) of the wanted keys, path and number of ids before of every shard). One row a shard comes to the driver.
 
-    start counts the ids of all documents before it. The manifest has one row a shard; its running sum of ids is the only
-    thing computed in one place.
+    A key goes to the last shard that begins at or before it; a null key to the first shard.
     """
-    from pyspark.sql import Window
+    shards = sorted((r["shard"], r["path"], r["first_key"], r["n_ids"]) for r in manifest.collect())
+    before = np.cumsum([0, *[s[3] for s in shards]]).tolist()
+    # A shard of null ids alone has no first key: it begins before all others.
+    cuts = np.array([np.iinfo(np.int64).min if s[2] is None else s[2] for s in shards], np.int64)
+
+    @F.pandas_udf("int")
+    def shard_of(key: pd.Series) -> pd.Series:
+        at = np.maximum(np.searchsorted(cuts, key.fillna(0).to_numpy().astype(np.int64), "right") - 1, 0)
+        return pd.Series(np.where(key.isna().to_numpy(), 0, at), dtype="int32")
 
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = keys.select(F.col(f"`{key_col}`").cast("long").alias("key")).distinct()
+    if not shards:
+        return wanted.select(F.lit(0).alias("shard"), "key"), []
+    return wanted.select(shard_of("key").alias("shard"), "key"), list(zip([s[1] for s in shards], before, strict=False))
+
+
+def read_token_store(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document with one of the keys, read through the shards' indexes.
+
+    start counts the ids of all documents before it: those of the shards before, from the manifest, and the slot's offset.
+    """
+    wanted, shards = _routed(manifest, keys, key_col)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with _open(path, "rb") as f:
-                    shard = Shard(f.read())
-                tokens = shard.rows["tokens"].astype(np.int64)
-                starts = np.cumsum(tokens) - tokens
-                crc = [zlib.crc32(shard.ids[s : s + n].astype("<u4").tobytes()) for s, n in zip(starts, tokens, strict=True)]
-                gone = np.arange(len(tokens)) < shard.head["nulls"]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.rows["key"], mask=gone), pa.array(starts + base), pa.array(tokens), pa.array(crc, pa.int64())], schema=schema)
+    def read(table: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if shards:
+            path, base = shards[table.column("shard")[0].as_py()]
+            with _open(path, "rb") as f:
+                shard = Shard(f, index=True)
+                known = np.sort(table.column("key").drop_null().to_numpy().astype(np.int64))
+                found = shard.find(known)
+                documents = [(k, o, ids) for k, slot in zip(known.tolist(), found, strict=True) if slot["copies"] for o, ids in shard.documents(slot)]
+                if table.column("key").null_count:
+                    lengths = shard.rows(0, shard.head["nulls"])
+                    documents += [(None, o, shard.ids(o, n)) for o, n in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist(), strict=True)]
+                rows = [(k, base + o, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for k, o, ids in documents]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(schema)], schema=schema)
 
-    placed = manifest.select("path", before.alias("base"), "shard")
-    return placed.repartition(F.col("shard")).select("path", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return wanted.groupBy("shard").applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """(key, ids) of the wanted keys: each goes to the shard whose range holds it, and there to its slot. ids: null where absent."""
-    ranges = manifest.select("path", "first_key", "last_key")
-    wanted = keys.select(F.col(key_col).cast("long").alias("key")).distinct()
-    placed = wanted.join(ranges, (wanted["key"] >= ranges["first_key"]) & (wanted["key"] <= ranges["last_key"]), "left").select("key", "path")
+    """(key, copy, ids) of the wanted keys, a row for each of a key's documents; copy 0 and null ids where it is absent.
+
+    Each key costs four small reads at its place in its shard.
+    """
+    wanted, shards = _routed(manifest, keys, key_col)
+    wanted = wanted.filter("key is not null")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, shard = None, None
         for batch in batches:
-            found = []
-            for key, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if path != at and path is not None:
-                    with _open(path, "rb") as f:
-                        at, shard = path, Shard(f.read())
-                got = shard.get(key) if path is not None and key is not None else None
-                found.append(None if got is None else got.astype(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "ids"])
-
-    return placed.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(find, "key long, ids array<long>").groupBy("key").agg(F.max("ids").alias("ids"))
+            rows: list[tuple] = []
+            for number in np.unique(batch.column(0).to_numpy()).tolist():
+                mine = batch.column(1).filter(pa.compute.equal(batch.column(0), number)).to_pylist()
+                if not shards:
+                    rows += [(key, 0, None) for key in mine]
+                    continue
+                with _open(shards[number][0], "rb") as f:
+                    shard = Shard(f)
+                    for key in mine:
+                        got = shard.get(key)
+                        rows += [(key, i + 1, ids.astype(np.int64).tolist()) for i, ids in enumerate(got)] or [(key, 0, None)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["key", "copy", "ids"])
+
+    return wanted.mapInArrow(find, "key long, copy int, ids array<long>")

@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
-Voters are features of a text: words of a fixed lexicon, and words and word beginnings (patterns) that go with the
-labels of the training rows. A generative label model takes the true label as hidden, and estimates by EM how often each
-voter, and the given label itself, speaks in either class. Voters that go together beyond what the class explains are
-correlated; each one's say is divided by the correlation it shares with others. The model's posterior labels train a
-linear classifier over the same kind of features, which scores every text in one scan without a shuffle.
+Voters are features of a text: words of a fixed lexicon, and words and word beginnings (patterns, in whatever language)
+proposed from a development half of the labelled rows. A generative label model takes the true label as hidden. It starts
+from the voters' rates on the development half, first judges all rows by the voters alone, and estimates by EM how often
+each voter speaks in either class; the given label is but one more noisy voter, whose accuracy is estimated too. Voters that go together beyond what the class explains are modelled
+together: a group of correlated voters has one joint distribution of how many of them speak (none, one, a few, many) in
+either class, so a stem and its beginnings count once. The model's posterior labels train a linear classifier over the
+same kind of features, which scores every text in one scan without a shuffle.
 
 Features are hashed to 2^20 numbers: words of digits, letters and code points from U+0080 with A-Z lower-cased, and their
 first 4 to 8 bytes. Only the text is read for a score.
@@ -12,7 +14,8 @@ first 4 to 8 bytes. Only the text is read for a score.
 The models are fitted on SAMPLE labelled rows at most (a documented bound): those whose crc32(id as text) mod 5 is not 0,
 in the order of a hash of their id. The features of these rows, not of the corpus, come to the driver.
 
-Cases: null and empty texts have no features and get the intercept's score; rows that repeat an id are scored each, and teach with
+Cases: null and empty texts have no features and get the intercept's score; a very long text is scored whole, a block by
+itself; rows that repeat an id are scored each, and teach with
 the smallest of their texts; label
 rows with a null label, or whose id no document has, teach nothing; without labels of both classes every score is the
 share of toxic labels (0 without any); an empty table gives an empty table; extra columns are not read.
@@ -20,6 +23,7 @@ share of toxic labels (0 without any); an empty table gives an empty table; extr
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm._storage import release, small_batches, tidy
 from docloom.llm._text import ALNUM, LOWER, U64, blocks, find_words, span_hashes
 
 SAMPLE, VOTERS, FEATURES = 8_000, 300, 4_000
+#: Correlation beyond the class from which voters are modelled together; the numbers of a group's voters that begin a new state.
+LINKED, STATES = 0.3, (1, 2, 4)
 SPACE_BITS, PREFIXES = 20, (4, 5, 6, 7, 8)
 #: Insults that vote for toxic wherever they stand.
 LEXICON = ("idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "imbecile", "fool", "vermin", "filth", "jerk", "creep", "coward", "liar")
@@ -73,8 +80,9 @@ def _sample_features(docs: DataFrame, labels: DataFrame, text_col: str, id_col:
                 bounds = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo).cast(pa.int64()), batch.column(0).slice(lo, hi - lo), pa.array([f[a:b].astype("<u4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], schema=arrow)
 
-    got = sorted({(r["id"], r["y"], bytes(r["features"])) for r in rows.mapInArrow(run, schema).toLocalIterator()})
-    return [np.frombuffer(x[2], "<u4") for x in got], np.array([x[1] for x in got], np.float64)
+    # In an order of no meaning, so that either half is like the other.
+    got = sorted((zlib.crc32(str(r["id"]).encode()), r["id"], r["y"], bytes(r["features"])) for r in rows.mapInArrow(tidy(run), schema).toLocalIterator())
+    return [np.frombuffer(x[3], "<u4") for x in got], np.array([x[2] for x in got], np.float64)
 
 
 def _association(features: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,29 +103,52 @@ def lexicon_features() -> np.ndarray:
     return (span_hashes(data, start, end) >> U64(64 - SPACE_BITS)).astype(np.int64)
 
 
-def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 25) -> dict[str, np.ndarray]:
-    """EM over voters (rows x voters, 0 or 1) and the given labels. posterior, and each voter's rates and weight."""
+def correlated(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The group of each voter: groups are connected by correlations over LINKED that the class q doesn't explain."""
+    on1, on0 = votes.T @ q / max(q.sum(), 1e-9), votes.T @ (1 - q) / max((1 - q).sum(), 1e-9)
+    rest = votes - np.outer(q, on1) - np.outer(1 - q, on0)
+    spread = np.sqrt((rest**2).mean(axis=0)) + 1e-6
+    near = np.abs(rest.T @ rest / len(q)) > LINKED * np.outer(spread, spread)
+    group = np.arange(votes.shape[1])
+    while True:
+        least = np.where(near, group[None, :], len(group)).min(axis=1)
+        new = np.minimum(group, least)
+        if (new == group).all():
+            return np.unique(group, return_inverse=True)[1]
+        group = new
+
+
+def label_model(votes: np.ndarray, y: np.ndarray, development: int | None = None, rounds: int = 25) -> dict[str, np.ndarray]:
+    """EM over voters (rows x voters, 0 or 1) and the given labels.
+
+    It starts from the rates that voters have on the first development rows, by their labels (default: half of the rows).
+    posterior: of each row. group: of each voter. on_toxic, on_other: groups x STATES, how often so many of a group speak.
+    label: how often the given label says toxic in either class.
+    """
     n, m = votes.shape
-    q = np.clip(y, 0.05, 0.95)
-    weight = np.ones(m)
-    for _ in range(rounds):
-        p = (q.sum() + 1) / (n + 2)
-        on1 = (votes.T @ q + 0.5) / (q.sum() + 1)
-        on0 = (votes.T @ (1 - q) + 0.5) / ((1 - q).sum() + 1)
+    votes = votes.astype(np.float32)
+    d = n // 2 if development is None else development
+    known = np.arange(n) < d
+    q = np.where(known, np.clip(y, 0.05, 0.95), 0.0)
+    for turn in range(rounds):
+        if turn in (0, rounds // 3, 2 * rounds // 3):
+            # Which voters go together is seen best once the class is known better.
+            group = correlated(votes[:d], q[:d].astype(np.float32)) if not turn else correlated(votes, q.astype(np.float32))
+            count = np.stack([votes[:, group == g].sum(axis=1) for g in range(group.max(initial=-1) + 1)], axis=1).astype(np.int64) if m else np.zeros((n, 0), np.int64)
+            kinds, groups = len(STATES) + 1, count.shape[1]
+            place = np.digitize(count, STATES) + np.arange(groups) * kinds
+        p = (q.sum() + 1) / (known.sum() + 2)
+        seen = lambda weight: np.bincount(place.ravel(), np.repeat(weight, groups), groups * kinds).reshape(groups, kinds) + 0.5  # noqa: B023, E731
+        on1, on0 = seen(q), seen(known - q)
+        on1, on0 = on1 / on1.sum(axis=1, keepdims=True), on0 / on0.sum(axis=1, keepdims=True)
         hit = np.clip(((q * y).sum() + 9) / (q.sum() + 10), 0.5, 0.99)
-        false = np.clip((((1 - q) * y).sum() + 1) / ((1 - q).sum() + 20), 0.002, 0.5)
-        # Correlation that the class doesn't explain.
-        rest = votes - np.outer(q, on1) - np.outer(1 - q, on0)
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        rho = np.abs(rest.T @ rest / n / np.outer(spread, spread))
-        np.fill_diagonal(rho, 0)
-        weight = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
-        said = np.log(on1 / on0)
-        silent = np.log((1 - on1) / (1 - on0))
-        logit = np.log(p / (1 - p)) + votes @ (weight * (said - silent)) + (weight * silent).sum()
-        logit += np.where(y > 0.5, np.log(hit / false), np.log((1 - hit) / (1 - false)))
-        q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return {"posterior": q, "on_toxic": on1, "on_other": on0, "weight": weight}
+        false = np.clip((((known - q) * y).sum() + 1) / ((known - q).sum() + 20), 0.002, 0.5)
+        say = np.log(on1 / on0).ravel()
+        logit = np.log(p / (1 - p)) + say[place].sum(axis=1)
+        if turn:
+            logit += np.where(y > 0.5, np.log(hit / false), np.log((1 - hit) / (1 - false)))
+        q, known = 1 / (1 + np.exp(-np.clip(logit, -30, 30))), np.ones(n)
+    return {"posterior": q, "group": group, "on_toxic": on1, "on_other": on0, "label": np.array([hit, false])}
 
 
 def _classifier(features: list[np.ndarray], q: np.ndarray, chosen: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -149,12 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return table, float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    z, pos, neg = _association(features, y)
+    half = len(y) // 2
+    z, pos, neg = _association(features[:half], y[:half])
     known = lexicon_features()
     ranked = np.argsort(-z, kind="stable")
-    likely = ranked[(pos[ranked] >= 3) & (z[ranked] > 2.5)]
+    likely = ranked[(pos[ranked] >= 3) & (z[ranked] > 3.5)]
     voters = np.unique(np.concatenate([known, likely[:VOTERS]]))
-    votes = np.stack([np.isin(voters, f) for f in features]).astype(np.float32)
+    votes = np.stack([np.isin(voters, f) for f in features])
     q = label_model(votes, y)["posterior"]
     z, pos, neg = _association(features, q)
     ranked = np.argsort(-np.abs(z), kind="stable")
@@ -162,14 +194,17 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     chosen = np.unique(np.concatenate([voters, chosen[np.abs(z[chosen]) > 2.0][:FEATURES]]))
     w, b = _classifier(features, q, chosen)
     table[chosen] = w
+    del features, votes, z, pos, neg
+    release()
     return table, b
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """(id, held_out, score, predicted) of every row of docs. keep: instead of the id, these columns in a struct named row."""
+    small_batches(docs.sparkSession)
     table, b = fit(docs, labels, text_col, id_col)
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    carried = F.struct(*[F.col(c) for c in keep]).alias("row") if keep else F.col(id_col)
+    carried = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row") if keep else F.col(id_col)
     first = "row" if keep else id_col
     source = docs.select(carried, F.col(text_col).alias("_text"))
     kind = source.schema[first].dataType.simpleString()
@@ -185,8 +220,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text",
                 score[lo:hi] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=[first, "score"])
 
-    scored = source.mapInArrow(run, f"`{first}` {kind}, score double" if not keep else source.select("row").schema.add("score", "double"))
-    doc_id = F.col(f"row.{id_col}") if keep else F.col(id_col)
+    scored = source.mapInArrow(tidy(run), f"`{first}` {kind}, score double" if not keep else source.select("row").schema.add("score", "double"))
+    doc_id = F.col(f"row.`{id_col}`") if keep else F.col(id_col)
     held = F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select(first, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
