@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- Fixed values: phrases and patterns that the screens look for. ---
@@ -125,3 +125,48 @@ def clean_sql_answer(text: Column) -> Column:
 def over_expanded(original: Column, rewritten: Column) -> Column:
     """A rewrite that is longer by more than 50 characters and more than 1.75 times."""
     return (F.length(rewritten) > F.length(original) + 50) & (F.length(rewritten) > 1.75 * F.length(original))
+
+
+# --- Fixed values: words that say which source a question needs. ---
+SECOND_CUES = ["and also", "as well as", "and tell me", "and what", "plus"]
+METRIC_CUES = ["revenue", "growth", "segment", "segments", "cagr", "profit", "total", "count", "average", "sum", "how many"]
+NARRATIVE_CUES = ["chairwoman", "chairman", "statement", "stated", "says", "message from", "in the document", "in the pdf", "in the text", "from the document", "from the pdf", "from the text", "document", "pdf", "uploaded", "docx", "xlsx", "spreadsheet", "figure", "image"]
+DOCUMENT_WORDS = ["document", "pdf", "docx", "xlsx", "uploaded", "spreadsheet", "page ", "figure", "image"]
+AGGREGATE_WORDS = ["how many", "count", "total", "average", "sum", "top ", "bottom ", "group by"]
+CONTENT_TOOLS = ["search_documents", "search_images", "create_chart"]
+# --- End of fixed values. ---
+
+
+def sql_route(query: Column, tables: list[str]) -> Column:
+    """hybrid for a question about both numbers and a document's words, sql for one about a table or an aggregate, else null."""
+    text = F.lower(F.trim(query))
+    says = lambda cues: text.rlike("\\b(?:" + "|".join(cues) + ")\\b")
+    both = says(NARRATIVE_CUES) & (says(METRIC_CUES) | says(SECOND_CUES) | (F.instr(text, "compare") > 0))
+    named = F.arrays_overlap(F.regexp_extract_all(text, F.lit("[a-z_][a-z0-9_]*"), F.lit(0)), F.array(*[F.lit(t.lower()) for t in tables]))
+    return F.when(both, "hybrid").when(any_phrase(text, DOCUMENT_WORDS), F.lit(None).cast("string")).when(any_phrase(text, AGGREGATE_WORDS) | named, "sql")
+
+
+def tool_gate(calls: DataFrame, sql: str) -> DataFrame:
+    """calls with reason and allowed: the audit of every statement that a tool would run."""
+    return calls.withColumn("reason", sql_refusal(F.col(sql))).withColumn("allowed", F.col("reason").isNull())
+
+
+def _used(tools: Column) -> tuple[Column, Column]:
+    """Whether a turn has read documents, and the database."""
+    return F.arrays_overlap(tools, F.array(*map(F.lit, CONTENT_TOOLS))), F.array_contains(tools, "query_database")
+
+
+def stop_after_tools(tools: Column, sql_allowed: Column, docs_allowed: Column, indexed: Column) -> Column:
+    """Whether the tools used so far are enough: both sources, or one where the other is not allowed or empty."""
+    docs, db = _used(tools)
+    return F.when(docs & db, True).when(docs, ~sql_allowed).when(db, ~docs_allowed | (indexed <= 0)).otherwise(False)
+
+
+def needs_documents(tools: Column, docs_allowed: Column, indexed: Column) -> Column:
+    """The database was asked and documents, which may hold an answer too, were not."""
+    return _used(tools)[1] & ~F.array_contains(tools, "search_documents") & docs_allowed & (indexed > 0)
+
+
+def needs_database(tools: Column, sql_allowed: Column) -> Column:
+    docs, db = _used(tools)
+    return docs & ~db & sql_allowed

@@ -72,3 +72,13 @@ def intersects(a: Column, b: Column) -> Column:
 def to_pdf_points(b: Column, page_height: Column, x0: Column, y0: Column) -> Column:
     """A box from the top as native coordinates from the bottom, with the page's origin added."""
     return F.array(b[0] + x0, page_height - b[3] + y0, b[2] + x0, page_height - b[1] + y0)
+
+
+def apart(boxes: Column, tolerance: float = 2.0) -> Column:
+    """The boxes of an array, in order, without those whose every side is within tolerance of a kept one's. boxes: array of structs with a field box."""
+
+    def step(kept, x):
+        near = F.exists(kept, lambda y: F.forall(F.zip_with(x["box"], y["box"], lambda a, b: F.abs(a - b) <= tolerance), lambda ok: ok))
+        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
+
+    return F.aggregate(boxes, F.slice(boxes, 1, 0), step)

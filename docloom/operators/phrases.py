@@ -6,10 +6,10 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import STOP_WORDS
+from docloom.functions.text import STOP_WORDS, distinctive, raw_tokens
 
 _QUOTED = "[\"“”']([^\"“”']{4,})[\"“”']"
 _TITLE = "\\b([A-Z][A-Za-z0-9]*(?:\\s+[A-Z0-9][A-Za-z0-9]*)+)\\b"
@@ -46,3 +46,47 @@ def lookup_phrases() -> Callable[[Column], Column]:
         return texts.map(_spans)
 
     return spans
+
+
+def merge_anchor_phrases(query: Column, earlier: Column) -> Column:
+    """The query behind the named phrases, its own and those of earlier questions (an array), that it does not hold yet."""
+    target = F.trim(query)
+    found = F.flatten(F.transform(F.concat(F.array(target), earlier), lambda t: named_phrases(F.coalesce(t, F.lit("")))))
+    missing = F.filter(found, lambda p: F.instr(F.lower(target), F.lower(p)) == 0)
+    once = F.aggregate(missing, F.slice(missing, 1, 0), lambda acc, p: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(p)), acc).otherwise(F.concat(acc, F.array(p))))
+    return F.when(F.coalesce(target, F.lit("")) == "", query).otherwise(F.array_join(F.concat(once, F.array(target)), " "))
+
+
+# --- Fixed values: what comes before a name that is looked up, and fillers at its beginning. ---
+MARKERS = ["about the movie ", "about the film ", "about the show ", "about the series ", "for the movie ", "for the film ", "for the show ", "for the series ", "about ", "for ", "titled ", "called ", "named "]
+FILLERS = "the|a|an|movie|film|show|series"
+# --- End of fixed values. ---
+
+
+def marked_phrases(text: Column) -> Column:
+    """What follows each marker up to a punctuation mark, fillers at its beginning left out, six words at most."""
+
+    def after(marker: str) -> Column:
+        tails = F.slice(F.split(text, "(?i)" + marker), 2, 1000)
+        plain = F.transform(tails, lambda t: F.trim(F.regexp_replace(F.trim(F.regexp_extract(F.trim(t), "^[^?.!,;\n]*", 0)), f"(?i)^(?:(?:{FILLERS})\\s+)+", "")))
+        return F.transform(plain, lambda t: F.array_join(F.slice(F.filter(F.split(t, "\\s+"), lambda w: w != ""), 1, 6), " "))
+
+    return F.filter(F.concat(*[after(m) for m in MARKERS]), lambda t: t != "")
+
+
+def match_profiles(questions: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, phrases, tokens): what rows and entities are matched with.
+
+    Phrases: named ones, what follows a marker, and telling runs of tokens, longest first, each once. Tokens: those of the
+    phrases that tell something, then the telling ones of three letters or more, each once.
+    """
+    asked = F.coalesce(F.col(text), F.lit(""))
+    every = F.concat(named_phrases(asked), marked_phrases(asked), lookup_phrases()(asked))
+    plain = F.filter(F.transform(every, lambda p: F.array_join(raw_tokens(p), " ")), lambda p: p != "")
+    ordered = F.transform(F.array_sort(F.array_distinct(F.transform(plain, lambda p: F.struct((-F.length(p)).alias("n"), F.lower(p).alias("k"))))), lambda x: x["k"])
+    rows = questions.select(key, asked.alias("_t"), ordered.alias("phrases"))
+    low = lambda ts: F.transform(ts, lambda t: F.lower(t))
+    short = lambda t: (F.length(t) <= 2) & t.rlike("^[A-Za-z]+$") & ~F.lower(t).isin(STOP_WORDS)
+    of_phrases = F.filter(F.flatten(F.transform("phrases", lambda p: raw_tokens(p))), lambda t: distinctive(t) | short(t))
+    of_text = F.filter(raw_tokens(F.col("_t")), lambda t: (F.length(t) >= 3) & distinctive(t))
+    return rows.select(key, F.array_distinct("phrases").alias("phrases"), F.array_distinct(low(F.concat(of_phrases, of_text))).alias("tokens"))

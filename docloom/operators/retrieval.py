@@ -10,22 +10,17 @@ from docloom.functions.vectors import l2_distance
 K1, B = 1.2, 0.75
 
 
-def postings(chunks: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """((key, term, tf), (key, length)): an inverted index with one row a chunk and term."""
-    tokens = chunks.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
-    terms = tokens.select(key, F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return terms, tokens.select(key, F.size("w").alias("length"))
-
-
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """(query_id, key, score) for queries (query_id, term), whose terms are few and sent to every task only if Spark finds them small."""
     wanted = queries.select("query_id", "term").distinct()
-    terms, lengths = postings(chunks, key, text)
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    # Only terms that are asked for are counted and joined.
-    found = terms.join(wanted.select("term").distinct(), "term", "left_semi")
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    tokens = chunks.select(key, words.alias("w"))
+    totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    # Only terms that are asked for are counted; each posting carries its chunk's length.
+    asked = wanted.select("term").distinct()
+    found = tokens.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = found.join(df, "term").join(lengths, key).crossJoin(F.broadcast(totals))
+    weighted = found.join(df, "term").crossJoin(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     return weighted.withColumn("s", score).join(wanted, "term").groupBy("query_id", key).agg(F.sum("s").alias("score"))

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from docloom.plans import relational_queries, scalar_queries, service_queries, stream_queries  # noqa: F401
+    from docloom.plans import relational_queries, scalar_queries, search_queries, service_queries, stream_queries, table_queries, workbook_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -268,12 +268,16 @@ def _(spark, sf):
     return boxes(spark, sf).groupBy("page").agg(F.min(b[0]).alias("x0"), F.min(b[1]).alias("top"), F.round(F.max(b[2]), 6).alias("x1"), F.max(b[3]).alias("bottom"))
 
 
-@query("g04_near_duplicate_boxes", f"WITH b AS ({_BOXES}) SELECT page, ord FROM b WHERE NOT EXISTS (SELECT 1 FROM b e WHERE e.page = b.page AND e.ord < b.ord AND abs(e.x0 - b.x0) <= 60 AND abs(e.x1 - b.x1) <= 60 AND abs(e.top - b.top) <= 60 AND abs(e.bottom - b.bottom) <= 60)")
+@query(
+    "g04_near_duplicate_boxes",
+    f"""WITH b AS ({_BOXES}), l AS (SELECT page, list([[ord, x0, top, x1, bottom]] ORDER BY ord) AS bs FROM b GROUP BY page),
+k AS (SELECT page, unnest(list_reduce(bs, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: abs(y[2] - x[1][2]) <= 62.5 AND abs(y[3] - x[1][3]) <= 62.5 AND abs(y[4] - x[1][4]) <= 62.5 AND abs(y[5] - x[1][5]) <= 62.5)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS v FROM l)
+SELECT page, CAST(v[1] AS BIGINT) AS ord FROM k""",
+)
 def _(spark, sf):
-    b = boxes(spark, sf)
-    earlier = b.select(F.col("page").alias("_p"), F.col("ord").alias("_o"), F.col("box").alias("_b"))
-    near = F.forall(F.zip_with("box", "_b", lambda x, y: F.abs(x - y) <= 60), lambda ok: ok)
-    return b.join(earlier, (F.col("page") == F.col("_p")) & (F.col("_o") < F.col("ord")) & near, "left_anti").select("page", "ord")
+    # Only boxes that were kept stand in the way of later ones; the tolerance is wide, as these boxes are.
+    packed = boxes(spark, sf).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", "box"))).alias("bs"))
+    return packed.select("page", F.explode(V.apart(F.col("bs"), 62.5)).alias("x")).select("page", F.col("x.ord").cast("long").alias("ord"))
 
 
 @query("c14_image_proximity", f"WITH b AS ({_BOXES}), p AS (SELECT t.page, i.ord, greatest(least(t.x1, i.x1) - greatest(t.x0, i.x0), 0) / least(t.x1 - t.x0, i.x1 - i.x0) AS ov, greatest(greatest(t.top, i.top) - least(t.bottom, i.bottom), 0) AS gap FROM b t JOIN b i ON t.page = i.page AND t.ord % 2 = 1 AND i.ord % 2 = 0), s AS (SELECT page, ord, max(ov * (1 - gap / 80)) AS score FROM p WHERE ov >= 0.25 AND gap <= 80 GROUP BY page, ord) SELECT page, ord, round(score, 6) AS score FROM s WHERE score >= 0.3")
