@@ -270,7 +270,7 @@ def _(spark, sf):
 
 @query(
     "g04_near_duplicate_boxes",
-    f"""WITH b AS ({_BOXES}), l AS (SELECT page, list([[ord, x0, top, x1, bottom]] ORDER BY ord) AS bs FROM b GROUP BY page),
+    f"""WITH b AS ({_BOXES}), l AS (SELECT page, list([[ord, x0, top, x1, bottom]] ORDER BY ord, x0, top, x1, bottom) AS bs FROM b GROUP BY page),
 k AS (SELECT page, unnest(list_reduce(bs, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: abs(y[2] - x[1][2]) <= 62.5 AND abs(y[3] - x[1][3]) <= 62.5 AND abs(y[4] - x[1][4]) <= 62.5 AND abs(y[5] - x[1][5]) <= 62.5)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS v FROM l)
 SELECT page, CAST(v[1] AS BIGINT) AS ord FROM k""",
 )
