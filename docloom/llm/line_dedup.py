@@ -109,27 +109,31 @@ def _kept_ranges(runs: Column, total: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", id_col: str = "doc_id", counts: bool = False) -> DataFrame:
     """docs, whole rows, with later copies of repeated runs deleted from the text. counts: with n_lines_before and n_lines_deleted."""
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
-    gone = later_copies(docs.select(key.alias("doc"), F.col(text_col).alias("text")), min_words)
-    edits = gone.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first_pos", "last_pos", "ord", (F.col("ord") + F.col("len") - 1).alias("end")))).alias("_runs"))
-    edits = staged(edits.select(F.col("doc.id").alias("_id"), F.col("doc.h").alias("_h"), "_runs"), "edits")
+    text, kept = F.col(f"`{text_col}`"), [c for c in docs.columns if c != text_col]
+    # The caller's columns travel in a struct, so their names meet none of ours; the text travels once.
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    gone = later_copies(rows.select(F.struct("id", "h").alias("doc"), "text"), min_words)
+    edits = gone.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first_pos", "last_pos", "ord", (F.col("ord") + F.col("len") - 1).alias("end")))).alias("runs"))
+    edits = staged(edits.select(F.col("doc.id").alias("edit_id"), F.col("doc.h").alias("edit_h"), "runs"), "edits")
     # One plan at every size: texts and edits meet in a merge join.
-    joined = docs.withColumn("_key", F.xxhash64(F.col(text_col))).join(edits.hint("merge"), (F.col("_key") == F.col("_h")) & docs[id_col].eqNullSafe(F.col("_id")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    joined = joined.withColumn("_kept", F.when(F.col("_runs").isNotNull(), _kept_ranges(F.col("_runs"), F.size(lines))))
-    left = F.flatten(F.transform("_kept", lambda r: F.slice(lines, r["a"] + 1, r["b"] - r["a"])))
-    new = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    before = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
-    deleted = F.when(F.col("_kept").isNull(), 0).otherwise(before - F.aggregate("_kept", F.lit(0), lambda acc, r: acc + r["b"] - r["a"]))
+    joined = rows.join(edits.hint("merge"), (F.col("h") == F.col("edit_h")) & F.col("id").eqNullSafe(F.col("edit_id")), "left")
+    lines = F.split(F.col("text"), "\n", -1)
+    joined = joined.withColumn("kept", F.when(F.col("runs").isNotNull(), _kept_ranges(F.col("runs"), F.size(lines))))
+    left = F.flatten(F.transform("kept", lambda r: F.slice(lines, r["a"] + 1, r["b"] - r["a"])))
+    new = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    before = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    deleted = F.when(F.col("kept").isNull(), 0).otherwise(before - F.aggregate("kept", F.lit(0), lambda acc, r: acc + r["b"] - r["a"]))
     extra = [before.cast("long").alias("n_lines_before"), deleted.cast("long").alias("n_lines_deleted")] if counts else []
-    return joined.select(*[new.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *extra)
+    return joined.select(*[new.alias(c) if c == text_col else F.col(f"row.c{kept.index(c)}").alias(c) for c in docs.columns], *extra)
 
 
 def drop_copies(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """dedup_lines without the documents of which no word is left; documents that had none stay."""
-    done = dedup_lines(docs, min_words, text_col, id_col, counts=True)
-    emptied = (F.col("n_lines_deleted") > 0) & (F.trim(F.translate(text_col, "\n\t\r", "   ")) == "")
-    return done.filter(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    done = dedup_lines(packed, min_words, "text", "id", counts=True)
+    emptied = (F.col("n_lines_deleted") > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
+    left = done.filter(~F.coalesce(emptied, F.lit(False)))
+    return left.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 #: What the query returns, said in SQL: every run is found by comparing the lines themselves.

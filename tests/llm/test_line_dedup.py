@@ -54,3 +54,12 @@ def test_corner_cases(spark):
     got = sorted(((r.doc_id, r.text) for r in dedup_lines(docs, 3).collect()), key=str)
     assert got == sorted([(None, "a b\nc"), (1, ""), (1, ""), (1, "c"), (2, None)], key=str)
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    names = ["_key", "_kept", "_h", "h", "_id", "_runs", "runs", "row", "id", "kept", "c0", "odd.name", "n_lines_before"]
+    rows = [(1, "a b\nc", *[f"{n}1" for n in names]), (2, "a b\nc\nd", *[f"{n}2" for n in names])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for got in (dedup_lines(docs, 3), drop_copies(docs, 3)):
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect())) == [rows[0], (2, "d", *rows[1][2:])]
