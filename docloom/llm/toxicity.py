@@ -35,6 +35,8 @@ from docloom.llm._storage import release, small_batches, tidy
 from docloom.llm._text import ALNUM, LOWER, U64, blocks, find_words, span_hashes
 
 SAMPLE, VOTERS, FEATURES = 8_000, 300, 4_000
+#: Labelled rows that propose voters: half of the sample, and this many where there are.
+DEVELOPMENT = 1_000
 #: Correlation beyond the class from which voters are modelled together; the numbers of a group's voters that begin a new state.
 LINKED, STATES = 0.3, (1, 2, 4)
 SPACE_BITS, PREFIXES = 20, (4, 5, 6, 7, 8)
@@ -180,14 +182,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return table, float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    half = len(y) // 2
-    z, pos, neg = _association(features[:half], y[:half])
+    development = min(len(y), max(len(y) // 2, DEVELOPMENT))
+    z, pos, neg = _association(features[:development], y[:development])
     known = lexicon_features()
     ranked = np.argsort(-z, kind="stable")
-    likely = ranked[(pos[ranked] >= 3) & (z[ranked] > 3.5)]
+    # Few rows reach no large score however good a voter is.
+    likely = ranked[(pos[ranked] >= 3) & (z[ranked] > min(3.5, 0.3 * development**0.5))]
     voters = np.unique(np.concatenate([known, likely[:VOTERS]]))
     votes = np.stack([np.isin(voters, f) for f in features])
-    q = label_model(votes, y)["posterior"]
+    q = label_model(votes, y, development)["posterior"]
     z, pos, neg = _association(features, q)
     ranked = np.argsort(-np.abs(z), kind="stable")
     chosen = ranked[(pos + neg)[ranked] >= 4]
