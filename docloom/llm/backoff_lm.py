@@ -10,7 +10,9 @@ integers, so a sum depends on no order.
 
 Words: A-Z lower-cased, then runs of digits, letters and code points from U+0080.
 
-Cases: null or empty text, or one without words, has no words, score 0 and a null mean; rows that repeat an id or a text
+All n-grams of all documents are counted, whatever their counts.
+
+Cases: a very long text is one of its block's texts, whole; null or empty text, or one without words, has no words, score 0 and a null mean; rows that repeat an id or a text
 all count and are scored each; an empty table gives an empty table; extra columns are not read.
 """
 
@@ -23,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._storage import staged
+from docloom.llm._storage import small_batches, staged
 from docloom.llm._text import _ODD, ALNUM, U64, blocks, mix, word_hashes
 from docloom.llm.count_join import deal, with_counts
 
-ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
+#: A count of one says that an n-gram stands nowhere but in the document that is scored: it counts as unseen there.
+ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+#: Bits of a hash that tell n-grams apart: of ten thousand million n-grams one in seven million shares its count with another.
+COUNT_BITS = 56
 
 
 def _ngrams(column, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -67,7 +72,7 @@ def count_and_score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
             # The count of the n-gram that begins at each word.
             by_word = np.zeros(len(row), np.int64)
             if len(at):
-                by_word[at] = counts[n][np.unique(g, return_inverse=True)[1]]
+                by_word[at] = counts[n][np.unique(g >> U64(64 - COUNT_BITS), return_inverse=True)[1]]
             totals.append(by_word)
         value = np.zeros(len(row), np.int64)
         todo = np.ones(len(row), bool)
@@ -84,8 +89,9 @@ def count_and_score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
         sums = np.where(np.diff(first) > 0, sums, 0)
         return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), pa.array(np.diff(first)), pa.array(np.bincount(row[at], minlength=rows)), pa.array(sums)], schema=scored)
 
+    small_batches(docs.sparkSession)
     dealt, size = deal(docs, text_col, id_col)
-    return with_counts(dealt, size, explode, score, "doc_id long, n_words long, n_unigram long, log_micro long")
+    return with_counts(dealt, size, explode, score, "doc_id long, n_words long, n_unigram long, log_micro long", COUNT_BITS)
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -98,7 +104,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
 
 
 #: The query's result for order 2, in SQL.
-SQL = f"""
+SQL_ORDER_2 = f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
 ), w AS (
@@ -119,7 +125,7 @@ SELECT d.doc_id, coalesce(g.n_words, 0) AS n_words, CAST(coalesce(g.n_unigram, 0
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
-#: The same for order 3.
+#: The same for order 3, the production order.
 SQL_ORDER_3 = f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents

@@ -27,11 +27,10 @@ BLOCK_BYTES, RANGE_BYTES = 8_000_000, 16_000_000
 
 
 def pack(h: np.ndarray) -> bytes:
-    """Ascending numbers as their differences, in 4 or 6 bytes each where they fit."""
+    """Ascending numbers as their differences, each in as many bytes as the largest needs."""
     d = h.copy()
     d[1:] -= h[:-1]
-    top = int(d[1:].max(initial=0))
-    width = 4 if top < 1 << 32 else 6 if top < 1 << 48 else 8
+    width = max(1, -(-int(d[1:].max(initial=0)).bit_length() // 8))
     return bytes([width]) + h[:1].tobytes() + d[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 

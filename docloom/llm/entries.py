@@ -86,7 +86,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from docloom.llm import backoff_lm, chat_format, line_dedup
 
-    return {"op3_line_dedup": line_dedup.SQL, "op6_chat_rotation": chat_format.SQL, "op9_backoff_lm": backoff_lm.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op6_chat_rotation": chat_format.SQL, "op9_backoff_lm": backoff_lm.SQL_ORDER_3}
 
 
 def trigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,12 +95,18 @@ def trigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), order=3)
 
 
+def bigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.backoff_lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), order=2)
+
+
 def more_queries() -> dict:
-    """Second queries of an operator, beside the one of its number."""
-    return {"op9_backoff_lm_order3": trigram_lm}
+    """Further queries of an operator, beside the one of its number."""
+    return {"op9_backoff_lm_order3": trigram_lm, "op9_backoff_lm_order2": bigram_lm}
 
 
 def more_oracle_sql() -> dict[str, str]:
     from docloom.llm import backoff_lm
 
-    return {"op9_backoff_lm_order3": backoff_lm.SQL_ORDER_3}
+    return {"op9_backoff_lm_order3": backoff_lm.SQL_ORDER_3, "op9_backoff_lm_order2": backoff_lm.SQL_ORDER_2}
