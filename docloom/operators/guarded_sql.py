@@ -1,22 +1,64 @@
-"""Read-only SQL over registered views."""
+"""Read-only SQL over given views: Spark parses a statement, and only plans of known parts over those views may run."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.policy import sql_refusal
 
-#: Plan classes that a statement's parse may not be: it must be a query, not a command.
-_COMMANDS = ("Command", "Statement", "ShowTables", "ShowNamespaces", "DropTable", "CreateTable", "Insert", "Explain", "SetCatalog", "SetNamespace", "CacheTable", "Uncache", "Refresh", "Describe", "Truncate", "AlterTable", "Merge", "DeleteFromTable", "UpdateTable")
+#: Parts that a parsed query may have. Whatever else Spark can parse (commands, script transforms, table functions, time
+#: travel, path tables) is refused.
+PARTS = {
+    "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Intersect", "Except", "SubqueryAlias", "UnresolvedSubqueryColumnAliases",
+    "UnresolvedHaving", "UnresolvedInlineTable", "OneRowRelation", "WithWindowDefinition", "LateralJoin", "Pivot", "UnresolvedPivot", "UnresolvedUnpivot", "Unpivot", "UnresolvedHint",
+}
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
+#: Functions that run code or tell about the machine.
+FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_catalog", "current_database", "current_schema", "current_user", "session_user", "user", "version", "raise_error", "assert_true", "from_avro", "schema_of_avro", "try_aes_decrypt", "aes_decrypt"}
 
 
 class SqlRefused(ValueError):
     pass
 
 
-def refusal(spark: SparkSession, sql: str) -> str | None:
-    """Why a statement may not run: the lexical rules first, then Spark's own parser."""
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _expression_refusal(e, known: frozenset[str]) -> str | None:
+    kind = e.getClass().getSimpleName()
+    if kind == "UnresolvedFunction":
+        name = [str(p).lower() for p in _items(e.nameParts())]
+        if len(name) != 1 or name[0] in FUNCTIONS:
+            return f"forbidden function {'.'.join(name)}"
+    if kind in SUBQUERIES and (reason := _plan_refusal(e.plan(), known)):
+        return reason
+    return next((r for c in _items(e.children()) if (r := _expression_refusal(c, known))), None)
+
+
+def _plan_refusal(plan, known: frozenset[str]) -> str | None:
+    """Why a parsed plan may not run. known: the names of the views, and of the common table expressions in scope."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "UnresolvedRelation":
+        name = [str(p).lower() for p in _items(plan.multipartIdentifier())]
+        return None if len(name) == 1 and name[0] in known else f"unknown table {'.'.join(name)}"
+    if kind == "UnresolvedWith":
+        for named in _items(plan.cteRelations()):
+            if reason := _plan_refusal(named._2(), known):
+                return reason
+            known = known | {str(named._1()).lower()}
+        return _plan_refusal(plan.child(), known)
+    if kind not in PARTS:
+        return f"not a query: {kind}"
+    inside = [r for e in _items(plan.expressions()) if (r := _expression_refusal(e, known))]
+    return inside[0] if inside else next((r for c in _items(plan.children()) if (r := _plan_refusal(c, known))), None)
+
+
+def refusal(spark: SparkSession, sql: str, views: list[str]) -> str | None:
+    """Why a statement may not run: the lexical rules first, then what Spark's own parser makes of it."""
     reason = spark.range(1).select(sql_refusal(F.lit(sql)).alias("r")).first()["r"]
     if reason:
         return reason
@@ -24,17 +66,23 @@ def refusal(spark: SparkSession, sql: str) -> str | None:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
     except Exception:
         return "not parsed"
-    name = plan.getClass().getSimpleName()
-    return "not a query" if any(c in name for c in _COMMANDS) else None
+    return _plan_refusal(plan, frozenset(v.lower() for v in views))
 
 
 def run_sql(spark: SparkSession, sql: str, views: dict[str, DataFrame], audit: list | None = None) -> DataFrame:
-    """The result of one SELECT over views. audit: gets (sql, allowed, reason) of every attempt."""
-    reason = refusal(spark, sql)
+    """The result of one SELECT over views, which leaves the session's own views alone. audit: gets (sql, allowed, reason) of every attempt."""
+    reason = refusal(spark, sql, list(views))
     if audit is not None:
         audit.append((sql, reason is None, reason))
     if reason:
         raise SqlRefused(reason)
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql.strip().rstrip(";"))
+    # The statement sees the views under their names, the session only under others, and only while it is analysed.
+    hidden = {name: f"guarded_{uuid.uuid4().hex}" for name in views}
+    try:
+        for name, df in views.items():
+            df.createOrReplaceTempView(hidden[name])
+        named = ", ".join(f"`{name}` AS (SELECT * FROM {at})" for name, at in hidden.items())
+        return spark.sql(f"WITH {named} SELECT * FROM (\n{sql.strip().rstrip(';')}\n)") if views else spark.sql(sql.strip().rstrip(";"))
+    finally:
+        for at in hidden.values():
+            spark.catalog.dropTempView(at)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.operators.chunking import chunk_documents
-from docloom.sources.chunks import index_chunks
+from docloom.sources.chunks import index_chunks, replace_documents
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,14 +16,16 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest(batch: DataFrame, chunk_path: str, status_path: str) -> None:
-    """Chunk a batch of text files and record each document's state. Running a batch again replaces what it wrote."""
-    docs = batch.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), F.element_at(F.split("path", "/"), -2).alias("user_id"), F.decode("content", "utf-8").alias("text"))
-    chunks = chunk_documents(docs).join(docs.select("doc_id", "user_id"), "doc_id")
-    chunks = chunks.select("user_id", "doc_id", "ord", "content", F.lit(1).alias("page_number"), F.lit("text").alias("chunk_type"))
-    index_chunks(chunks, chunk_path)
-    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    status = docs.join(counts, "doc_id", "left").select("user_id", "doc_id", F.when(F.col("n") > 0, "indexed").otherwise("failed").alias("status"), F.coalesce("n", F.lit(0)).alias("chunk_count"))
-    status.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_id", "doc_id").parquet(status_path)
+    """Chunk a batch of text files and record each document's state. Running a batch again replaces what it wrote.
+
+    A document is a user's file (its folder's and its own name): users who name files alike share nothing.
+    """
+    docs = batch.select(F.element_at(F.split("path", "/"), -2).alias("user_id"), F.element_at(F.split("path", "/"), -1).alias("doc_id"), F.decode("content", "utf-8").alias("text"))
+    chunks = chunk_documents(docs.select(F.struct("user_id", "doc_id").alias("doc_id"), "text")).select("doc_id.user_id", "doc_id.doc_id", "ord", "content", F.lit(1).alias("page_number"), F.lit("text").alias("chunk_type"))
+    index_chunks(chunks, chunk_path, docs)
+    counts = chunks.groupBy("user_id", "doc_id").agg(F.count("*").alias("n"))
+    status = docs.join(counts, ["user_id", "doc_id"], "left").select("user_id", "doc_id", F.when(F.col("n") > 0, "indexed").otherwise("failed").alias("status"), F.coalesce("n", F.lit(0)).alias("chunk_count"))
+    replace_documents(status, status_path)
 
 
 def start_ingestion(spark: SparkSession, folder: str, chunk_path: str, status_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

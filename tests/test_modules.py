@@ -62,6 +62,32 @@ def test_guarded_sql(spark):
     assert [a[1] for a in audit] == [True, False, False, False, False]
 
 
+def test_guarded_sql_reads_nothing_but_its_views(spark, tmp_path):
+    views = {"t": spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string"), "U": spark.createDataFrame([(1,)], "a int")}
+    spark.createDataFrame([(7,)], "a int").createOrReplaceTempView("secret")
+    spark.createDataFrame([(9,)], "a int").createOrReplaceTempView("t")
+    bad = [
+        "SELECT * FROM text.`/etc/hostname`", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT TRY_REFLECT('java.lang.System', 'nanoTime')",
+        "SELECT TRANSFORM(a) USING 'cat' AS (x) FROM t", "SELECT * FROM secret", "SELECT * FROM t AS secret, secret", "SELECT (SELECT max(a) FROM secret) FROM t", "SELECT a FROM t WHERE a IN (SELECT a FROM secret)",
+        "SELECT * FROM t WHERE EXISTS (SELECT 1 FROM secret)", "SELECT * FROM (WITH secret AS (SELECT 1 AS a) SELECT * FROM secret), secret", "WITH x AS (SELECT * FROM secret) SELECT * FROM x", "SELECT * FROM range(5)",
+        "SELECT a FROM t ORDER BY (SELECT max(a) FROM secret)", "SELECT count(*) OVER (ORDER BY java_method('java.lang.System', 'nanoTime')) FROM t", "SELECT system.builtin.reflect('java.lang.System', 'nanoTime')", "SELECT 1) x, (SELECT * FROM secret",
+    ]
+    for sql in bad:
+        with pytest.raises(SqlRefused):
+            run_sql(spark, sql, views)
+    good = {
+        "SELECT t.a, count(*) AS n FROM t JOIN u ON t.a = u.a GROUP BY t.a HAVING count(*) > 0 ORDER BY 1 LIMIT 5": [(1, 1)],
+        "WITH x AS (SELECT a + 1 AS a FROM t), y AS (SELECT * FROM x) SELECT max(a) FROM y": [(3,)],
+        "SELECT b, sum(a) OVER (ORDER BY b) AS s FROM t UNION ALL SELECT 'z', 0 ORDER BY b": [("x", 1), ("y", 3), ("z", 0)],
+        "SELECT a FROM t WHERE a NOT IN (SELECT a FROM u)": [(2,)],
+        "SELECT DISTINCT upper(b) FROM t -- a comment": [("X",), ("Y",)],
+    }
+    for sql, want in good.items():
+        assert sorted(map(tuple, run_sql(spark, sql, views).collect())) == want
+    assert spark.table("t").collect()[0].a == 9
+    assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("guarded_")]
+
+
 def test_table_slots(spark):
     rows = [(1, "text", "text", 0.95), (1, "highlights", "table", 0.9), (1, "region", "table", 0.5), (1, "body", "text", 0.3), (1, "searched", "table", 0.4), *[(1, f"t{i}", "text", 0.2 - i / 100) for i in range(5)]]
     hits = spark.createDataFrame(rows, "query_id int, chunk_id string, chunk_type string, score double")
@@ -168,18 +194,30 @@ def test_office_files(spark, tmp_path):
     assert [(r.block, r.kind, r.style, r.text, r.grid) for r in office.word_files(spark, str(tmp_path)).collect()] == [(1, "paragraph", "Heading1", "Top", []), (2, "table", "", "", [["x"]])]
 
 
+def test_users_who_name_files_alike_share_nothing(spark, tmp_path):
+    for user in ("u1", "u2"):
+        (tmp_path / "in" / user).mkdir(parents=True)
+        (tmp_path / "in" / user / "a.txt").write_text(f"the words of {user}")
+    start_ingestion(spark, str(tmp_path / "in"), str(tmp_path / "chunks"), str(tmp_path / "status"), str(tmp_path / "ck"), once=True).awaitTermination(120)
+    for user in ("u1", "u2"):
+        assert [r.content for r in chunks.read_chunks(spark, str(tmp_path / "chunks"), user, ["a.txt"]).collect()] == [f"the words of {user}"]
+    assert sorted((r.user_id, r.doc_id, r.status, r.chunk_count) for r in spark.read.parquet(str(tmp_path / "status")).collect()) == [("u1", "a.txt", "indexed", 1), ("u2", "a.txt", "indexed", 1)]
+
+
 def test_chunk_table_and_ingestion(spark, tmp_path):
     (tmp_path / "in" / "u1").mkdir(parents=True)
     (tmp_path / "in" / "u1" / "d1.txt").write_text(" ".join(f"w{i}" for i in range(500)))
     (tmp_path / "in" / "u1" / "d2.txt").write_text(" ")
     for _ in range(2):
         start_ingestion(spark, str(tmp_path / "in"), str(tmp_path / "chunks"), str(tmp_path / "status"), str(tmp_path / "ck"), once=True).awaitTermination(120)
-    assert chunks.count_chunks(spark, str(tmp_path / "chunks"), "d1.txt") == 2
+    assert chunks.count_chunks(spark, str(tmp_path / "chunks"), "u1", "d1.txt") == 2
     state = {r.doc_id: (r.status, r.chunk_count) for r in spark.read.parquet(str(tmp_path / "status")).collect()}
     assert state == {"d1.txt": ("indexed", 2), "d2.txt": ("failed", 0)}
     one = spark.createDataFrame([("u1", "d1.txt", 0, "new", 1, "text")], "user_id string, doc_id string, ord int, content string, page_number int, chunk_type string")
     chunks.index_chunks(one, str(tmp_path / "chunks"))
     assert [r.content for r in chunks.read_chunks(spark, str(tmp_path / "chunks"), "u1", ["d1.txt"]).collect()] == ["new"]
+    chunks.index_chunks(one.limit(0), str(tmp_path / "chunks"), one)
+    assert chunks.count_chunks(spark, str(tmp_path / "chunks"), "u1", "d1.txt") == 0
     assert chunks.schema_digest({"t": one}).startswith("t(user_id:string")
     with pytest.raises(ValueError):
         chunks.jdbc_table(spark, "jdbc:mysql://h/d", "t")
