@@ -12,7 +12,13 @@ from docloom.streaming.guard import guard_tokens, static_tokens
 from docloom.streaming.limiter import limit_events
 
 
-@query("k04_rate_limit")
+@query(
+    "k04_rate_limit",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+g AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, false AS passed, CAST([] AS DOUBLE[]) AS kept FROM e
+  UNION ALL SELECT e.user_id, e.i, e.event_id, e.ts, len(list_filter(g.kept, lambda x: x > e.t - 3600)) < 3, CASE WHEN len(list_filter(g.kept, lambda x: x > e.t - 3600)) < 3 THEN list_append(list_filter(g.kept, lambda x: x > e.t - 3600), e.t) ELSE list_filter(g.kept, lambda x: x > e.t - 3600) END FROM g JOIN e ON e.user_id = g.user_id AND e.i = g.i + 1)
+SELECT user_id, event_id, ts, passed FROM g WHERE i > 0""",
+)
 def _(spark, sf):
     return limit_events(table(spark, sf, "events"), "user_id", "ts", "event_id", 3, 3600.0)
 

@@ -152,3 +152,60 @@ def _(spark, sf):
 @query("e15_column_reading_order", f"WITH {_GUTTER} SELECT w.page, ord, CASE WHEN (x0 + x1) / 2 >= gutter THEN 1 ELSE 0 END AS band, row_number() OVER (PARTITION BY w.page ORDER BY CASE WHEN (x0 + x1) / 2 >= gutter THEN 1 ELSE 0 END, round(top, 1), x0, ord) AS place FROM w JOIN g USING (page)")
 def _(spark, sf):
     return sequences.reading_order(_words(spark, sf), "page", 600.0).select("page", "ord", "band", "place")
+
+
+def _table_words(spark, sf):
+    """Pages with a table of a customer's orders: a header row, labels of two words, values at the right of two columns."""
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("page"), r.alias("r"), F.col("o_orderpriority").alias("p"), (1_000_000 + F.floor("o_totalprice")).cast("long").alias("v"))
+
+    def word(text, x0, wide, row):
+        top = row * 14.0
+        return F.struct(text.cast("string").alias("text"), x0.alias("x0"), top.alias("top"), (x0 + wide).alias("x1"), (top + 10.0).alias("bottom"))
+
+    def placed(df, *words):
+        return df.select("page", "r", F.posexplode(F.array(*words)).alias("i", "w")).select("page", (F.col("r") * 10 + F.col("i")).alias("ord"), "w.*")
+
+    number = lambda v, right, row: word(v, F.lit(right) - 6.0 * F.length(v.cast("string")), 6.0 * F.length(v.cast("string")), row)
+    zero = F.lit(0.0)
+    head = placed(o.select("page").distinct().withColumn("r", F.lit(0)), word(F.lit("2023"), F.lit(276.0), F.lit(24.0), zero), word(F.lit("2024"), F.lit(376.0), F.lit(24.0), zero))
+    at = F.col("r").cast("double")
+    body = placed(o, word(F.concat(F.lit("row"), F.col("r").cast("string")), F.lit(20.0), F.lit(40.0), at), word(F.col("p"), F.lit(70.0), F.lit(60.0), at), number(F.col("v"), 300.0, at), number(F.floor(F.col("v") / 2), 400.0, at))
+    return head.unionByName(body)
+
+
+@query(
+    "j12_page_tables",
+    """WITH o AS (SELECT o_custkey AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, o_orderpriority AS p, 1000000 + CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)
+SELECT page, 'geometry' AS method, 0 AS row, unnest([0, 1, 2]) AS col, unnest(['Metric', '2023', '2024']) AS cell FROM (SELECT DISTINCT page FROM o)
+UNION ALL SELECT page, 'geometry', r, unnest([0, 1, 2]), unnest(['row' || r || ' ' || p, CAST(v AS VARCHAR), CAST(v // 2 AS VARCHAR)]) FROM o""",
+)
+def _(spark, sf):
+    from docloom.operators import page_tables
+
+    return page_tables.page_tables(_table_words(spark, sf), "page")
+
+
+@query(
+    "e12_page_paragraphs",
+    """WITH l AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE length(text) > 0),
+s AS (SELECT page, i, text, CASE i % 7 WHEN 0 THEN 24.0 WHEN 3 THEN 13.0 ELSE 10.0 END AS size, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, i * 14.0 + (i // 5) * 40 AS top FROM l),
+b AS (SELECT page, median(size) AS body FROM s GROUP BY page),
+k AS (SELECT s.*, CASE WHEN size >= 1.85 * body AND n <= 14 THEN 'section' WHEN size >= 1.15 * body AND n <= 20 THEN 'subsection' ELSE 'text' END AS kind FROM s JOIN b USING (page)),
+g AS (SELECT *, lag(kind) OVER w AS before, top - (lag(top) OVER w + 10) AS gap FROM k WINDOW w AS (PARTITION BY page ORDER BY i)),
+p AS (SELECT *, sum(CASE WHEN kind = 'text' AND NOT (coalesce(before, '') = 'text' AND gap <= 13.5) THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY i) AS g, last_value(CASE WHEN kind = 'section' THEN i END IGNORE NULLS) OVER (PARTITION BY page ORDER BY i) AS si, last_value(CASE WHEN kind = 'subsection' THEN i END IGNORE NULLS) OVER (PARTITION BY page ORDER BY i) AS ui FROM g),
+f AS (SELECT page, text, min(i) AS first FROM l GROUP BY ALL), q AS (SELECT page, g - 1 AS place, min(si) AS si, sha256(string_agg(text, ' ' ORDER BY i)) AS digest FROM p WHERE kind = 'text' GROUP BY page, g)
+SELECT q.page, place, first AS section_line, digest FROM q LEFT JOIN l ON l.page = q.page AND l.i = si LEFT JOIN f ON f.page = q.page AND f.text = l.text""",
+)
+def _(spark, sf):
+    from docloom.operators import page_tables
+
+    lines = table(spark, sf, "documents").filter("length(text) > 0").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    i = F.col("i")
+    size = F.when(i % 7 == 0, 24.0).when(i % 7 == 3, 13.0).otherwise(10.0)
+    top = i * 14.0 + F.floor(i / 5) * 40
+    # A heading's text is its line's number, which the result can tell; body lines keep their words.
+    found = page_tables.page_paragraphs(lines.select("page", F.lit(0).alias("band"), i.alias("ord"), F.col("t").alias("text"), size.alias("size"), top.alias("top"), (top + 10.0).alias("bottom")), "page")
+    heads = lines.select("page", "i", F.col("t").alias("section"))
+    at = found.join(heads, ["page", "section"], "left").groupBy("page", "place", "text").agg(F.min("i").alias("section_line"))
+    return at.select("page", F.col("place").cast("long").alias("place"), F.col("section_line").cast("long").alias("section_line"), F.sha2("text", 256).alias("digest"))
