@@ -45,7 +45,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete staged tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            df._staged_path = None
 
 
 def measured(df: DataFrame, label: str, **also: Column) -> tuple[DataFrame, dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._storage import measured, sent
+from docloom.llm._storage import discard, measured, sent
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -32,8 +32,11 @@ def components(edges: DataFrame) -> tuple[DataFrame, int]:
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, seen = measured(now, "edges", digest=digest)
     while seen["n"]:
-        before = seen
+        before, old = seen, now
         now, seen = measured(_small_star(_large_star(now, seen["n"]), seen["n"]).distinct(), "edges", digest=digest)
+        discard(old)
         if seen == before:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")), seen["n"]
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._staged_path = now._staged_path
+    return out, seen["n"]

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm._storage import staged
+from docloom.llm._storage import discard, staged
 
 MIN_WORDS = 20
 
@@ -41,7 +41,9 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     again = lines.groupBy("lid").agg(F.count("*").alias("times")).filter("times > 1").select("lid")
     places = lines.join(again, "lid", "left_semi").dropDuplicates(["doc", "ord"])
     place = F.row_number().over(Window.partitionBy("doc").orderBy("ord"))
-    return staged(places.withColumn("seg", F.col("ord") - place), "places")
+    out = staged(places.withColumn("seg", F.col("ord") - place), "places")
+    discard(lines)
+    return out
 
 
 def shortest_runs(places: DataFrame, min_words: int) -> DataFrame:
@@ -73,12 +75,13 @@ def suffix_ranks(places: DataFrame, longest: int) -> DataFrame:
     return ranked
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, first_pos, last_pos, ord, len) of the runs to delete. docs: doc and text."""
+def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, list[DataFrame]]:
+    """((doc, first_pos, last_pos, ord, len) of the runs to delete, the staged tables that it is read from). docs: doc and text."""
     places = repeated_places(docs)
     runs = staged(shortest_runs(places, min_words), "runs")
     longest = runs.agg(F.max("len")).first()[0] or 0
     ranked = staged(suffix_ranks(places, longest), "suffix-array") if longest > 1 else places.withColumn("r0", F.col("lid"))
+    used = [runs, ranked, places]
     levels = max(1, int(longest).bit_length())
     rank = F.coalesce(*[F.when(F.col("level") == k, F.col(f"r{k}")) for k in range(levels)])
     level = (F.length(F.bin("len")) - 1).alias("level")
@@ -88,7 +91,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tail = at.withColumnRenamed("ord", "end")
     named = staged(end.join(tail, ["doc", "end"]).withColumn("rb", rank).select("doc", "ord", "len", "ra", "rb", "first_pos", "last_pos"), "intervals")
     first = named.groupBy("len", "ra", "rb").agg(F.min(F.struct("doc", "ord")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    return named.join(first, ["len", "ra", "rb"]).filter(F.struct("doc", "ord") > F.col("first")).select("doc", "first_pos", "last_pos", "ord", "len")
+    discard(*used)
+    return named.join(first, ["len", "ra", "rb"]).filter(F.struct("doc", "ord") > F.col("first")).select("doc", "first_pos", "last_pos", "ord", "len"), [named]
 
 
 def _kept_ranges(runs: Column, total: Column) -> Column:
@@ -112,9 +116,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "te
     text, kept = F.col(f"`{text_col}`"), [c for c in docs.columns if c != text_col]
     # The caller's columns travel in a struct, so their names meet none of ours; the text travels once.
     rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    gone = later_copies(rows.select(F.struct("id", "h").alias("doc"), "text"), min_words)
+    gone, used = later_copies(rows.select(F.struct("id", "h").alias("doc"), "text"), min_words)
     edits = gone.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first_pos", "last_pos", "ord", (F.col("ord") + F.col("len") - 1).alias("end")))).alias("runs"))
     edits = staged(edits.select(F.col("doc.id").alias("edit_id"), F.col("doc.h").alias("edit_h"), "runs"), "edits")
+    discard(*used)
     # One plan at every size: texts and edits meet in a merge join.
     joined = rows.join(edits.hint("merge"), (F.col("h") == F.col("edit_h")) & F.col("id").eqNullSafe(F.col("edit_id")), "left")
     lines = F.split(F.col("text"), "\n", -1)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._storage import measured, sent, small_batches, staged, tidy
+from docloom.llm._storage import discard, measured, sent, small_batches, staged, tidy
 from docloom.llm._text import NON_SPACE, U64, blocks, distinct_per_row, row_bounds, shingles, word_hashes
 from docloom.llm.components import components
 from docloom.llm.count_join import deal, with_counts
@@ -182,6 +182,8 @@ def link_documents(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100
     #: Of each round, the tables (node, root) of what it joined, and of the pairs it met.
     forest: list[tuple[DataFrame, int]] = []
     met_before: list[tuple[DataFrame, int]] = []
+    #: What members is read from, and other tables that only the rounds read.
+    table, used = members, [sets]
     slots = 1
     while rows:
         # Prefix shingles whose members are all in one component are done.
@@ -189,12 +191,15 @@ def link_documents(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100
         # From the second round on, every member of a small group is compared with the rest at once.
         small = (F.col("many") <= SMALL_GROUP) & F.lit(slots > 1)
         slot = F.when(small, F.col("e")).otherwise(F.pmod(F.xxhash64("e", "token"), F.lit(slots)))
+        held_before = table
         members, seen = measured(members.join(sent(open_tokens, rows), "token").withColumn("slot", slot).withColumn("small", small), "members")
-        rows = seen["n"]
+        table, rows = members, seen["n"]
+        discard(held_before)
         if not rows:
             break
         pivots = members.groupBy("token", "slot").agg(F.max(F.struct("score", "e", "n", "at", "root")).alias("p")).select("token", F.col("p.e").alias("b"), F.col("p.n").alias("nb"), F.col("p.at").alias("bt"), F.col("p.root").alias("rb"))
         pivots, seen = measured(pivots, "pivots")
+        used.append(pivots)
         n_pivots = seen["n"]
         met = members.join(sent(pivots, n_pivots), "token").filter("root <> rb").filter((F.col("e") < F.col("b")) | ~F.col("small"))
         # Length: the smaller set must be at least the threshold's share of the larger. Position: the shared shingle and all that follows it.
@@ -208,10 +213,13 @@ def link_documents(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100
             pairs = pairs.join(sent(before, n), ["a", "b"], "left_anti")
         pairs, seen = measured(pairs, "pairs")
         met_before.append((pairs.select("a", "b"), seen["n"]))
+        used.append(pairs)
         links = staged(_verify(pairs, seen["n"], sets, part, whole), "links") if seen["n"] else pairs
         members = members.join(sent(pivots.select("token", F.col("b").alias("e")), n_pivots), ["token", "e"], "left_anti").drop("many", "slot", "small")
         if seen["n"]:
             joined, n_joined = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            discard(links)
+            used.append(joined)
             if n_joined:
                 forest.append((joined, n_joined))
                 members = members.join(sent(joined.select(F.col("node").alias("root"), F.col("root").alias("_up")), n_joined), "root", "left").withColumn("root", F.coalesce("_up", "root")).drop("_up")
@@ -222,9 +230,11 @@ def link_documents(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100
         named = named.join(sent(joined.select(F.col("node").alias("root"), F.col("root").alias("_up")), n), "root", "left").withColumn("root", F.coalesce("_up", "root")).drop("_up")
     if forest:
         named = staged(named, "roots")
+        discard(*used, table)
         least = named.groupBy("root").agg(F.min("own").alias("component_id"))
         named = named.join(least, "root").select("e", "component_id")
     else:
+        discard(*used, table)
         named = named.select("e", F.col("own").alias("component_id"))
     out = infos.join(named, "e", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
