@@ -376,11 +376,11 @@ def _(spark, sf):
     return table(spark, sf, "events").filter("value > 0").groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("event_id"))
 
 
-@query("f13_session_listing", "SELECT user_id, max(ts) AS updated_at, row_number() OVER (ORDER BY max(ts) DESC, user_id) AS place FROM events GROUP BY user_id ORDER BY place LIMIT 1000")
+@query("f13_session_listing", "SELECT user_id, event_type, max(ts) AS updated_at, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, event_type) AS place FROM events GROUP BY user_id, event_type")
 def _(spark, sf):
-    # The newest thousand: a top-k report, numbered after the cut.
-    newest = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("updated_at")).orderBy(F.desc("updated_at"), "user_id").limit(1000)
-    return newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "user_id")))
+    # All sessions of each user (one a kind of event), the last used first.
+    newest = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("updated_at"))
+    return newest.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "event_type")))
 
 
 @query("f14_inventory", "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) SELECT source, string_agg(CAST(doc_id AS VARCHAR), ', ' ORDER BY i) FILTER (WHERE i <= 5) || CASE WHEN count(*) > 5 THEN ' and ' || (count(*) - 5) || ' more' ELSE '' END AS hint FROM r GROUP BY source")

@@ -92,12 +92,11 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.sha2(T.normalize_email(F.col("c_name")), 256).alias("digest"))
 
 
-@query("h18_column_label", "SELECT p_partkey, CASE WHEN p_partkey <= 26 THEN chr(CAST(64 + p_partkey AS INT)) WHEN p_partkey <= 702 THEN chr(CAST(64 + (p_partkey - 1) // 26 AS INT)) || chr(CAST(65 + (p_partkey - 1) % 26 AS INT)) ELSE chr(CAST(64 + (p_partkey - 27) // 676 AS INT)) || chr(CAST(65 + ((p_partkey - 27) // 26) % 26 AS INT)) || chr(CAST(65 + (p_partkey - 1) % 26 AS INT)) END AS label FROM part WHERE p_partkey BETWEEN 1 AND 18278")
-def _(spark, sf):
-    return table(spark, sf, "part").filter("p_partkey BETWEEN 1 AND 18278").select("p_partkey", T.column_label(F.col("p_partkey")).alias("label"))
+_LABELS = "WITH RECURSIVE r(p_partkey, n, s) AS (SELECT p_partkey, CAST(p_partkey AS BIGINT), '' FROM part UNION ALL SELECT p_partkey, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INT)) || s FROM r WHERE n > 0) SELECT p_partkey, s AS label FROM r WHERE n <= 0"
 
 
-@query("h18_column_label_all", "WITH RECURSIVE r(p_partkey, n, s) AS (SELECT p_partkey, CAST(p_partkey AS BIGINT), '' FROM part UNION ALL SELECT p_partkey, (n - 1) // 26, chr(CAST(65 + (n - 1) % 26 AS INT)) || s FROM r WHERE n > 0) SELECT p_partkey, s AS label FROM r WHERE n <= 0")
+@query("h18_column_label", _LABELS)
+@query("h18_column_label_all", _LABELS)
 def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.column_label(F.col("p_partkey")).alias("label"))
 
