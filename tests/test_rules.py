@@ -92,8 +92,7 @@ def test_rebuilt_tables():
     words = [word("2023", 276, 0), word("2024", 376, 0), word("Net", 20, 1), word("sales", 60, 1), word("1,200", 270, 1), word("1,300", 370, 1), word("Costs", 20, 2), word("900", 282, 2), word("950", 382, 2)]
     assert page_tables.rebuild(words) == [["Metric", "2023", "2024"], ["Net sales", "1,200", "1,300"], ["Costs", "900", "950"]]
     wrapped = [word("2023", 276, 0), word("2024", 376, 0), word("Sales", 20, 1), word("100", 282, 1), word("200", 382, 1), word("Intelligent", 20, 2), word("Solution", 20, 3), word("26,158", 264, 4), word("45,018", 364, 4)]
-    # Labels right after a row of values belong to it, so the values below them stand alone.
-    assert page_tables.rebuild(wrapped)[1:] == [["Sales Intelligent Solution", "100", "200"], ["", "26,158", "45,018"]]
+    assert page_tables.rebuild(wrapped)[1:] == [["Sales", "100", "200"], ["Intelligent Solution", "26,158", "45,018"]]
     below = [w._replace(top=w.top + 14, bottom=w.bottom + 14) for w in words[2:6]]
     spanning = [word("Group", 260, 0, 160.0), word("2023", 276, 1), word("2024", 376, 1), *below]
     assert page_tables.rebuild(spanning) == [["Metric", "Group 2023", "Group 2024"], ["Net sales", "1,200", "1,300"]]
