@@ -130,3 +130,24 @@ def byte_range(header: Column, size: Column) -> Column:
     last = F.when((a != "") & (b != ""), F.least(b.cast("long"), size - 1)).otherwise(size - 1)
     ok = header.rlike("^bytes=(\\d+-\\d*|-\\d+)$") & (first < size) & (first <= last)
     return F.when(ok, F.struct(first.alias("first"), last.alias("last")))
+
+
+#: What Windows-1252 has at 0x80 to 0x9F, in that order, its unassigned places left out, and those places.
+_CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+_PLACES = "".join(map(chr, [0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F]))
+
+
+def repair_mojibake(text: Column) -> Column:
+    """Text whose UTF-8 bytes were read as Latin-1 or Windows-1252, read aright; other text stays."""
+    bytes_ = F.translate(text, _CP1252, _PLACES)
+    broken = bytes_.rlike("[\u00C2-\u00F4][\u0080-\u00BF]") & bytes_.rlike("^[\u0000-\u00FF]*$")
+    read = F.try_validate_utf8(F.encode(F.when(broken, bytes_), "ISO-8859-1").cast("string"))
+    return F.coalesce(read, text)
+
+
+def inspect_table(content: Column, metric: Column) -> Column:
+    """struct(row_count, labels_lost, metric_found) of a chunk's markdown table: whether all of its rows lack a label, and one speaks of the metric."""
+    rows = parse_markdown_table(content)
+    lost = (F.size(rows) > 2) & F.forall(F.slice(rows, 3, 1_000_000), lambda r: F.element_at(r, 1) == "")
+    found = F.exists(rows, lambda r: F.exists(r, lambda c: F.instr(F.lower(c), F.lower(metric)) > 0))
+    return F.struct(F.size(rows).alias("row_count"), lost.alias("labels_lost"), found.alias("metric_found"))

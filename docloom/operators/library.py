@@ -98,3 +98,29 @@ def request_summary(hits: DataFrame, request: str) -> DataFrame:
     each = hits.withColumn("_o", outcome)
     kinds = [F.count_if(F.col("_o") == o).alias(o) for o in ("eligible", "not_a_table", "not_chartable", "no_profile")]
     return each.groupBy(request).agg(F.count("*").alias("n"), *kinds, F.round(F.max("score"), 4).alias("top_score"))
+
+
+#: The formats of sources, the preferred ones first, and the name of a rendered copy.
+FORMATS, RENDERED = [".pdf", ".docx", ".xlsx"], "viewer.pdf"
+
+
+def source_files(records: DataFrame, files: DataFrame) -> DataFrame:
+    """(user_id, doc_id, path) of each record's source: the file of its name, else the first of the first format; null where there is none.
+
+    records: user_id, doc_id, filename; files: user_id, doc_id, path. Rendered copies are no sources.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = F.coalesce(*[F.when(name.endswith(f), i) for i, f in enumerate(FORMATS)])
+    known = files.withColumn("_name", name).withColumn("_kind", kind).filter(F.col("_kind").isNotNull() & ~name.endswith(RENDERED))
+    both = records.join(known, ["user_id", "doc_id"], "left")
+    rank = F.when(F.col("path").isNotNull(), F.struct((~F.col("_name").eqNullSafe(F.col("filename"))).alias("other"), "_kind", "path"))
+    return both.groupBy("user_id", "doc_id").agg(F.min_by("path", rank).alias("path"))
+
+
+def talks(messages: DataFrame, talk: str, order: str, stamp: str) -> DataFrame:
+    """(talk, title, messages, replies, updated_at): a talk is titled by its first question and was used when its last message came. messages: talk, order, role, text, stamp."""
+    from docloom.functions.text import title_from_message
+
+    asked = F.when(F.col("role") == "user", F.col(order))
+    each = messages.groupBy(talk).agg(F.min_by("text", asked).alias("_first"), F.count("*").alias("messages"), F.count_if(F.col("role") == "assistant").alias("replies"), F.max(stamp).alias("updated_at"))
+    return each.select(talk, title_from_message(F.coalesce("_first", F.lit(""))).alias("title"), "messages", "replies", "updated_at")

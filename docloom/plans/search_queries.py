@@ -339,3 +339,46 @@ def _(spark, sf):
     back = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     asked = table(spark, sf, "conversations").withColumn("before", back)
     return asked.select("conv_id", "turn", merge_anchor_phrases(F.col("text"), F.array_compact(F.array("before"))).alias("query"))
+
+
+@query(
+    "a02_source_files",
+    f"""WITH r AS ({_RECORDS}), f AS (SELECT doc_id, user_id, unnest(CASE doc_id % 4 WHEN 0 THEN ['a.pdf', filename, 'viewer.pdf'] WHEN 1 THEN ['z.docx', 'b.xlsx', 'a.docx'] WHEN 2 THEN ['viewer.pdf', 'x.viewer.pdf'] ELSE ['q.xlsx', 'readme.txt'] END) AS name FROM r),
+k AS (SELECT *, CASE WHEN name LIKE '%.pdf' THEN 0 WHEN name LIKE '%.docx' THEN 1 WHEN name LIKE '%.xlsx' THEN 2 END AS kind, 'up/' || user_id || '/' || doc_id || '/' || name AS path FROM f WHERE name NOT LIKE '%viewer.pdf')
+SELECT r.user_id, r.doc_id, arg_min(k.path, (name <> filename, kind, k.path)) FILTER (WHERE kind IS NOT NULL) AS path FROM r LEFT JOIN k USING (doc_id) GROUP BY r.user_id, r.doc_id""",
+)
+def _(spark, sf):
+    from docloom.operators import library
+
+    known = records(spark, sf)
+    d, text = F.col("doc_id"), lambda *xs: F.array(*[F.lit(x) for x in xs])
+    names = F.when(d % 4 == 0, F.array(F.lit("a.pdf"), "filename", F.lit("viewer.pdf"))).when(d % 4 == 1, text("z.docx", "b.xlsx", "a.docx")).when(d % 4 == 2, text("viewer.pdf", "x.viewer.pdf")).otherwise(text("q.xlsx", "readme.txt"))
+    files = known.select("user_id", "doc_id", F.explode(names).alias("name")).select("user_id", "doc_id", F.concat(F.lit("up/"), "user_id", F.lit("/"), d.cast("string"), F.lit("/"), "name").alias("path"))
+    return library.source_files(known.select("user_id", "doc_id", "filename"), files)
+
+
+@query("a30_talks", "WITH c AS (SELECT conv_id, turn, role, text FROM conversations), f AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'user'), '') AS first, count(*) AS messages, count(*) FILTER (WHERE role = 'assistant') AS replies, max(turn) AS updated_at FROM c GROUP BY conv_id), t AS (SELECT *, trim(regexp_replace(first, '\\s+', ' ', 'g')) AS flat FROM f) SELECT conv_id, CASE WHEN flat = '' THEN 'New chat' WHEN length(flat) > 60 THEN rtrim(left(flat, 59)) || '…' ELSE flat END AS title, messages, replies, updated_at FROM t")
+def _(spark, sf):
+    from docloom.operators import library
+
+    return library.talks(table(spark, sf, "conversations"), "conv_id", "turn", "turn")
+
+
+@query("h11_mojibake", "SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+def _(spark, sf):
+    from docloom.functions.text import repair_mojibake
+
+    # Texts as they look when their bytes are read as Latin-1.
+    garbled = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.sha2(repair_mojibake(garbled), 256).alias("digest"))
+
+
+@query("a23_table_inspection", "SELECT p_partkey, 3 AS row_count, p_size % 3 = 0 AS labels_lost, contains(lower(p_type), 'eco') OR contains(lower(p_brand), 'eco') AS metric_found FROM part")
+def _(spark, sf):
+    from docloom.functions.text import inspect_table, markdown_table
+
+    label = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_brand"))
+    row = F.array(label, F.col("p_type"), F.col("p_size").cast("string"))
+    grid = F.array(F.array(F.lit("Brand"), F.lit("Kind"), F.lit("Size")), row, row)
+    found = inspect_table(markdown_table(grid), F.lit("ECO"))
+    return table(spark, sf, "part").select("p_partkey", found.alias("x")).select("p_partkey", "x.row_count", "x.labels_lost", "x.metric_found")

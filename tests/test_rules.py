@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import policy
 from docloom.operators import library, page_tables, phrases, search, sequences, tables, workbook
 from docloom.operators.page_tables import Word
+from docloom.sources import logs
 
 
 def cells(spark, grids):
@@ -161,3 +162,22 @@ def test_profiles_and_anchor_phrases(spark):
     assert got[2].phrases == got[2].tokens == got[3].phrases == got[3].tokens == []
     q = spark.createDataFrame([("who made it", ["I like The Long Road"]), ("about The Long Road", ["The Long Road"]), (" ", ["The Long Road"])], "q string, e array<string>")
     assert [r[0] for r in q.select(phrases.merge_anchor_phrases(F.col("q"), F.col("e"))).collect()] == ["The Long Road who made it", "about The Long Road", " "]
+
+
+def test_mojibake(spark):
+    from docloom.functions.text import repair_mojibake
+
+    good = ["Bank’s “view” – naïve", "déjà vu", "plain", "", None, "漢字 😀", "Ärger über Öl", "cost 5€", "Ã is a letter", "©®"]
+    broken = [x and x.encode().decode("latin-1") for x in good[:3]] + ["Bankâ€™s", "Ã¼ber"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(broken + good)], "i int, x string")
+    got = [r[0] for r in df.orderBy("i").select(repair_mojibake(F.col("x"))).collect()]
+    assert got == good[:3] + ["Bank’s", "über"] + good
+
+
+def test_logs(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "2024-01-01 10:00:00"), (2, "b", "2024-01-02 10:00:00")], "id int, what string, at string").withColumn("at", F.to_timestamp("at"))
+    for _ in range(2):
+        logs.append_log(rows, str(tmp_path / "log"), "at", ["id"])
+    logs.append_log(rows.withColumn("id", F.col("id") + 10), str(tmp_path / "log"), "at", ["id"])
+    assert sorted(r.id for r in logs.read_log(spark, str(tmp_path / "log")).collect()) == [1, 2, 11, 12]
+    assert sorted(r.id for r in logs.read_log(spark, str(tmp_path / "log"), "2024-01-02").collect()) == [2, 12]
