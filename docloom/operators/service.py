@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +10,17 @@ from docloom.operators import retrieval
 
 
 def hash_embed(texts: DataFrame, key: str, text: str, width: int = 64) -> DataFrame:
-    """(key, embedding): unit vectors of hashed words, the offline stand-in for a model; '' gives zeros."""
-    kinds = dict(texts.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for batch in batches:
-            out = np.zeros((len(batch), width))
-            for row, value in zip(out, batch[text], strict=True):
-                for w in (value or "").lower().split():
-                    h = xxhash.xxh64_intdigest(w)
-                    row[h % width] += 1 if h >> 63 else -1
-            length = np.linalg.norm(out, axis=1, keepdims=True)
-            yield pd.DataFrame({key: batch[key], "embedding": list((out / np.where(length > 0, length, 1)).astype(np.float32))})
-
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kinds[key]}, embedding array<float>")
+    """(key, embedding): unit vectors of hashed words, the offline stand-in for a model; a text without words gives zeros.
+
+    The first byte of a word's MD5 is its place, the second its sign. Words are summed by place before the shuffle.
+    """
+    byte = lambda w, i: F.conv(F.substring(F.md5(w), 2 * i + 1, 2), 16, 10).cast("int")
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+"), lambda w: w != "")
+    each = texts.select(key, F.explode_outer(words).alias("w"))
+    summed = each.groupBy(key, (byte(F.col("w"), 0) % width).alias("at")).agg(F.sum(F.when(byte(F.col("w"), 1) < 128, 1).otherwise(-1)).alias("n"))
+    packed = summed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n")))).alias("m"), F.sqrt(F.sum(F.when(F.col("at").isNotNull(), F.col("n") * F.col("n")).otherwise(0))).alias("length"))
+    value = lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.when(F.col("length") > 0, F.col("length")).otherwise(1.0)).cast("float")
+    return packed.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), value).alias("embedding"))
 
 
 def search_documents(chunks: DataFrame, terms: DataFrame, k: int = 6, slots: int = 2, key: str = "chunk_id", text: str = "content") -> DataFrame:

@@ -37,9 +37,19 @@ def _(spark, sf):
     return service.active_tokens(events.crossJoin(F.broadcast(now)), "ts", F.col("now")).select("event_id", "expires")
 
 
-@query("u05_hash_embedding")
+_BYTE = "(16 * (instr('0123456789abcdef', substr(md5(w), {0}, 1)) - 1) + instr('0123456789abcdef', substr(md5(w), {1}, 1)) - 1)"
+
+
+@query(
+    "u05_hash_embedding",
+    f"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS w FROM documents),
+n AS (SELECT doc_id, CAST({_BYTE.format(1, 2)} % 64 AS INT) AS place, sum(CASE WHEN {_BYTE.format(3, 4)} < 128 THEN 1 ELSE -1 END) AS n FROM t GROUP BY ALL),
+l AS (SELECT doc_id, sqrt(sum(n * n)) AS length FROM n GROUP BY doc_id)
+SELECT doc_id, place, round(CAST(CAST(n / length AS FLOAT) AS DOUBLE), 4) AS value FROM n JOIN l USING (doc_id) WHERE n <> 0""",
+)
 def _(spark, sf):
-    return service.hash_embed(table(spark, sf, "documents"), "doc_id", "text")
+    vectors = service.hash_embed(table(spark, sf, "documents"), "doc_id", "text")
+    return vectors.select("doc_id", F.posexplode("embedding").alias("place", "v")).filter("v <> 0").select("doc_id", "place", F.round(F.col("v").cast("double"), 4).alias("value"))
 
 
 @query("j06_search_pipeline")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.operators import layout
 from docloom.operators.phrases import lookup_phrases, named_phrases
 from docloom.plans.registry import query, table
-from docloom.plans.scalar_queries import boxes
+from docloom.plans.scalar_queries import _BOXES, boxes
 from docloom.streaming.guard import guard_tokens, static_tokens
 from docloom.streaming.limiter import limit_events
 
@@ -43,22 +43,47 @@ def _flat(spark, sf):
     return boxes(spark, sf).select("page", "ord", b[0].alias("x0"), b[1].alias("top"), b[2].alias("x1"), b[3].alias("bottom"))
 
 
-@query("e11_lines")
+#: Boxes of a page one after the other, numbered from 1.
+_ORDERED = f"b AS (SELECT page, ord, CAST(x0 AS DOUBLE) AS x0, CAST(top AS DOUBLE) AS top, CAST(x1 AS DOUBLE) AS x1, CAST(bottom AS DOUBLE) AS bottom, row_number() OVER (PARTITION BY page ORDER BY ord, x0, top, x1, bottom) AS i FROM ({_BOXES}))"
+
+
+@query(
+    "e11_lines",
+    f"""WITH RECURSIVE {_ORDERED}, g AS (SELECT page, i, ord, 0 AS line, top AS ft, bottom - top AS fh, x1 AS px FROM b WHERE i = 1
+UNION ALL SELECT b.page, b.i, b.ord, CASE WHEN abs(b.top - ft) > 0.6 * fh OR b.x0 - px > greatest(4 * fh, 30) THEN line + 1 ELSE line END, CASE WHEN abs(b.top - ft) > 0.6 * fh OR b.x0 - px > greatest(4 * fh, 30) THEN b.top ELSE ft END, CASE WHEN abs(b.top - ft) > 0.6 * fh OR b.x0 - px > greatest(4 * fh, 30) THEN b.bottom - b.top ELSE fh END, b.x1 FROM g JOIN b ON b.page = g.page AND b.i = g.i + 1)
+SELECT page, ord, line FROM g""",
+)
 def _(spark, sf):
     return layout.per_page(_flat(spark, sf), "page", "ord", layout.line_numbers, "line")
 
 
-@query("e13_row_bands")
+@query(
+    "e13_row_bands",
+    f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT page, 0.65 * median(bottom - top) AS reach FROM b GROUP BY page),
+g AS (SELECT page, i, ord, CAST(0 AS BIGINT) AS band, [top] AS tops FROM b WHERE i = 1
+UNION ALL SELECT b.page, b.i, b.ord, coalesce(list_position(list_transform(g.tops, lambda t: abs(t - b.top) <= reach), true) - 1, len(g.tops)), CASE WHEN list_position(list_transform(g.tops, lambda t: abs(t - b.top) <= reach), true) IS NULL THEN list_append(g.tops, b.top) ELSE g.tops END FROM g JOIN b ON b.page = g.page AND b.i = g.i + 1 JOIN r ON r.page = b.page)
+SELECT page, ord, band FROM g""",
+)
 def _(spark, sf):
     return layout.per_page(_flat(spark, sf), "page", "ord", layout.row_bands, "band")
 
 
-@query("d12_box_clusters")
+@query(
+    "d12_box_clusters",
+    f"""WITH RECURSIVE {_ORDERED}, e AS (SELECT a.page, a.i AS u, c.i AS v FROM b a JOIN b c ON a.page = c.page AND a.x0 - 8 <= c.x1 + 8 AND c.x0 - 8 <= a.x1 + 8 AND a.top - 8 <= c.bottom + 8 AND c.top - 8 <= a.bottom + 8),
+g AS (SELECT page, u, v FROM e UNION SELECT g.page, g.u, e.v FROM g JOIN e ON e.page = g.page AND e.u = g.v),
+m AS (SELECT page, u, min(v) AS root FROM g GROUP BY ALL)
+SELECT b.page, ord, dense_rank() OVER (PARTITION BY b.page ORDER BY root) - 1 AS cluster FROM b JOIN m ON m.page = b.page AND m.u = b.i""",
+)
 def _(spark, sf):
     return layout.per_page(_flat(spark, sf), "page", "ord", layout.clusters, "cluster")
 
 
-@query("f11_hero_boxes")
+@query(
+    "f11_hero_boxes",
+    f"""WITH {_ORDERED}, x AS (SELECT o.*, greatest(least(o.x1, f.x1) - greatest(o.x0, f.x0), 0) * greatest(least(o.bottom, f.bottom) - greatest(o.top, f.top), 0) AS common, (o.x1 - o.x0) * (o.bottom - o.top) + (f.x1 - f.x0) * (f.bottom - f.top) AS areas FROM b o JOIN b f ON o.page = f.page AND f.i = 1 WHERE o.i > 1)
+SELECT page, ord, 0 AS place FROM b WHERE i = 1 UNION ALL SELECT page, arg_min(ord, i), 1 FROM x WHERE NOT (areas - common > 0 AND common / (areas - common) > 0.6) GROUP BY page""",
+)
 def _(spark, sf):
     def chosen(boxes):
         kept = layout.keep_apart(boxes)
