@@ -357,7 +357,14 @@ def _(spark, sf):
     return best.withColumn("place", F.row_number().over(w)).filter("place <= 3").select("o_custkey", "o_orderpriority", "place")
 
 
-@query("f05_greedy_budget")
+@query(
+    "f05_greedy_budget",
+    """WITH RECURSIVE h AS (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS size FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY size DESC, turn) AS i FROM h),
+g AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, false AS kept, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS size FROM h
+  UNION ALL SELECT r.conv_id, r.i, CASE WHEN used + r.size <= 1500 THEN used + r.size ELSE used END, used + r.size <= 1500, r.turn, r.size FROM g JOIN r ON r.conv_id = g.conv_id AND r.i = g.i + 1),
+a AS (SELECT conv_id, bool_or(kept) AS found_any FROM g GROUP BY conv_id)
+SELECT g.conv_id, turn, size FROM g JOIN a USING (conv_id) WHERE i > 0 AND (kept OR NOT found_any)""",
+)
 def _(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("size"))
     items = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("_o"), "turn", "size")))

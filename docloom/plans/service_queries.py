@@ -10,6 +10,7 @@ from docloom.functions import policy as P
 from docloom.operators import charts, service, workbook
 from docloom.operators.guarded_sql import run_sql
 from docloom.plans.registry import query, table
+from docloom.plans.relational_queries import _BM25
 
 
 @query("u02_guarded_sql", "SELECT n_name, o_orderpriority, count(*) AS n, sum(count(*)) OVER (PARTITION BY n_name) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, o_orderpriority")
@@ -52,7 +53,14 @@ def _(spark, sf):
     return vectors.select("doc_id", F.posexplode("embedding").alias("place", "v")).filter("v <> 0").select("doc_id", "place", F.round(F.col("v").cast("double"), 4).alias("value"))
 
 
-@query("j06_search_pipeline")
+@query(
+    "j06_search_pipeline",
+    _BM25[: _BM25.index("r AS (")]
+    + """h AS (SELECT query_id, s.doc_id AS chunk_id, round(score, 4) AS score, CASE WHEN contains(text, ' | ') THEN 'table' ELSE 'text' END AS chunk_type FROM s JOIN documents d ON d.doc_id = s.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_type ORDER BY score DESC, chunk_id) AS r, least(count(*) FILTER (WHERE chunk_type = 'table') OVER (PARTITION BY query_id), 2) AS t FROM h),
+k AS (SELECT * FROM r WHERE CASE WHEN chunk_type = 'table' THEN r <= 2 ELSE r <= 6 - t END)
+SELECT query_id, chunk_id, chunk_type, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM k""",
+)
 def search_pipeline(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.when(F.col("text").contains(" | "), "table").otherwise("text").alias("chunk_type"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
