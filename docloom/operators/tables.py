@@ -89,6 +89,16 @@ def header_spans(cells: DataFrame, key: str = "table_id", sample: int = 5) -> Da
     return one.select(key, "first", (F.col("first") + F.when(two, 2).otherwise(1)).alias("end"))
 
 
+def composed_headers(cells: DataFrame, spans: DataFrame, key: str = "table_id") -> DataFrame:
+    """(key, col, header) of sheets: one row's cells, or of two rows the group label (which goes on to the right until the next one) and the label below it."""
+    head = cells.join(spans, key).filter((F.col("row") >= F.col("first")) & (F.col("row") < F.col("end"))).withColumn("_two", F.col("end") - F.col("first") > 1)
+    upper = F.last_value(F.nullif(F.trim("cell"), F.lit("")), F.lit(True)).over(Window.partitionBy(key, "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0))
+    filled = head.withColumn("_cell", F.when(F.col("_two") & (F.col("row") == F.col("first")), F.coalesce(upper, F.lit(""))).otherwise(F.trim("cell")))
+    each = filled.groupBy(key, "col").agg(F.max(F.when(F.col("row") == F.col("first"), F.col("_cell"))).alias("a"), F.max(F.when(F.col("row") > F.col("first"), F.col("_cell"))).alias("b"))
+    both = F.filter(F.array_distinct(F.array_compact(F.array("a", "b"))), lambda x: x != "")
+    return each.select(key, "col", F.array_join(both, " ").alias("header"))
+
+
 def annotation(header: Column, filled: Column, shares: Column) -> Column:
     """A column that only comments on others. filled: its cells with text; shares: those that are per cent."""
     plain = F.when(header == "", filled == 0).otherwise(header.rlike("^\\p{L}{1,3}$") | (filled == 0) | (shares >= 0.75 * filled))

@@ -161,6 +161,21 @@ def _(spark, sf):
     return T.header_spans(sheet_cells(spark, sf))
 
 
+@query(
+    "e04_composed_headers",
+    f"""WITH {_SHEETS}, s AS (SELECT table_id, row, count(*) FILTER (WHERE cell <> '') AS filled, count(*) FILTER (WHERE cell <> '') / count(*)::DOUBLE AS fill, coalesce(count(*) FILTER (WHERE regexp_full_match(cell, '\\(?-?[0-9,]+\\.?[0-9]*\\)?%?')) / nullif(count(*) FILTER (WHERE cell <> ''), 0)::DOUBLE, 0) AS share FROM cells GROUP BY ALL),
+f AS (SELECT table_id, coalesce(min(row) FILTER (WHERE filled > 1), min(row)) AS first FROM s GROUP BY table_id),
+x AS (SELECT table_id, first, max(fill) FILTER (WHERE row = first) AS f0, max(fill) FILTER (WHERE row = first + 1) AS f1, max(share) FILTER (WHERE row = first + 1) AS s1, avg(share) FILTER (WHERE row BETWEEN first + 2 AND first + 6) AS body FROM s JOIN f USING (table_id) GROUP BY ALL),
+z AS (SELECT table_id, first, coalesce(body >= 0.5 AND s1 <= 0.2 AND f1 >= f0, false) AS two FROM x),
+u AS (SELECT c.table_id, c.col, two, c.cell, last_value(nullif(c.cell, '') IGNORE NULLS) OVER (PARTITION BY c.table_id ORDER BY c.col) AS label FROM cells c JOIN z ON z.table_id = c.table_id AND c.row = first),
+d AS (SELECT c.table_id, c.col, c.cell FROM cells c JOIN z ON z.table_id = c.table_id AND c.row = first + 1 AND two)
+SELECT u.table_id, u.col, CASE WHEN NOT two THEN u.cell WHEN coalesce(d.cell, '') IN ('', coalesce(label, '')) THEN coalesce(label, '') WHEN coalesce(label, '') = '' THEN d.cell ELSE label || ' ' || d.cell END AS header FROM u LEFT JOIN d ON d.table_id = u.table_id AND d.col = u.col""",
+)
+def _(spark, sf):
+    cells = sheet_cells(spark, sf)
+    return T.composed_headers(cells, T.header_spans(cells))
+
+
 @query("i05_annotation_columns", f"WITH {_CELLS}{_ROWS} SELECT table_id, col, note AS annotation FROM pr")
 def _(spark, sf):
     return T.column_profiles(order_cells(spark, sf)).select("table_id", "col", "annotation")

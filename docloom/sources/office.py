@@ -14,12 +14,14 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 SHEET_ROWS = "path string, sheet_index int, sheet_name string, sheet_row int, cells array<string>"
+TABLES = "path string, sheet_index int, sheet_name string, table_index int, table_name string, first_row int, last_row int, first_col int, last_col int"
 BLOCKS = "path string, block int, kind string, style string, text string, grid array<array<string>>"
 
 
@@ -63,6 +65,26 @@ def read_sheets(content: bytes) -> Iterator[tuple[int, str, int, list[str]]]:
                     yield index, sheet.get("name"), int(row.get("r") or n), cells
 
 
+def read_tables(content: bytes) -> Iterator[tuple[int, str, int, str, int, int, int, int]]:
+    """(sheet's index, its name, table from 0, table's name, first and last row, first and last column from 1) of the tables that visible sheets declare."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        visible = [s for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet") if s.get("state", "visible") == "visible"]
+        for index, sheet in enumerate(visible, 1):
+            part = targets[sheet.get(f"{_REL}id")].lstrip("/").removeprefix("xl/")
+            folder, _, file = part.rpartition("/")
+            links = f"xl/{folder}/_rels/{file}.rels"
+            if links not in names:
+                continue
+            found = [r.get("Target").rpartition("/")[2] for r in ElementTree.fromstring(z.read(links)) if (r.get("Type") or "").endswith("/table")]
+            for n, target in enumerate(found):
+                table = ElementTree.fromstring(z.read(f"xl/tables/{target}"))
+                first, _, last = table.get("ref").partition(":")
+                rows = [int(re.search("[0-9]+", ref)[0]) for ref in (first, last or first)]
+                yield index, sheet.get("name"), n, table.get("displayName") or table.get("name") or "", rows[0], rows[1], _column(first) + 1, _column(last or first) + 1
+
+
 def read_blocks(content: bytes) -> Iterator[tuple[int, str, str, str, list[list[str]]]]:
     """(block from 1, paragraph or table, style, text, grid) of a document's body, in order."""
 
@@ -97,6 +119,7 @@ def _read(spark: SparkSession, path: str, suffix: str, schema: str, reader) -> D
 
 _TYPES = {
     SHEET_ROWS: [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string())],
+    TABLES: [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 4],
     BLOCKS: [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string()))],
 }
 
@@ -106,6 +129,19 @@ def workbooks(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, "xlsx", SHEET_ROWS, read_sheets)
 
 
+def declared_tables(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each table that a visible sheet of the .xlsx files below path declares."""
+    return _read(spark, path, "xlsx", TABLES, read_tables)
+
+
+def table_rows(rows: DataFrame, declared: DataFrame) -> DataFrame:
+    """(path, sheet_index, table_index, sheet_row, cells) of the rows inside declared tables, cut to their columns, short rows padded."""
+    both = rows.join(declared.drop("sheet_name"), ["path", "sheet_index"]).filter(F.col("sheet_row").between(F.col("first_row"), F.col("last_row")))
+    width = F.col("last_col") - F.col("first_col") + 1
+    cut = F.slice("cells", F.col("first_col"), width)
+    return both.select("path", "sheet_index", "table_index", "sheet_row", F.concat(cut, F.array_repeat(F.lit(""), width - F.size(cut))).alias("cells"))
+
+
 def word_files(spark: SparkSession, path: str) -> DataFrame:
     """A row for each paragraph and table of the .docx files below path."""
     return _read(spark, path, "docx", BLOCKS, read_blocks)

@@ -178,6 +178,8 @@ def xlsx() -> bytes:
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/_rels/sheet2.xml.rels", '<Relationships><Relationship Id="t1" Type="http://x/relationships/table" Target="../tables/table1.xml"/></Relationships>')
+        z.writestr("xl/tables/table1.xml", f'<table {ns} displayName="Facts" ref="B1:D4"/>')
         z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>5</v></c></row><row r="2"><c r="A2"/></row><row r="4"><c r="B4" t="s"><v>1</v></c></row></sheetData></worksheet>')
     return out.getvalue()
 
@@ -186,6 +188,9 @@ def test_office_files(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(xlsx())
     rows = office.workbooks(spark, str(tmp_path)).collect()
     assert [(r.sheet_index, r.sheet_name, r.sheet_row, r.cells) for r in rows] == [(1, "Data", 1, ["name", "", "5"]), (1, "Data", 4, ["", "ab"])]
+    declared = office.declared_tables(spark, str(tmp_path))
+    assert [tuple(r)[1:] for r in declared.collect()] == [(1, "Data", 0, "Facts", 1, 4, 2, 4)]
+    assert sorted((r.sheet_row, r.cells) for r in office.table_rows(office.workbooks(spark, str(tmp_path)), declared).collect()) == [(1, ["", "5", ""]), (4, ["ab", "", ""])]
     out = io.BytesIO()
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     with zipfile.ZipFile(out, "w") as z:

@@ -72,7 +72,10 @@ def test_label_columns_and_headers(spark):
     moved = {(r.row, r.col): r.cell for r in tables.labels_first(grid, labels).filter("table_id = 'm'").collect()}
     assert [moved[0, j] for j in range(3)] == ["Metric", "2025", "2024"] and moved[2, 0] == "Costs"
     sheets = cells(spark, {"titled": [["REPORT", "", ""], ["Name", "2024", ""], ["", "Actual", "Budget"], ["a", "1", "2"], ["b", "3", "4"]], "plain": [["Name", "Title"], ["a", "b"], ["c", "d"]], "titles": [["x", ""], ["y", ""]]})
-    assert {r.table_id: (r.first, r.end) for r in tables.header_spans(sheets).collect()} == {"titled": (1, 3), "plain": (0, 1), "titles": (0, 1)}
+    spans = tables.header_spans(sheets)
+    assert {r.table_id: (r.first, r.end) for r in spans.collect()} == {"titled": (1, 3), "plain": (0, 1), "titles": (0, 1)}
+    heads = {(r.table_id, r.col): r.header for r in tables.composed_headers(sheets, spans).collect()}
+    assert [heads["titled", j] for j in range(3)] == ["Name", "2024 Actual", "2024 Budget"] and heads["plain", 1] == "Title"
 
 
 def test_slices(spark):
