@@ -10,7 +10,8 @@ conversation with a third of all rows is one task's work.
 
 Cases: null text is empty; a turn with a null role is a user named unknown, and is nobody's perspective; rows that repeat
 a turn are ordered by role and text; a null turn number comes first; conversations of context roles alone have no
-rendering, as nobody speaks; null conversation ids are one conversation; an empty table gives an empty table; extra
+rendering, as nobody speaks; a very long text is one segment; an end mark that stands inside a text is not escaped, and is
+told from the segment's own by its place; null conversation ids are one conversation; an empty table gives an empty table; extra
 columns are not read.
 """
 

@@ -15,8 +15,9 @@ blank lines between two such lines.
 Words of a line: its blanks (U+0020) plus one. Lines end at \\n.
 
 Cases: null text stays null, empty text stays empty; a document all of whose lines are later copies gets an empty text;
-null ids come first in the order; rows that agree in id and text are one document and get the same result; an empty table
-gives an empty table; other columns are kept, and are read by no step.
+a very long text is a row of many lines, whose runs to delete come together in one row of edits; null ids come first in the
+order; rows that agree in id and text are one document and get the same result; an empty table
+gives an empty table; other columns are kept, whatever their names, and are read by no step.
 """
 
 from __future__ import annotations

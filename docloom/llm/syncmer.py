@@ -10,7 +10,7 @@ Positions place what is shared: anchors of two texts with equal hashes and one o
 code points, are one passage, equal letter by letter. placed() uses every anchor of both texts; shared_passages joins the
 anchors of a whole table on their hashes.
 
-Cases: null is the empty text; an empty text has the empty fingerprint, and two empty ones have likeness 1; a text
+Cases: a very long text is fingerprinted whole, in the memory of its task; null is the empty text; an empty text has the empty fingerprint, and two empty ones have likeness 1; a text
 shorter than k code points is one anchor; equal texts have equal fingerprints; rows that repeat an id are ordered by
 their text; null ids come last in descending order; a single row's next document is the row itself (the last row's
 next is the first); an empty table gives an empty table; extra columns are not read.
