@@ -279,9 +279,10 @@ def write_token_store(docs: DataFrame, tokenizer_path: str, directory: str | Non
             path = f"{directory}/shard-{shard:06d}.tok"
             _publish(path, shard_bytes(ids, payloads, e.kind))
             known = [i for i in ids if i is not None] or [None]
+            row = {"shard": [shard], "path": [path], "first_key": [known[0]], "last_key": [known[-1]], "n_docs": [len(ids)], "n_ids": [sum(map(len, payloads)) // e.kind.itemsize]}
             payloads.clear()
             release()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "first_key": [known[0]], "last_key": [known[-1]], "n_docs": [len(ids)], "n_ids": [sum(map(len, payloads)) // e.kind.itemsize]}, schema=schema)
+            yield pa.RecordBatch.from_pydict(row, schema=schema)
 
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     # A shard is what one task sorts: about the session's advisory partition size of text.
