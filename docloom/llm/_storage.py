@@ -40,11 +40,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: it cuts the lineage, and lost executors cost no recomputation."""
+#: Where it is set while a table is staged, the shuffles behind the table go as soon as it is written.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: it cuts the lineage, and lost executors cost no recomputation.
+
+    free: delete the shuffles that the write leaves, which nothing reads again.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    if free:
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(FREE_SHUFFLES, before) if before is not None else spark.conf.unset(FREE_SHUFFLES)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

@@ -79,6 +79,25 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.substring_dedup import remove_repeats
+
+    done = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), joined=True, counts=True)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.hard_negatives import mine_hard_negatives, training_rows
+
+    return mine_hard_negatives(training_rows(_table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.token_alignment import align_documents
+
+    return align_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
