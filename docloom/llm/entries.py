@@ -87,9 +87,11 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docloom.llm.hard_negatives import mine_hard_negatives, training_rows
+    from docloom.llm.hard_negatives import mine_hard_negatives, quantised
 
-    return mine_hard_negatives(training_rows(_table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0)
+    rows = quantised(_table(spark, sf_dir, "embeddings"))
+    noisy = rows.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(noisy, F.col("id") % 50 == 0)
 
 
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +105,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from docloom.llm import backoff_lm, chat_format, line_dedup
+    from docloom.llm import backoff_lm, chat_format, hard_negatives, line_dedup
 
-    return {"op3_line_dedup": line_dedup.SQL, "op6_chat_rotation": chat_format.SQL, "op9_backoff_lm": backoff_lm.SQL_ORDER_3}
+    return {"op3_line_dedup": line_dedup.SQL, "op6_chat_rotation": chat_format.SQL, "op9_backoff_lm": backoff_lm.SQL_ORDER_3, "op12_hard_negatives": hard_negatives.SQL}
 
 
 def trigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

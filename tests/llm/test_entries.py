@@ -15,7 +15,7 @@ def test_one_query_for_each_operator():
 @pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = entries.queries()[name](spark, SF)
     found = c.sql(entries.oracle_sql()[name])
