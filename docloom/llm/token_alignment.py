@@ -22,9 +22,10 @@ empty table gives an empty table; ids are returned as they are, null too; other
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections import Counter
-from collections.abc import Iterable
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +40,21 @@ from docloom.llm.count_join import pack, pack_counts, unpack, unpack_counts
 from docloom.llm.token_store import _key_hash, _slots, build_index
 
 #: Bytes of text of a block; tables that a task of the trees takes; shards of the pairs, of which the vocabularies allow
-#: no more than |A| * |B| at any size of the corpus; entries and length of the units that a worker keeps.
-BLOCK_BYTES, FAN, SHARDS = 8_000_000, 64, 64
-CACHE_ENTRIES, CACHE_LENGTH = 100_000, 48
+#: no more than |A| * |B| at any size of the corpus; units that are tokenized together; length of a unit from which on the
+#: library that takes long ones in its stride tokenizes.
+BLOCK_BYTES, FAN, SHARDS, CHUNK, LONG = 16_000_000, 64, 64, 2_000, 500
+#: The byte-level pre-tokenizer's pattern, a fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 UNIT = re.compile(r"\s*\S+|\s+")
 #: White space other than blank and line end, and the sign that B has for a blank.
 UNCUT = re.compile("[^\\S \n]|▁")
-WHOLE = "W"
+#: What a whole text begins with: no other unit has a blank before something else than white space.
+WHOLE = " W"
 
 
-class Aligner:
-    """The two tokenizers of a worker, and what it knows of units: (number of A ids, of B ids, of groups, pairs, groups as text), or None."""
+class Tokenizers:
+    """The two tokenizers of a worker, and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
@@ -69,120 +73,201 @@ class Aligner:
             self.a_bytes[i] = bytes(alphabet.get(c, 0) for c in token) if all(c in alphabet for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.blank = self.b.piece_to_id("▁")
         # Pieces have a blank only at their start, after blanks, and no line end: those places are certain cuts.
         self.cuts = not any("▁" in p.lstrip("▁") or ("\n" in p and len(p) > 1) for p in pieces) and self.b.encode("\n")[:1] == [self.blank]
-        self.units: dict[str, tuple | None] = {}
+        self.ranked = self._ranked(a_path)
+        a, b = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
+        #: An id as text after each sign: an A token that begins a unit, begins a group, goes on; a B token that begins, goes on.
+        self.shown = [*a, *[";" + x for x in a], *["," + x for x in a], *["|" + x for x in b], *["," + x for x in b]]
+        self.shown_size = np.array([len(x) for x in self.shown], np.int64)
+
+    def _ranked(self, path: str):
+        """tiktoken's encoder of the same tokens, where ids stand in the order of merges: then both merge alike, and this one is faster."""
+        from tiktoken import Encoding
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        rule, model = spec["pre_tokenizer"] or {}, spec["model"]
+        plain = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule["add_prefix_space"] and spec["normalizer"] is None
+        odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or model["type"] != "BPE" or odd:
+            return None
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        ids = [model["vocab"][t] for t in made]
+        if ids != sorted(set(ids)) or len(model["vocab"]) - len([t for t in spec["added_tokens"] if t["content"] in model["vocab"]]) != len(made) + 256:
+            return None
+        ranks = {self.a_bytes[i]: i for t, i in model["vocab"].items() if t not in {x["content"] for x in spec["added_tokens"]}}
+        return Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def units_of(self, text: str | None) -> list[str]:
+        """The units of a text: one after a blank goes without it, others (after a line end, after more white space, whole texts) begin with white space."""
         if not text:
             return []
-        if not self.cuts or UNCUT.search(text):
+        if not self.cuts:
             return [WHOLE + text]
-        return UNIT.findall(" " + text)
+        units = text.replace("\n", " \n").split(" ")
+        if "" in units or "\n" in units:
+            # Runs of white space, or some at either end.
+            units = [u[1:] if u[0] == " " and len(u) > 1 and u[1] not in " \n" else u for u in UNIT.findall(" " + text)]
+        return units
+
+    def raw(self, units: list[str]) -> str:
+        """The text that units stand for, one after the other; of a whole text with its blank."""
+        if " " in units[0]:
+            return " " + units[0][len(WHOLE) :] if units[0].startswith(WHOLE) else units[0]
+        return (" " + " ".join(units)).replace(" \n", "\n")
+
+    def chunks(self, units: list[str]) -> list[list[str]]:
+        """Units one after the other that are tokenized together; those with a blank, and those that end in white space, by themselves."""
+        out: list[list[str]] = []
+        lo = 0
+        for i, u in enumerate(units):
+            if " " in u or u[-1] == "\n":
+                out += [units[k : min(k + CHUNK, i)] for k in range(lo, i, CHUNK)] + [[u]]
+                lo = i + 1
+        return out + [units[k : k + CHUNK] for k in range(lo, len(units), CHUNK)]
+
+    def tokens(self, chunks: list[list[str]]) -> tuple[list[list[int]], list[list[int]]]:
+        """(A ids, B ids) of each chunk. B puts a blank before what it gets: it replaces the first one, or is dropped before a line end."""
+        texts = [self.raw(c) for c in chunks]
+        a: list = [None] * len(texts)
+        if self.ranked is not None:
+            for i, c in enumerate(chunks):
+                if max(map(len, c)) <= LONG:
+                    a[i] = self.ranked.encode_ordinary(texts[i])
+        rest = [i for i, ids in enumerate(a) if ids is None]
+        for i, e in zip(rest, self.a.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            a[i] = e.ids
+        b = self.b.encode([t if t[0] == "\n" else t[1:] for t in texts], num_threads=1)
+        return a, [[self.blank] if t == " " else ids[1:] if t[0] == "\n" else ids for t, ids in zip(texts, b, strict=True)]
+
+    def faithful(self, chunk: list[str], a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == self.raw(chunk).encode() == b"".join(map(self.b_bytes.__getitem__, b))
+
+
+_loaded: dict[tuple[str, str], Tokenizers] = {}
+
+
+def tokenizers_of(a_path: str, b_path: str) -> Tokenizers:
+    if (a_path, b_path) not in _loaded:
+        _loaded[a_path, b_path] = Tokenizers(a_path, b_path)
+    return _loaded[a_path, b_path]
 
-    def _b_ids(self, units: list[str]) -> list[list[int]]:
-        """The model puts a blank before what it gets: it replaces a unit's own first one, and goes where the unit begins with a line end."""
-        found = self.b.encode([u if u[0] == "\n" else u[1:] for u in units], num_threads=1)
-        return [[self.blank] if u == " " else ids[1:] if u[0] == "\n" else ids for u, ids in zip(units, found, strict=True)]
 
-    def _align(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
-        raw = (" " + unit[1:] if unit[0] == WHOLE else unit).encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-            return None
-        i = j = i0 = j0 = 0
-        a_end, b_end = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
-        pairs, groups = [], []
-        while True:
-            pairs.append(a[i] << 32 | b[j])
-            step = a_end - b_end
-            if step <= 0:
-                i += 1
-            if step >= 0:
-                j += 1
-            if step == 0:
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                i0, j0 = i, j
-                if i == len(a):
-                    break
-            if step <= 0:
-                a_end += len(self.a_bytes[a[i]])
-            if step >= 0:
-                b_end += len(self.b_bytes[b[j]])
-        return len(a), len(b), len(groups), np.array(pairs, "<i8").tobytes(), ";".join(groups)
-
-    def aligned(self, units: Iterable[str]) -> list[tuple | None]:
-        """What is known of each unit; new ones are tokenized together."""
-        units = list(units)
-        new = [u for u in units if u not in self.units]
-        made: dict[str, tuple | None] = {}
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            found = self.a.encode_batch([" " + u[1:] if u[0] == WHOLE else u for u in some], add_special_tokens=False)
-            made.update((u, self._align(u, e.ids, b)) for u, e, b in zip(some, found, self._b_ids(some), strict=True))
-        out = [made[u] if u in made else self.units[u] for u in units]
-        if len(self.units) + len(made) > CACHE_ENTRIES:
-            self.units.clear()
-        self.units.update((u, x) for u, x in made.items() if len(u) <= CACHE_LENGTH and len(self.units) < CACHE_ENTRIES)
+class Block:
+    """The documents of a block as units, and each distinct unit aligned.
+
+    Tokens of all units lie on one line of bytes, so an overlap of an A and a B token is a stretch between two neighbouring
+    ends of either kind: one link for each end.
+    """
+
+    def __init__(self, known: Tokenizers, texts: list[str | None]):
+        number: dict[str, int] = defaultdict(count().__next__)
+        rows = [list(map(number.__getitem__, known.units_of(t))) for t in texts]
+        # Texts with signs for which the cuts aren't shown are taken whole.
+        odd = {i for u, i in number.items() if UNCUT.search(u) and not u.startswith(WHOLE)}
+        if odd:
+            rows = [[number[WHOLE + t]] if not odd.isdisjoint(r) else r for t, r in zip(texts, rows, strict=True)]
+        units = list(number)
+        if odd:
+            units = self._renumber(rows, units)
+        chunks = known.chunks(units)
+        a, b = known.tokens(chunks)
+        good = [known.faithful(*x) for x in zip(chunks, a, b, strict=True)]
+        if not all(good):
+            # Those of a chunk that isn't given back are looked at one by one.
+            again = [u for c, g in zip(chunks, good, strict=True) if not g for u in c]
+            a, b = known.tokens([[u] for u in again])
+            lost = {u for u, x, y in zip(again, a, b, strict=True) if not known.faithful([u], x, y)}
+            rows = [[] if any(units[i] in lost for i in r) else r for r in rows]
+            units = self._renumber(rows, units)
+            chunks = known.chunks(units)
+            a, b = known.tokens(chunks)
+            if not all(known.faithful(*x) for x in zip(chunks, a, b, strict=True)):
+                raise RuntimeError("units are not given back together as they are one by one")
+        self.known, self.n_units = known, len(units)
+        lengths = np.array([len(r) for r in rows], np.int64)
+        self.row_ends = np.cumsum(lengths)
+        self.flat = np.fromiter(chain.from_iterable(rows), np.int64, int(lengths.sum()))
+        self.a, self.b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        self.a_end, self.b_end = np.cumsum(known.a_size[self.a]), np.cumsum(known.b_size[self.b])
+        size = np.array([len(u) if u.isascii() else len(u.encode()) for u in units], np.int64)
+        # With the blank that most go without; a whole text's mark stands for its blank.
+        size += np.array([1 - len(WHOLE) if u.startswith(WHOLE) else u[0] not in " \n" for u in units], np.int64)
+        unit_end = np.cumsum(size)
+        n = int(unit_end[-1]) if len(units) else 0
+        at_a, at_b, at_unit = (self._marks(x, n) for x in (self.a_end, self.b_end, unit_end))
+        ends = np.flatnonzero(at_a | at_b)
+        self.group_end = np.flatnonzero(at_a & at_b)
+        if (at_unit & ~(at_a & at_b)).any():
+            raise RuntimeError("a unit ends within a token")
+        self.before_unit, self.before_group = self._before(at_unit), self._before(at_a & at_b)
+        self.pairs = self.a[self._before(at_a)[ends]] << 32 | self.b[self._before(at_b)[ends]]
+        self.owner = self.before_unit[ends]
+
+    @staticmethod
+    def _renumber(rows: list[list[int]], units: list[str]) -> list[str]:
+        """The units that rows still have; rows get their new numbers."""
+        place: dict[int, int] = defaultdict(count().__next__)
+        for k, r in enumerate(rows):
+            rows[k] = [place[i] for i in r]
+        return [units[i] for i in place]
+
+    @staticmethod
+    def _marks(ends: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n + 1, bool)
+        out[ends] = True
         return out
 
-
-_aligners: dict[tuple[str, str], Aligner] = {}
-
-
-def aligner(a_path: str, b_path: str) -> Aligner:
-    if (a_path, b_path) not in _aligners:
-        _aligners[a_path, b_path] = Aligner(a_path, b_path)
-    return _aligners[a_path, b_path]
-
-
-class Block:
-    """The documents of a block as units, aligned."""
-
-    def __init__(self, known: Aligner, texts: list[str | None]):
-        self.number: dict[str, int] = {}
-        number = self.number
-        self.rows: list[list[int]] = []
-        for text in texts:
-            # A new unit takes the next number.
-            self.rows.append([number.setdefault(u, len(number)) for u in known.units_of(text)])
-        self.units = known.aligned(number)
-        lost = {i for i, u in enumerate(self.units) if u is None}
-        if lost:
-            self.rows = [[] if lost.intersection(r) else r for r in self.rows]
-            self.units = [u or (0, 0, 0, b"", "") for u in self.units]
-        self.n_links = np.array([len(u[3]) // 8 for u in self.units], np.int64)
-        self.pairs = np.frombuffer(b"".join(u[3] for u in self.units), "<i8")
+    @staticmethod
+    def _before(marks: np.ndarray) -> np.ndarray:
+        """How many marks stand before each place."""
+        return np.cumsum(marks, dtype=np.int32) - marks
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct pairs, ascending; how many links of the block hold each)."""
-        times: Counter = Counter()
-        for r in self.rows:
-            times.update(r)
-        weight = np.zeros(len(self.units), np.int64)
-        weight[list(times.keys())] = list(times.values())
+        times = np.bincount(self.flat, minlength=self.n_units)
         distinct, at = np.unique(self.pairs, return_inverse=True)
         total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, at, np.repeat(weight, self.n_links))
-        return distinct[total > 0], total[total > 0]
+        np.add.at(total, at, times[self.owner])
+        return distinct, total
+
+    def texts(self) -> list[str]:
+        """The groups of each unit."""
+        a_group, b_group = self.before_group[self.a_end], self.before_group[self.b_end]
+        n_a, n_b = len(self.known.a_bytes), len(self.known.b_bytes)
+        a_unit, b_unit = self.before_unit[self.a_end], self.before_unit[self.b_end]
+        new = lambda x: np.append(True, x[1:] != x[:-1])[: len(x)]
+        codes = np.concatenate([self.a + n_a * np.where(new(a_unit), 0, np.where(new(a_group), 1, 2)), self.b + 3 * n_a + n_b * np.where(new(b_group), 0, 1)])
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        codes = codes[order]
+        every = "".join(map(self.known.shown.__getitem__, codes.tolist()))
+        tokens = np.bincount(a_unit, minlength=self.n_units) + np.bincount(b_unit, minlength=self.n_units)
+        at = np.append(0, np.cumsum(self.known.shown_size[codes]))[np.cumsum(tokens)].tolist()
+        return [every[lo:hi] for lo, hi in zip([0, *at], at, strict=False)]
 
     def report(self, pairs: np.ndarray, counts: np.ndarray, best: np.ndarray) -> list[list]:
         """n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each document. pairs: ascending, with corpus counts."""
         at = np.minimum(np.searchsorted(pairs, self.pairs), max(len(pairs) - 1, 0))
-        used = np.zeros(len(self.units), bool)
-        used[list({i for r in self.rows for i in r})] = True
-        if len(self.pairs) and (not len(pairs) or (pairs[at] != self.pairs)[np.repeat(used, self.n_links)].any()):
+        if len(self.pairs) and (not len(pairs) or (pairs[at] != self.pairs).any()):
             raise RuntimeError("a pair has no count")
-        owner = np.repeat(np.arange(len(self.units)), self.n_links)
-        sums = np.zeros((len(self.units), 2), np.int64)
-        if len(self.pairs):
-            np.add.at(sums[:, 0], owner, best[at])
-            np.add.at(sums[:, 1], owner, counts[at])
-        each = np.column_stack([np.array([u[:3] for u in self.units], np.int64).reshape(-1, 3), self.n_links, sums])
-        totals = np.array([each[r].sum(axis=0) if r else np.zeros(6, np.int64) for r in self.rows], np.int64).reshape(-1, 6)
-        text = [u[4] for u in self.units]
-        sha = [hashlib.sha256(";".join(map(text.__getitem__, r)).encode()).hexdigest() if r else "" for r in self.rows]
-        return [*totals.T.tolist(), sha]
+        each = [np.bincount(self.before_unit[x], minlength=self.n_units) for x in (self.a_end, self.b_end, self.group_end)]
+        each.append(np.bincount(self.owner, minlength=self.n_units))
+        for values in (best, counts):
+            sums = np.zeros(self.n_units, np.int64)
+            if len(self.pairs):
+                np.add.at(sums, self.owner, values[at])
+            each.append(sums)
+        begins = np.append(0, self.row_ends)[:-1]
+        out = []
+        for values in each:
+            sums = np.append(0, np.cumsum(values[self.flat]))
+            out.append((sums[self.row_ends] - sums[begins]).tolist())
+        text, flat = self.texts(), self.flat.tolist()
+        out.append([hashlib.sha256(";".join(map(text.__getitem__, flat[lo:hi])).encode()).hexdigest() if hi > lo else "" for lo, hi in zip(begins.tolist(), self.row_ends.tolist(), strict=True)])
+        return out
 
 
 def _shard_of(pairs: np.ndarray) -> np.ndarray:
@@ -275,7 +360,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, text_col: str = "
     sent = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary())])
 
     def send(table: pa.Table) -> pa.Table:
-        pairs, counts = Block(aligner(a_path, b_path), table.column("text").to_pylist()).counts()
+        pairs, counts = Block(tokenizers_of(a_path, b_path), table.column("text").to_pylist()).counts()
         shard = _shard_of(pairs)
         rows = [(s, pack(pairs[shard == s].astype(U64)), pack_counts(counts[shard == s])) for s in np.unique(shard).tolist()]
         block = table.column("block")[0].as_py()
@@ -307,7 +392,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, text_col: str = "
     schema = pa.schema([(id_col, to_arrow_type(kind)), *[(n, pa.int64()) for n in numbers], ("groups_sha256", pa.string())])
 
     def close(texts: pa.Table, known: pa.Table) -> pa.Table:
-        block = Block(aligner(a_path, b_path), texts.column("text").to_pylist())
+        block = Block(tokenizers_of(a_path, b_path), texts.column("text").to_pylist())
         parts = [(unpack(p).view(np.int64), unpack_counts(c)) for p, c in zip(known.column("pairs").to_pylist(), known.column("counts").to_pylist(), strict=True)]
         best = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(p[0])) for b, p in zip(known.column("best").to_pylist(), parts, strict=True)]
         none = np.zeros(0, np.int64)
