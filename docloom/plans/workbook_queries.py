@@ -186,6 +186,48 @@ def _(spark, sf):
     return page_tables.page_tables(_table_words(spark, sf), "page")
 
 
+@query("c17_text_location")
+def _(spark, sf):
+    """Twenty texts are the pages of one document; chunks are runs of 80 words, each sixth of them gone."""
+    from docloom.operators import text_location
+
+    group = F.floor(F.col("doc_id") / 20)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    page = F.row_number().over(Window.partitionBy("g").orderBy("doc_id"))
+    pages = table(spark, sf, "documents").select(group.alias("g"), "doc_id", words.alias("w")).withColumn("page", page)
+    i = F.col("i")
+    x0, top = (i % 12) * 50.0, F.floor(i / 12) * 14.0
+    placed = pages.select(F.col("g").alias("doc_id"), "page", F.posexplode("w").alias("i", "text")).select("doc_id", "page", i.alias("ord"), "text", x0.alias("x0"), top.alias("top"), (x0 + 45.0).alias("x1"), (top + 10.0).alias("bottom"))
+    runs = pages.filter(F.size("w") > 0).select("g", "doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 80).cast("int"))).alias("k"))
+    kept = F.filter(F.slice("w", F.col("k") * 80 + 1, 80), lambda w, n: n % 6 != 5)
+    chunks = runs.select("g", (F.col("doc_id") * 1000 + F.col("k")).alias("chunk"), F.array_join(kept, " ").alias("content"))
+    numbered = chunks.withColumn("block", F.row_number().over(Window.partitionBy("g").orderBy("chunk"))).withColumn("total_blocks", F.count("*").over(Window.partitionBy("g")))
+    found = text_location.locate_chunks(numbered.select(F.col("g").alias("doc_id"), "chunk", "block", "total_blocks", "content", F.lit("text").alias("chunk_type")), placed)
+    return found.select("doc_id", "chunk", "match_status", "viewer_page", "match_ratio", "bbox.*", F.size("line_bboxes").alias("lines"))
+
+
+@query(
+    "e16_wrapped_labels",
+    """WITH o AS (SELECT o_custkey AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, o_orderpriority AS p, 1000000 + CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)
+SELECT page, 0 AS row, unnest([0, 1, 2]) AS col, unnest(['Metric', '2023', '2024']) AS cell FROM (SELECT DISTINCT page FROM o)
+UNION ALL SELECT page, r, unnest([0, 1, 2]), unnest(['row' || r || CASE WHEN r % 3 = 2 THEN ' goes on ' ELSE ' ' END || p, CAST(v AS VARCHAR), CASE WHEN r % 3 = 0 THEN '' ELSE CAST(v // 2 AS VARCHAR) END]) FROM o""",
+)
+def _(spark, sf):
+    """Every third label goes over three lines, the last of them with the values; every third row lacks its second value."""
+    from docloom.operators import page_tables
+
+    words = _table_words(spark, sf)
+    r, i = F.floor(F.col("ord") / 10), F.col("ord") % 10
+    long = r % 3 == 2
+    # The line that a row's words stand in: two more for each long label above.
+    line = r + 2 * F.floor(r / 3) + F.when(long, F.when(i == 0, 0).otherwise(2)).otherwise(0)
+    moved = words.withColumn("top", F.when(r > 0, line * 14.0).otherwise(F.col("top"))).withColumn("bottom", F.col("top") + 10.0)
+    rest = moved.filter((r > 0) & long & (i == 0)).select("page", (F.col("ord") + 9).alias("ord"), F.explode(F.array(F.lit("goes"), F.lit("on"))).alias("text"), F.col("x0").alias("left"), (F.col("top") + 14.0).alias("top"))
+    x0 = F.col("left") + F.when(F.col("text") == "on", 30.0).otherwise(0.0)
+    rest = rest.select("page", "ord", "text", x0.alias("x0"), "top", (x0 + 25.0).alias("x1"), (F.col("top") + 10.0).alias("bottom"))
+    return page_tables.rebuilt_cells(moved.filter((r == 0) | (r % 3 != 0) | (i != 3)).unionByName(rest), "page")
+
+
 @query(
     "e12_page_paragraphs",
     """WITH l AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE length(text) > 0),

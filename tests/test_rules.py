@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from docloom.functions import policy
 from docloom.operators import library, page_tables, phrases, search, sequences, tables, workbook
-from docloom.operators.page_tables import Word
 from docloom.sources import logs
 
 
@@ -88,19 +87,49 @@ def test_slices(spark):
 
 
 def word(text, x, row, wide=None):
-    w = 6.0 * len(text) if wide is None else wide
-    return Word(text, x, row * 14.0, x + w, row * 14.0 + 10)
-
-
-def test_rebuilt_tables():
-    words = [word("2023", 276, 0), word("2024", 376, 0), word("Net", 20, 1), word("sales", 60, 1), word("1,200", 270, 1), word("1,300", 370, 1), word("Costs", 20, 2), word("900", 282, 2), word("950", 382, 2)]
-    assert page_tables.rebuild(words) == [["Metric", "2023", "2024"], ["Net sales", "1,200", "1,300"], ["Costs", "900", "950"]]
-    wrapped = [word("2023", 276, 0), word("2024", 376, 0), word("Sales", 20, 1), word("100", 282, 1), word("200", 382, 1), word("Intelligent", 20, 2), word("Solution", 20, 3), word("26,158", 264, 4), word("45,018", 364, 4)]
-    assert page_tables.rebuild(wrapped)[1:] == [["Sales", "100", "200"], ["Intelligent Solution", "26,158", "45,018"]]
-    below = [w._replace(top=w.top + 14, bottom=w.bottom + 14) for w in words[2:6]]
-    spanning = [word("Group", 260, 0, 160.0), word("2023", 276, 1), word("2024", 376, 1), *below]
-    assert page_tables.rebuild(spanning) == [["Metric", "Group 2023", "Group 2024"], ["Net sales", "1,200", "1,300"]]
-    assert page_tables.rebuild([]) == page_tables.rebuild([word("only", 10, 0), word("words", 60, 0)]) == []
+    return text, float(x), row * 14.0, x + (6.0 * len(text) if wide is None else wide), row * 14.0 + 10
+
+
+def rebuilt(spark, pages, **more):
+    rows = [(k, i, *w) for k, words in pages.items() for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "page string, ord int, text string, x0 double, top double, x1 double, bottom double")
+    out = {k: {} for k in pages}
+    for r in page_tables.rebuilt_cells(df, "page", **more).collect():
+        out[r.page][r.row, r.col] = r.cell
+    return {k: [[c[i, j] for j in range(1 + max(x for _, x in c))] for i in range(1 + max(y for y, _ in c))] if c else [] for k, c in out.items()}
+
+
+def test_rebuilt_tables(spark):
+    head, sales = [word("2023", 276, 0), word("2024", 376, 0)], [word("Net", 20, 1), word("sales", 60, 1), word("1,200", 270, 1), word("1,300", 370, 1)]
+    below = [(t, x, top + 14, x1, bottom + 14) for t, x, top, x1, bottom in sales]
+    two = [word("Sales", 20, 1), word("100", 282, 1), word("200", 382, 1)]
+    got = rebuilt(
+        spark,
+        {
+            "plain": [*head, *sales, word("Costs", 20, 2), word("900", 282, 2), word("950", 382, 2)],
+            "wrapped": [*head, *two, word("Intelligent", 20, 2), word("Solution", 20, 3), word("26,158", 264, 4), word("45,018", 364, 4)],
+            "labels below": [*head, *two, word("Other", 20, 2), word("7", 288, 3), word("8", 388, 3), word("(restated)", 20, 4), word("More", 20, 5), word("9", 288, 6)],
+            "labels at the end": [*head, *two, word("Notes", 20, 2)],
+            "spanning": [word("Group", 260, 0, 160.0), word("2023", 276, 1), word("2024", 376, 1), *below],
+            "hole": [*head, *two, word("Costs", 20, 2), word("950", 382, 2)],
+            "no header": [word("", 20, 0), word("  ", 80, 0), *sales],
+            "no values": [word("only", 10, 0), word("words", 60, 0)],
+        },
+    )
+    assert got["plain"] == [["Metric", "2023", "2024"], ["Net sales", "1,200", "1,300"], ["Costs", "900", "950"]]
+    assert got["wrapped"][1:] == [["Sales", "100", "200"], ["Intelligent Solution", "26,158", "45,018"]]
+    assert got["labels below"][1:] == [["Sales", "100", "200"], ["Other (restated) More", "7", "8"], ["", "9", ""]]
+    assert got["labels at the end"][1:] == [["Sales", "100", "200"], ["Notes", "", ""]]
+    assert got["spanning"] == [["Metric", "Group 2023", "Group 2024"], ["Net sales", "1,200", "1,300"]]
+    assert got["hole"][1:] == [["Sales", "100", "200"], ["Costs", "", "950"]]
+    assert got["no header"] == got["no values"] == []
+
+
+def test_rows_by_reach(spark):
+    # Tops that wander: a row begins where a word lies further from the row's first one than reach allows.
+    words = [("2023", 276.0, 0.0, 300.0, 10.0), ("A", 20.0, 14.0, 26.0, 24.0), ("1", 290.0, 20.0, 296.0, 30.0), ("2", 390.0, 20.4, 396.0, 30.4), ("B", 20.0, 28.0, 26.0, 38.0), ("3", 290.0, 28.0, 296.0, 38.0), ("4", 390.0, 28.0, 396.0, 38.0)]
+    assert rebuilt(spark, {"p": words})["p"][1:] == [["A", "1", "2"], ["B", "3", "4"]]
+    assert rebuilt(spark, {"p": words}, reach=0.3)["p"][1:] == [["", "1", "2"], ["B", "3", "4"]]
 
 
 def test_reading_order_of_two_columns(spark):
