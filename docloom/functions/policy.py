@@ -42,6 +42,76 @@ def screen_input(query: Column) -> Column:
     return F.when(bad, F.lit("destructive_sql"))
 
 
+# --- Fixed values: families of questions that are refused, and of those that are looked at more closely. ---
+ABUSE = ["\\b(kill yourself|kys)\\b"]
+#: One more wording of a destructive request, which screens of questions have.
+CREDENTIALS = ["\\beveryone'?s\\b.{0,20}\\bpassword\\b"]
+JAILBREAK = [
+    "\\bignore\\b.{0,40}\\b(instructions?|rules|policy|prompt|guidelines)\\b",
+    "\\bignore\\b.{0,20}\\b(all|any|previous|prior|earlier|my)\\b.{0,20}\\b(instructions?|rules|prompts?)\\b",
+    "\\b(disregard|forget|override|bypass|disable)\\b.{0,30}\\b(instructions|rules|system prompt|guardrails|safety|restrictions|content filter)\\b",
+    "\\b(pretend|act)\\b.{0,20}\\b(unrestricted|uncensored|jailbroken|without rules|without limits)\\b",
+    "\\b(reveal|expose|leak|output|print|show|repeat|dump|recite)\\b.{0,30}\\b(system prompt|hidden prompt|instructions|developer message|hidden instructions|initial prompt|original prompt)\\b",
+    "\\bwhat are your (instructions|rules|system prompt|guidelines)\\b",
+    "\\b(bypass|disable|turn off|remove)\\b.{0,20}\\b(guardrails|safety|content filter|restrictions)\\b",
+    "\\b(developer|sudo|god|jailbreak|dan)\\s+mode\\b",
+    "\\byou are now\\b.{0,30}\\b(unrestricted|unfiltered|developer mode|dan)\\b",
+    "\\bact as (if )?you (have|had) no (rules|restrictions|limits|guidelines)\\b",
+    "\\bfrom now on\\b.{0,30}\\b(ignore|disregard|forget)\\b",
+    "\\bnew (system )?prompt\\b",
+    "\\bsystem override\\b",
+    "\\bend of user message\\b",
+    "\\[/system\\]|\\[system\\]|</user>|<system>",
+    "\\bdo anything now\\b",
+    "\\bDAN\\b",
+    "\\booc:\\s",
+    "\\brepeat (everything|the text|the message) above\\b",
+]
+SQL_QUERY_REQUEST = [
+    "\\b(show|print|reveal|display|give|tell|share|repeat|dump|output)\\b.{0,25}\\b(the\\s+)?(sql\\s+)?(query|queries|statement|statements)\\b.{0,20}\\b(you\\s+)?(ran|used|executed|wrote)\\b",
+    "\\bwhat (sql\\s+)?(query|queries) did you (run|use|execute|write)\\b",
+    "\\bwhat (sql\\s+)?(query|queries) (was|were) (run|used|executed|written)\\b",
+    "\\bgive me the (sql\\s+)?(select|query|statement)\\b",
+    "\\bshow me the (sql\\s+)?(select|query|statement)\\b",
+    "\\b(reveal|print|show|repeat|dump)\\b.{0,20}\\bthe (sql\\s+)?(select|query|statement)\\b",
+    "\\brepeat the (sql\\s+)?(query|statement) (you\\s+)?(ran|used|executed)\\b",
+    "\\bshare (your|the) (internal\\s+)?(sql\\s+)?(query|queries)\\b",
+]
+SCHEMA_REQUEST = [
+    "\\b(show|list|describe|give|tell|display|dump|print|reveal)\\b.{0,25}\\b(the\\s+)?(db|database)\\s+schema\\b",
+    "\\b(show|list|describe|give|tell|display|dump|print|reveal)\\b.{0,25}\\b(the\\s+)?(schema|table structure|column names|columns and types)\\b",
+    "\\bwhat tables\\b.{0,30}\\b(in the\\s+)?(database|db)\\b",
+    "\\blist\\b.{0,20}\\b(all\\s+)?tables\\b",
+    "\\bdescribe\\s+(the\\s+)?(database|schema|tables)\\b",
+    "\\binformation_schema\\b",
+]
+# --- End of fixed values. ---
+#: In the order in which they are asked: family, patterns, whether it is refused at once.
+INPUT_FAMILIES = [("abuse", ABUSE, True), ("destructive_sql_request", DESTRUCTIVE_SQL + CREDENTIALS, True), ("jailbreak", JAILBREAK, False), ("sql_query_request", SQL_QUERY_REQUEST, False), ("schema_request", SCHEMA_REQUEST, False)]
+
+
+def folded(query: Column) -> Column:
+    """Lower case, with look-alike digits as letters and marks and white space between words as one blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(query), "01345@$", "oieasas"), "[_\\-]+", " "), "\\s+", " "))
+
+
+def input_verdict(query: Column) -> Column:
+    """struct(allowed, family, place): the first family that a question falls under, as it stands or folded.
+
+    Families of INPUT_FAMILIES that are not refused are allowed with their name, to be looked at more closely. place: from 0,
+    where the question itself first says so; null where only its folded form does.
+    """
+    out = F.struct(F.lit(True).alias("allowed"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("int").alias("place"))
+    cases = F.when(F.trim(F.coalesce(query, F.lit(""))) == "", out)
+    plain = folded(query)
+    for family, patterns, refused in INPUT_FAMILIES:
+        # One scan of a family: its patterns are one alternation.
+        any_of = "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+        at = F.nullif(F.regexp_instr(query, F.lit(any_of)), F.lit(0)) - 1
+        cases = cases.when(query.rlike(any_of) | plain.rlike(any_of), F.struct(F.lit(not refused).alias("allowed"), F.lit(family).alias("family"), at.alias("place")))
+    return cases.otherwise(out)
+
+
 def screen_output(text: Column) -> Column:
     """The first rule that an answer breaks, or null; three addresses or more are possible_pii."""
     cases = F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.lit(None).cast("string"))
@@ -109,11 +179,27 @@ def strip_fences(text: Column) -> Column:
     return F.trim(F.when(inner != "", inner).otherwise(text))
 
 
+def json_object(text: Column) -> Column:
+    """The JSON object at the start of a text, to its own closing brace, whatever follows; null where none ends."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+    def step(acc, c):
+        free = ~acc["quoted"]
+        depth = acc["depth"] + F.when(free & (c == "{"), 1).when(free & (c == "}"), -1).otherwise(0)
+        quoted = F.when((c == '"') & ~acc["escaped"], free).otherwise(acc["quoted"])
+        n = acc["n"] + 1
+        return F.struct(depth.alias("depth"), quoted.alias("quoted"), (acc["quoted"] & (c == "\\") & ~acc["escaped"]).alias("escaped"), n.alias("n"), F.when((acc["end"] == 0) & free & (depth == 0) & (c == "}"), n).otherwise(acc["end"]).alias("end"))
+
+    end = F.aggregate(F.split(text, ""), start, step, lambda acc: acc["end"])
+    return F.nullif(F.substr(text, F.lit(1), F.when(text.startswith("{"), end).otherwise(0)), F.lit(""))
+
+
 def tool_calls(text: Column) -> Column:
-    """array of struct(name, arguments) of '<function=name{json}>' marks."""
-    names = F.regexp_extract_all(text, F.lit("<function=(\\w+)\\s*(\\{[^}]*\\})"), F.lit(1))
-    bodies = F.regexp_extract_all(text, F.lit("<function=(\\w+)\\s*(\\{[^}]*\\})"), F.lit(2))
-    return F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("name"), b.alias("arguments")))
+    """array of struct(name, arguments) of '<function=name{json}</function>' marks, nested objects whole; marks without an object are left out."""
+    mark = F.lit("<function=([^<{]*)(\\{[^<]*)")
+    names, bodies = F.regexp_extract_all(text, mark, F.lit(1)), F.regexp_extract_all(text, mark, F.lit(2))
+    calls = F.zip_with(names, bodies, lambda n, b: F.struct(F.trim(n).alias("name"), json_object(b).alias("arguments")))
+    return F.filter(calls, lambda c: (c["name"] != "") & F.schema_of_variant(F.try_parse_json(c["arguments"])).startswith("OBJECT"))
 
 
 def clean_sql_answer(text: Column) -> Column:

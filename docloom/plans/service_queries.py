@@ -107,6 +107,16 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
+@query("j15_nested_tool_calls", "SELECT doc_id, 'search' AS name, doc_id % 9 AS k, coalesce(text, '') AS said, '{' || lang AS lang FROM documents WHERE NOT contains(coalesce(text, ''), '<')")
+def _(spark, sf):
+    """A document's whole text as an argument, with an object inside the arguments and a mark without any."""
+    inner = F.to_json(F.struct(F.col("text").alias("q"), F.struct(F.concat(F.lit("{"), F.col("lang")).alias("lang")).alias("filter"), (F.col("doc_id") % 9).alias("k")))
+    said = F.concat(F.lit("I call <function=none></function> then <function= search "), inner, F.lit("}></function>"))
+    calls = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit(""))).filter("instr(text, '<') = 0").select("doc_id", F.explode(P.tool_calls(said)).alias("c"))
+    told = F.from_json("c.arguments", "q string, filter struct<lang:string>, k long")
+    return calls.select("doc_id", F.col("c.name").alias("name"), told.alias("t")).select("doc_id", "name", "t.k", F.col("t.q").alias("said"), "t.filter.lang")
+
+
 @query("j15_tool_calls", "SELECT event_id, 'search' AS name, user_id AS k FROM events")
 def _(spark, sf):
     text = F.concat(F.lit("x <function=search{\"k\": "), F.col("user_id").cast("string"), F.lit("}></function>"))
