@@ -42,7 +42,7 @@ from docloom.llm.token_store import _key_hash, _slots, build_index
 #: Bytes of text of a block; tables that a task of the trees takes; shards of the pairs, of which the vocabularies allow
 #: no more than |A| * |B| at any size of the corpus; units that are tokenized together; length of a unit from which on the
 #: library that takes long ones in its stride tokenizes.
-BLOCK_BYTES, FAN, SHARDS, CHUNK, LONG = 16_000_000, 64, 64, 2_000, 500
+BLOCK_BYTES, FAN, SHARDS, CHUNK, LONG = 8_000_000, 64, 64, 2_000, 500
 #: The byte-level pre-tokenizer's pattern, a fixed value.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
