@@ -441,6 +441,15 @@ def _(spark, sf):
     return retrieval.nearest(e, queries, 10).withColumn("distance", F.round("distance", 6))
 
 
+@query("j03_approximate_neighbours")
+def _(spark, sf):
+    from docloom.operators import vector_index
+
+    e = table(spark, sf, "embeddings")
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector_index.search_index(vector_index.build_index(e), queries, 10).withColumn("distance", F.round("distance", 6))
+
+
 _BM25 = """WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark),
 t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
 p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY ALL),
