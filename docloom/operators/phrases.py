@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,27 +21,22 @@ def named_phrases(text: Column) -> Column:
     return F.transform(once, lambda s: s["x"])
 
 
-def _spans(text: str | None, most: int = 6) -> list[str]:
-    """Runs of two to six tokens of which two are distinctive, or one is short or has a digit; longest first."""
-    tokens = re.findall("[a-z0-9]+", (text or "").lower())
-    telling = [any(c.isdigit() for c in t) or (len(t) >= 2 and t not in STOP_WORDS) for t in tokens]
-    short = [any(c.isdigit() for c in t) or (len(t) <= 2 and t.isalpha() and t not in STOP_WORDS) for t in tokens]
-    found = {}
-    for i in range(len(tokens)):
-        for j in range(i + 2, min(i + most, len(tokens)) + 1):
-            if (telling[i] or short[i]) and (sum(telling[i:j]) >= 2 or (any(telling[i:j]) and any(short[i:j]))):
-                found.setdefault(" ".join(tokens[i:j]), None)
-    return sorted(found, key=lambda x: (-len(x), x))
-
-
-def lookup_phrases() -> Callable[[Column], Column]:
-    """A vectorised function from a question to its lookup phrases."""
+def lookup_phrases(text: Column, most: int = 6) -> Column:
+    """Runs of two to most tokens of which two are distinctive, or one is short or has a digit; longest first, then by the alphabet."""
+    digit = lambda t: t.rlike("[0-9]")
+    plain = lambda t: ~t.isin(STOP_WORDS)
+    telling = lambda t: digit(t) | ((F.length(t) >= 2) & plain(t))
+    short = lambda t: digit(t) | ((F.length(t) <= 2) & t.rlike("^[a-z]+$") & plain(t))
 
-    @F.pandas_udf("array<string>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(_spans)
+    def runs(tokens: Column) -> Column:
+        begins = F.filter(F.transform(tokens, lambda t, i: F.when(telling(t) | short(t), i + 1)), lambda i: i.isNotNull())
+        longest = lambda i: F.filter(F.sequence(F.lit(2), F.lit(most)), lambda n: i + n - 1 <= F.size(tokens))
+        every = F.flatten(F.transform(begins, lambda i: F.transform(longest(i), lambda n: F.slice(tokens, i, n))))
+        kept = F.filter(every, lambda r: (F.size(F.filter(r, telling)) >= 2) | (F.exists(r, telling) & F.exists(r, short)))
+        return F.array_distinct(F.transform(kept, lambda r: F.array_join(r, " ")))
 
-    return spans
+    found = F.transform(F.array(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))), runs)[0]
+    return F.transform(F.array_sort(F.transform(found, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), lambda s: s["p"])
 
 
 def merge_anchor_phrases(query: Column, earlier: Column) -> Column:
@@ -67,7 +58,8 @@ def marked_phrases(text: Column) -> Column:
     """What follows each marker up to a punctuation mark, fillers at its beginning left out, six words at most."""
 
     def after(marker: str) -> Column:
-        tails = F.slice(F.split(text, "(?i)" + marker), 2, 1000)
+        pieces = F.split(text, "(?i)" + marker)
+        tails = F.slice(pieces, F.lit(2), F.size(pieces))
         plain = F.transform(tails, lambda t: F.trim(F.regexp_replace(F.trim(F.regexp_extract(F.trim(t), "^[^?.!,;\n]*", 0)), f"(?i)^(?:(?:{FILLERS})\\s+)+", "")))
         return F.transform(plain, lambda t: F.array_join(F.slice(F.filter(F.split(t, "\\s+"), lambda w: w != ""), 1, 6), " "))
 
@@ -81,7 +73,7 @@ def match_profiles(questions: DataFrame, key: str, text: str) -> DataFrame:
     phrases that tell something, then the telling ones of three letters or more, each once.
     """
     asked = F.coalesce(F.col(text), F.lit(""))
-    every = F.concat(named_phrases(asked), marked_phrases(asked), lookup_phrases()(asked))
+    every = F.concat(named_phrases(asked), marked_phrases(asked), lookup_phrases(asked))
     plain = F.filter(F.transform(every, lambda p: F.array_join(raw_tokens(p), " ")), lambda p: p != "")
     ordered = F.transform(F.array_sort(F.array_distinct(F.transform(plain, lambda p: F.struct((-F.length(p)).alias("n"), F.lower(p).alias("k"))))), lambda x: x["k"])
     rows = questions.select(key, asked.alias("_t"), ordered.alias("phrases"))

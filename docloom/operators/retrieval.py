@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from docloom.functions.vectors import l2_distance
 
 K1, B = 1.2, 0.75
+#: A word of an index: letters and digits of any script.
+WORD = "[\\p{L}\\p{N}]+"
+
+
+def index_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """(query_id, key, score) for queries (query_id, term), whose terms are few and sent to every task only if Spark finds them small."""
     wanted = queries.select("query_id", "term").distinct()
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    tokens = chunks.select(key, words.alias("w"))
+    tokens = chunks.select(key, index_words(F.col(text)).alias("w"))
     totals = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
     # Only terms that are asked for are counted; each posting carries its chunk's length.
     asked = wanted.select("term").distinct()

@@ -31,7 +31,7 @@ def hybrid_search(chunks: DataFrame, questions: DataFrame, k: int, scope: Column
     to 1 and averaged; what one list lacks counts 0 there, so fewer than k may come back.
     """
     scope = F.lit(True) if scope is None else scope
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
+    words = F.array_distinct(retrieval.index_words(F.col("text")))
     terms = questions.select("query_id", F.explode(words).alias("term"))
     allowed = chunks.filter(scope).select("chunk_id")
     scored = retrieval.bm25(chunks.select("chunk_id", "content"), terms).withColumn("score", F.round("score", 4)).join(allowed, "chunk_id", "left_semi")
@@ -182,12 +182,52 @@ def table_slots(hits: DataFrame, k: int = 6, slots: int = 2) -> DataFrame:
     return retrieval.reserve_table_slots(hits, k, slots, "query_id", "chunk_id")
 
 
-def search_documents(chunks: DataFrame, questions: DataFrame, k: int = 6, slots: int = 2, pool: int = 8, scope: Column | None = None) -> DataFrame:
-    """(query_id, chunk_id, chunk_type, score, rank): hybrid search, places kept for tables, and the cap on spreadsheets.
+def with_anchors(hits: DataFrame, chunks: DataFrame, questions: DataFrame, entities: DataFrame, most: int = 3) -> DataFrame:
+    """hits with what the entities that they are about bring along, and priority: 2 for hits that hold such an entity, 1 for chunks it brings, else 0.
 
-    chunks also have doc_id, chunk_type, source_format, sheet_name and sheet_role.
+    Of each question the most entities whose rows answer it best, weighted by their chunk's score, are its anchors; every
+    sheet of their document that no hit covers for them adds the chunk that answers best, with score 0. hits, chunks: as in
+    search_documents; entities: chunk_id, entity_key, line, the rows of spreadsheets' chunks.
     """
-    hits = hybrid_search(chunks, questions, pool, scope).drop("rank")
-    described = hits.join(chunks.select("chunk_id", "doc_id", "chunk_type", "source_format", "sheet_name", "sheet_role", F.length("content").alias("length")), "chunk_id")
-    capped = cap_sheets(table_slots(described, k, slots).drop("rank").withColumn("priority", F.lit(0)))
+    from docloom.functions.text import query_tokens, row_match_score
+    from docloom.operators import workbook
+
+    told = questions.select("query_id", query_tokens(F.col("text")).alias("_t"))
+    rows = hits.filter("source_format = 'xlsx'").select("query_id", "chunk_id", "doc_id", "sheet_name", "score").join(entities, "chunk_id").join(told, "query_id")
+    rows = rows.withColumn("match", row_match_score(F.col("line"), F.col("_t")))
+    # Anchors are chosen for a question over all its documents.
+    best = workbook.anchors(rows.select(F.col("query_id").alias("doc_id"), F.struct("doc_id", "entity_key").alias("entity_key"), "match", "score"), most)
+    chosen = best.select(F.struct(F.col("doc_id").alias("query_id"), F.col("entity_key.doc_id").alias("doc_id")).alias("doc_id"), F.col("entity_key.entity_key").alias("entity_key"))
+    of = F.struct("query_id", "doc_id").alias("doc_id")
+    held = rows.select(of, F.col("sheet_name").alias("sheet"), "entity_key", "query_id", "chunk_id")
+    # What the index has of the anchors, with how well it answers the question.
+    named = chosen.select(F.col("doc_id.query_id").alias("query_id"), F.col("doc_id.doc_id").alias("doc_id"), "entity_key")
+    index = chunks.filter("source_format = 'xlsx'").select("chunk_id", "doc_id", "sheet_name").join(entities, "chunk_id").join(named, ["doc_id", "entity_key"]).join(told, "query_id")
+    index = index.select(of, F.col("sheet_name").alias("sheet"), "entity_key", "chunk_id", row_match_score(F.col("line"), F.col("_t")).alias("score"))
+    brought = workbook.expand_anchors(held, chosen, index, index).select("doc_id.query_id", "chunk_id").distinct().join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    covers = held.join(chosen, ["doc_id", "entity_key"], "left_semi").select("query_id", "chunk_id", F.lit(2).alias("priority")).distinct()
+    own = hits.join(covers, ["query_id", "chunk_id"], "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
+    added = described(brought.withColumn("score", F.lit(0.0)), chunks).withColumn("priority", F.lit(1))
+    return own.unionByName(added.select(*own.columns))
+
+
+def described(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits (query_id, chunk_id, score) with their chunks' fields and length."""
+    return hits.join(chunks.select("chunk_id", "doc_id", "chunk_type", "source_format", "sheet_name", "sheet_role", F.length("content").alias("length")), "chunk_id")
+
+
+def search_documents(chunks: DataFrame, questions: DataFrame, k: int = 6, slots: int = 2, pool: int = 8, scope: Column | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, chunk_type, score, rank): hybrid search, places kept for tables, chunks brought by anchors, and the cap on spreadsheets.
+
+    chunks also have doc_id, chunk_type, source_format, sheet_name and sheet_role; questions may have earlier, an array of
+    questions before, whose named phrases the question then takes along; entities: see with_anchors, none without.
+    """
+    if "earlier" in questions.columns:
+        from docloom.operators.phrases import merge_anchor_phrases
+
+        questions = questions.withColumn("text", merge_anchor_phrases(F.col("text"), F.col("earlier")))
+    found = described(hybrid_search(chunks, questions, pool, scope).drop("rank"), chunks)
+    slotted = table_slots(found, k, slots).drop("rank")
+    allowed = chunks if scope is None else chunks.filter(scope)
+    capped = cap_sheets(slotted.withColumn("priority", F.lit(0)) if entities is None else with_anchors(slotted, allowed, questions, entities))
     return capped.select("query_id", "chunk_id", "chunk_type", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).alias("rank"))

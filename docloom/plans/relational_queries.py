@@ -450,8 +450,8 @@ def _(spark, sf):
     return vector_index.search_index(vector_index.build_index(e), queries, 10).withColumn("distance", F.round("distance", 6))
 
 
-_BM25 = """WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark),
-t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+_BM25 = """WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS term FROM benchmark),
+t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
 p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term), a AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
 s AS (SELECT query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avgdl))) AS score FROM p JOIN q USING (term) JOIN df USING (term) JOIN t USING (doc_id), a GROUP BY query_id, p.doc_id),
@@ -460,7 +460,7 @@ SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 6""
 
 
 def _bm25(spark, sf):
-    terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("term"))
+    terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(retrieval.index_words(F.col("text")))).alias("term"))
     return retrieval.bm25(table(spark, sf, "documents"), terms, "doc_id", "text")
 
 

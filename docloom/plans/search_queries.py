@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import policy as P
+from docloom.functions import text as T
+from docloom.operators import retrieval
 from docloom.operators import search as S
+from docloom.plans import relational_queries as R
 from docloom.plans.registry import query, table
 
 #: Chunks and questions in SQL; _chunks and _questions make the same.
@@ -14,8 +19,8 @@ _INDEX = """
 chunks AS (SELECT d.doc_id AS chunk_id, d.doc_id // 3 AS doc_id, coalesce(text, '') AS content, lang AS user_id, CASE d.doc_id % 5 WHEN 0 THEN 'image' WHEN 1 THEN 'table' ELSE 'text' END AS chunk_type,
   CASE WHEN d.doc_id % 3 < 2 THEN 'xlsx' ELSE 'pdf' END AS source_format, CAST(d.doc_id % 4 AS VARCHAR) AS sheet_name, CASE d.doc_id % 7 WHEN 0 THEN 'standalone' WHEN 1 THEN 'satellite' ELSE 'primary' END AS sheet_role, embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 questions AS (SELECT item_id AS query_id, text, embedding AS vector FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
-q AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM questions),
-t AS (SELECT chunk_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM chunks),
+q AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS term FROM questions),
+t AS (SELECT chunk_id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS w FROM chunks),
 p AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM t) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term), a AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
 bm AS (SELECT query_id, p.chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avgdl))), 4) AS score FROM p JOIN q USING (term) JOIN df USING (term) JOIN t USING (chunk_id), a GROUP BY query_id, p.chunk_id),
@@ -82,6 +87,48 @@ def _(spark, sf):
     return S.search_documents(_chunks(spark, sf), _questions(spark, sf))
 
 
+#: Every line of a sheet's chunk is a row of an entity.
+_ENTITIES = "entities AS (SELECT chunk_id, 'e' || ((chunk_id + i) % 11) AS entity_key, line FROM (SELECT chunk_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS i FROM chunks WHERE source_format = 'xlsx'))"
+_TELLING = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: regexp_matches(x, '[0-9]') OR (length(x) >= 2 AND NOT list_contains(" + str(T.STOP_WORDS) + ", x))))"
+
+
+@query(
+    "j06_search_with_anchors",
+    f"""WITH {_hybrid(8, 'true')}, {_ENTITIES}, tk AS (SELECT query_id, {_TELLING} AS ts FROM questions),
+d AS (SELECT hy.query_id, hy.chunk_id, hy.score, doc_id, chunk_type, source_format, sheet_name, sheet_role, length(content) AS length FROM hy JOIN chunks USING (chunk_id)),
+ts0 AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_type = 'table' ORDER BY score DESC, chunk_id) AS tr, least(count(*) FILTER (WHERE chunk_type = 'table') OVER (PARTITION BY query_id), 2) AS tn FROM d),
+slot AS (SELECT query_id, chunk_id, score, doc_id, chunk_type, source_format, sheet_name, sheet_role, length FROM ts0 WHERE CASE WHEN chunk_type = 'table' THEN tr <= 2 ELSE tr <= 6 - tn END),
+er AS (SELECT s.query_id, s.doc_id, s.chunk_id, s.sheet_name, e.entity_key, s.score, CASE WHEN len(ts) > 0 THEN len(list_filter(ts, lambda x: contains(lower(line), x))) / len(ts)::DOUBLE ELSE 0.0 END AS m FROM slot s JOIN entities e USING (chunk_id) JOIN tk USING (query_id)),
+ab AS (SELECT query_id, doc_id, entity_key, max(m * greatest(score, 0.01)) AS best FROM er WHERE m >= 0.34 GROUP BY ALL),
+an AS (SELECT query_id, doc_id, entity_key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, doc_id, entity_key) AS place FROM ab) WHERE place <= 3),
+ix AS (SELECT an.query_id, an.doc_id, an.entity_key, c.chunk_id, c.sheet_name, max(CASE WHEN len(ts) > 0 THEN len(list_filter(ts, lambda x: contains(lower(line), x))) / len(ts)::DOUBLE ELSE 0.0 END) AS m FROM an JOIN chunks c USING (doc_id) JOIN entities e ON e.chunk_id = c.chunk_id AND e.entity_key = an.entity_key JOIN tk USING (query_id) GROUP BY ALL),
+nw AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, doc_id, entity_key, sheet_name, arg_max(chunk_id, (m, -chunk_id)) AS chunk_id FROM ix WHERE NOT EXISTS (SELECT 1 FROM er WHERE er.query_id = ix.query_id AND er.doc_id = ix.doc_id AND er.entity_key = ix.entity_key AND er.sheet_name = ix.sheet_name) GROUP BY ALL) n WHERE NOT EXISTS (SELECT 1 FROM slot WHERE slot.query_id = n.query_id AND slot.chunk_id = n.chunk_id)),
+hits AS (SELECT slot.*, CASE WHEN EXISTS (SELECT 1 FROM er JOIN an ON er.query_id = an.query_id AND er.doc_id = an.doc_id AND er.entity_key = an.entity_key WHERE er.query_id = slot.query_id AND er.chunk_id = slot.chunk_id) THEN 2 ELSE 0 END AS priority FROM slot
+  UNION ALL SELECT nw.query_id, c.chunk_id, 0.0, c.doc_id, c.chunk_type, c.source_format, c.sheet_name, c.sheet_role, length(c.content), 1 FROM nw JOIN chunks c USING (chunk_id)), {_CAPPED.format(cap=5)}
+SELECT query_id, chunk_id, chunk_type, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM capped""",
+)
+def _(spark, sf):
+    chunks = _chunks(spark, sf)
+    lines = chunks.filter("source_format = 'xlsx'").select("chunk_id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+    entities = lines.select("chunk_id", F.concat(F.lit("e"), ((F.col("chunk_id") + F.col("i")) % 11).cast("string")).alias("entity_key"), "line")
+    return S.search_documents(chunks, _questions(spark, sf), entities=entities)
+
+
+@query("f01_postings_top_k", R._BM25)
+def _(spark, sf):
+    """The keyword search of f01_bm25_top_k over an index that was written before, replaced in part, and cleared of what was replaced."""
+    from docloom.operators import postings
+    from docloom.sources.folders import shared_folder
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 3).alias("doc_id"), F.col("text").alias("content"))
+    stale = docs.filter("doc_id % 5 = 0").withColumn("content", F.concat(F.lit("stale words "), F.coalesce("content", F.lit(""))))
+    index = postings.Postings(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+    index.append(docs.filter("doc_id % 5 <> 0").unionByName(stale), batch=1)
+    index.replace(docs.filter("doc_id % 5 = 0"), batch=2)
+    terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(retrieval.index_words(F.col("text")))).alias("term"))
+    return retrieval.top_k(index.search(terms).withColumn("score", F.round("score", 4)), 6, "chunk_id").select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
+
+
 #: Hits of a search: lines of an order are what a question found.
 _HITS = "SELECT l_suppkey AS query_id, l_orderkey * 10 + l_linenumber AS chunk_id, l_orderkey % 4 AS doc_id, CASE WHEN l_returnflag = 'A' THEN 'text' ELSE 'table' END AS chunk_type, CASE WHEN l_linenumber = 1 THEN 'pdf' ELSE 'xlsx' END AS source_format, CAST(l_linenumber AS VARCHAR) AS sheet_name, CASE l_partkey % 3 WHEN 0 THEN 'standalone' WHEN 1 THEN 'satellite' ELSE 'primary' END AS sheet_role, l_extendedprice AS score, CAST(l_quantity AS BIGINT) AS length, CASE WHEN l_tax > 0.05 THEN 2 WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS priority FROM lineitem"
 
@@ -120,13 +167,13 @@ def _(spark, sf):
 @query(
     "f06_answer_context",
     """WITH h AS (SELECT source AS k, doc_id, lang, n_chars, text, row_number() OVER (PARTITION BY source, n_chars % 50 ORDER BY doc_id) AS n FROM documents WHERE doc_id % 5 <> 0)
-SELECT k, bucket, sha256(string_agg('--- Source ' || n || ' ---' || chr(10) || 'Document: f' || doc_id || chr(10) || CASE WHEN lang = 'de' THEN CASE WHEN n_chars % 2 = 0 THEN 'Section: s' || (n_chars % 7) || chr(10) ELSE '' END ELSE 'Page: ' || (doc_id % 9) || chr(10) END || 'Type: ' || CASE WHEN doc_id % 5 = 1 THEN 'table' ELSE 'text' END || chr(10) || 'Content:' || chr(10) || '<document_excerpt>' || chr(10) || left(coalesce(text, ''), 100) || chr(10) || '</document_excerpt>', chr(10) || chr(10) ORDER BY n)) AS digest FROM (SELECT *, n_chars % 50 AS bucket FROM h) GROUP BY ALL""",
+SELECT k, bucket, sha256(string_agg('--- Source ' || n || ' ---' || chr(10) || 'Document: f' || doc_id || chr(10) || CASE WHEN lang = 'de' THEN CASE WHEN n_chars % 2 = 0 THEN 'Section: s' || (n_chars % 7) || chr(10) ELSE '' END ELSE 'Page: ' || (doc_id % 9) || chr(10) END || 'Type: ' || CASE WHEN doc_id % 5 = 1 THEN 'table' ELSE 'text' END || chr(10) || 'Content:' || chr(10) || '<document_excerpt>' || chr(10) || coalesce(text, '') || chr(10) || '</document_excerpt>', chr(10) || chr(10) ORDER BY n)) AS digest FROM (SELECT *, n_chars % 50 AS bucket FROM h) GROUP BY ALL""",
 )
 def _(spark, sf):
     d, s = F.col("doc_id"), lambda c: c.cast("string")
     hits = table(spark, sf, "documents").select(
         F.struct(F.col("source").alias("k"), (F.col("n_chars") % 50).alias("bucket")).alias("g"), "doc_id", F.concat(F.lit("f"), s(d)).alias("filename"), F.when(F.col("lang") == "de", "docx").otherwise("pdf").alias("source_format"),
-        F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("s"), s(F.col("n_chars") % 7))).otherwise(" ").alias("section"), (d % 9).alias("page_number"), F.when(d % 5 == 0, "image").when(d % 5 == 1, "table").otherwise("text").alias("chunk_type"), F.substring(F.coalesce("text", F.lit("")), 1, 100).alias("content"),
+        F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("s"), s(F.col("n_chars") % 7))).otherwise(" ").alias("section"), (d % 9).alias("page_number"), F.when(d % 5 == 0, "image").when(d % 5 == 1, "table").otherwise("text").alias("chunk_type"), F.coalesce("text", F.lit("")).alias("content"),
     )
     return S.answer_context(hits, "g", ["doc_id"]).select("g.k", "g.bucket", F.sha2("context", 256).alias("digest"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import numeric as N
 from docloom.functions import policy as P
-from docloom.operators import charts, service, workbook
+from docloom.operators import charts, retrieval, service, workbook
 from docloom.operators.guarded_sql import run_sql
 from docloom.plans.registry import query, table
 from docloom.plans.relational_queries import _BM25
@@ -63,7 +63,7 @@ SELECT query_id, chunk_id, chunk_type, score, row_number() OVER (PARTITION BY qu
 )
 def search_pipeline(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.when(F.col("text").contains(" | "), "table").otherwise("text").alias("chunk_type"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
+    words = F.array_distinct(retrieval.index_words(F.col("text")))
     terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("term"))
     return service.search_documents(docs, terms).select("query_id", "chunk_id", "chunk_type", "score", "rank")
 

@@ -100,4 +100,4 @@ def _(spark, sf):
 @query("h05_lookup_phrases")
 def _(spark, sf):
     asked = F.concat_ws(" ", "p_brand", "p_name")
-    return table(spark, sf, "part").select("p_partkey", lookup_phrases()(asked).alias("phrases"))
+    return table(spark, sf, "part").select("p_partkey", lookup_phrases(asked).alias("phrases"))

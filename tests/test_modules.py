@@ -41,7 +41,7 @@ def test_numbers(spark):
 def test_text(spark):
     assert apply(spark, text.normalize_whitespace, ["  hello   world\n\nfoo  ", None, "a b"]) == ["hello world foo", "", "a b"]
     assert apply(spark, text.column_label, [1, 26, 27, 702, 703], "int") == ["A", "Z", "AA", "ZZ", "AAA"]
-    assert apply(spark, lambda x: phrases.lookup_phrases()(x), ["tell me about ben 10"])[0][0] == "about ben 10" and "ben 10" in apply(spark, lambda x: phrases.lookup_phrases()(x), ["tell me about ben 10"])[0]
+    assert apply(spark, phrases.lookup_phrases, ["tell me about ben 10"])[0][0] == "about ben 10" and "ben 10" in apply(spark, phrases.lookup_phrases, ["tell me about ben 10"])[0]
     assert apply(spark, phrases.named_phrases, ['who made "Blue Moon" and The Long Road?']) == [["The Long Road", "Blue Moon"]]
 
 
