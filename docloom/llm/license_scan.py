@@ -8,8 +8,8 @@ and on held-out ordinary lines: the temperature of the least log loss, and the t
 unknown. A prediction stands only if a template of its family confirms it, by the share of the template's words that the
 paragraph holds; otherwise it is unknown too.
 
-Only lines with a telling word are classified: a word of a notice that RARE of the ordinary lines hold at most. A line
-without one is ordinary.
+Every line is classified. Where its score for no licence leads those of all families so far that they can't make up half of
+the probability together, it is ordinary and has no confidence, and no probabilities are worked out.
 
 A notice may be wrapped: windows of neighbouring lines between blank lines are classified too where they hold CONFIRM of a
 template's words. A window's family counts if it is known and no line of it holds that share alone; its block of lines
@@ -23,13 +23,15 @@ alone); extra columns are not read.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NEGATIVES, FEATURES, CONFIRM, RARE = 2_000, 1 << 13, 0.6, 0.01
+NEGATIVES, FEATURES, CONFIRM = 2_000, 1 << 13, 0.6
 
 #: Notices as the licences' authors word them.
 TEMPLATES: dict[str, list[str]] = {
@@ -95,11 +97,7 @@ def _own(template: str) -> list[str]:
     return sorted({x for x in "".join(c if c.isalnum() else " " for c in template.lower()).split()})
 
 
-def telling(w: Column, vocabulary: list[str]) -> Column:
-    return F.exists(w, lambda x: x.isin(vocabulary))
-
-
-def windows(docs: DataFrame, text_col: str, id_col: str, vocabulary: list[str]) -> DataFrame:
+def windows(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(doc_id, block, lines, words) of windows of 2 or more lines between blank lines that may hold a wrapped notice.
 
     Windows have 2 to 8, 16 or 32 lines, or all of their block. A window that holds CONFIRM of a template's words lies in a
@@ -115,12 +113,13 @@ def windows(docs: DataFrame, text_col: str, id_col: str, vocabulary: list[str])
         return rows.withColumn("_common", common).filter(F.size("_common") >= least).filter(F.exists(F.array("_common"), held)).drop("_common")
 
     cut = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n\\s*\n", -1)).alias("block", "part"))
-    blocks = holding(cut.filter(F.trim("part").contains("\n")).withColumn("words", words(F.col("part"))).filter(telling(F.col("words"), vocabulary)))
+    blocks = holding(cut.filter(F.trim("part").contains("\n")).withColumn("words", words(F.col("part"))))
     lines = F.filter(F.transform(F.split("part", "\n", -1), words), lambda w: F.size(w) > 0)
     many = blocks.select("doc_id", "block", lines.alias("_lines")).filter(F.size("_lines") > 1)
-    size = F.explode(F.array_distinct(F.filter(F.concat(F.array(*map(F.lit, [2, 3, 4, 5, 6, 7, 8, 16, 32])), F.array(F.size("_lines"))), lambda n: n <= F.size("_lines"))))
-    sized = many.withColumn("_size", size).withColumn("_at", F.explode(F.sequence(F.lit(1), F.size("_lines") - F.col("_size") + 1)))
-    cuts = sized.select("doc_id", "block", F.slice("_lines", F.col("_at"), F.col("_size")).alias("lines"))
+    sizes = F.array_distinct(F.filter(F.concat(F.array(*map(F.lit, [2, 3, 4, 5, 6, 7, 8, 16, 32])), F.array(F.size("_lines"))), lambda n: n <= F.size("_lines")))
+    # Each window is cut from its block's lines inside one expression; the lines themselves go with none of them.
+    every = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size("_lines") - n + 1), lambda at: F.slice("_lines", at, n))))
+    cuts = many.select("doc_id", "block", F.explode(every).alias("lines"))
     return holding(cuts.withColumn("words", F.flatten("lines")))
 
 
@@ -175,8 +174,8 @@ def _examples(ordinary: DataFrame) -> DataFrame:
 
 
 class LicenceModel:
-    def __init__(self, regression: LogisticRegressionModel, temperature: float, threshold: float, vocabulary: list[str]):
-        self.regression, self.temperature, self.threshold, self.vocabulary = regression, temperature, threshold, vocabulary
+    def __init__(self, regression: LogisticRegressionModel, temperature: float, threshold: float):
+        self.regression, self.temperature, self.threshold = regression, temperature, threshold
 
     def scores(self, rows: DataFrame) -> DataFrame:
         """rows, which have words, with raw: a score for each class."""
@@ -185,8 +184,10 @@ class LicenceModel:
         return made.withColumn("raw", vector_to_array("_raw")).drop("_grams", "features", "_raw")
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
-        """rows, which have words, with p: a probability for each class."""
-        return self.scores(rows).withColumn("p", softmax(F.col("raw"), self.temperature)).drop("raw")
+        """rows, which have words, with p: a probability for each class; null where no licence is sure to have less than half."""
+        ordinary = lambda raw: raw[0] - F.array_max(F.slice(raw, 2, len(TEMPLATES))) > self.temperature * log(len(TEMPLATES))
+        p = F.transform(F.array("raw"), lambda raw: F.when(~ordinary(raw), softmax(raw, self.temperature)))[0]
+        return self.scores(rows).withColumn("p", p).drop("raw")
 
 
 def softmax(raw: Column, temperature: float) -> Column:
@@ -195,22 +196,13 @@ def softmax(raw: Column, temperature: float) -> Column:
     return F.element_at(F.transform(F.array(e), lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, b: a + b))), 1)
 
 
-def telling_words(ordinary: DataFrame) -> list[str]:
-    """The words of notices that RARE of the ordinary lines hold at most; some hundreds."""
-    own = sorted({w for ts in [*TEMPLATES.values(), *HELD_OUT.values(), OTHER_LICENCES] for t in ts for w in _own(t)})
-    seen = ordinary.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(own)))).alias("w")).groupBy("w").count().collect()
-    lines = ordinary.count()
-    return sorted(set(own) - {r["w"] for r in seen if r["count"] > RARE * lines})
-
-
 def train(docs: DataFrame, text_col: str = "text") -> LicenceModel:
     ordinary = _ordinary(docs, text_col).cache()
-    vocabulary = telling_words(ordinary)
     examples = _examples(ordinary).cache()
     tf = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_grams", outputCol="features")
     known = examples.filter("label >= 0 and part <> 4").withColumn("_grams", grams(F.col("words")))
     lr = LogisticRegression(featuresCol="features", labelCol="label", rawPredictionCol="_raw", probabilityCol="", predictionCol="", family="multinomial", regParam=3e-4, elasticNetParam=0.8, maxIter=40, standardization=False)
-    model = LicenceModel(lr.fit(tf.transform(known).select("features", F.col("label").cast("double").alias("label"))), 1.0, 0.5, vocabulary)
+    model = LicenceModel(lr.fit(tf.transform(known).select("features", F.col("label").cast("double").alias("label"))), 1.0, 0.5)
     held = model.scores(examples.filter("part = 4").select("words", "label"))
     temperatures, thresholds = [round(0.3 + 0.1 * i, 1) for i in range(28)], [round(0.2 + 0.05 * i, 2) for i in range(16)]
     # One pass over the held-out rows for all temperatures, and one for all thresholds.
@@ -228,12 +220,12 @@ def train(docs: DataFrame, text_col: str = "text") -> LicenceModel:
 
 
 def classify(rows: DataFrame, model: LicenceModel) -> DataFrame:
-    """rows, which have words, with family (a family, unknown or none), confidence and share (of the template's words)."""
+    """rows, which have words, with family (a family, unknown or none), confidence (null where it is sure to be none) and share (of the template's words)."""
     names = F.array(*map(F.lit, _classes()))
     p = model.probabilities(rows)
     best = F.array_max(F.slice("p", 2, len(TEMPLATES)))
     named = p.withColumn("confidence", best).withColumn("_family", F.element_at(names, F.array_position(F.col("p"), best).cast("int")))
-    licence = F.element_at("p", 1) < 0.5
+    licence = F.coalesce(F.element_at("p", 1) < 0.5, F.lit(False))
     named = named.withColumn("share", F.when(licence, template_share(F.col("words"), F.col("_family"))))
     family = F.when(~licence, F.lit("none")).when((F.col("confidence") < model.threshold) | (F.col("share") < CONFIRM), F.lit("unknown")).otherwise(F.col("_family"))
     return named.withColumn("family", family).drop("p", "_family")
@@ -244,13 +236,12 @@ def scan_documents(docs: DataFrame, model: LicenceModel | None = None, text_col:
     model = model or train(docs, text_col)
     lines = F.filter(F.transform(F.split(F.col(f"`{text_col}`"), "\n", -1), words), lambda w: F.size(w) > 0)
     cut = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(lines, F.array().cast("array<array<string>>")).alias("_lines"))
-    counted = cut.select("doc_id", F.size("_lines").alias("n"), F.filter("_lines", lambda w: telling(w, model.vocabulary)).alias("_told"))
-    # A document's number of lines goes with its first telling line, or stands alone.
-    each = counted.select("doc_id", "n", F.posexplode_outer("_told").alias("_at", "words"))
+    # A document's number of lines goes with its first line, or stands alone.
+    each = cut.select("doc_id", F.size("_lines").alias("n"), F.posexplode_outer("_lines").alias("_at", "words"))
     plain = each.filter("words is null").select("doc_id", F.col("n").alias("lines"), F.lit("none").alias("family"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("int").alias("block"))
     told = classify(each.filter("words is not null"), model).select("doc_id", F.when(F.col("_at") == 0, F.col("n")).otherwise(0).alias("lines"), "family", "confidence", F.lit(None).cast("int").alias("block"))
     # explode() keeps the filters behind the classifier, which would run again in each of them.
-    wrapped = classify(windows(docs, text_col, id_col, model.vocabulary), model).select(F.explode(F.array(F.struct("doc_id", "block", "lines", "family", "confidence"))).alias("_w")).select("_w.*")
+    wrapped = classify(windows(docs, text_col, id_col), model).select(F.explode(F.array(F.struct("doc_id", "block", "lines", "family", "confidence"))).alias("_w")).select("_w.*")
     wrapped = wrapped.filter(~F.col("family").isin("none", "unknown"))
     wrapped = wrapped.filter(~F.exists("lines", lambda w: template_share(w, F.col("family")) >= CONFIRM))
     wrapped = wrapped.groupBy("doc_id", "block", "family").agg(F.max("confidence").alias("confidence")).withColumn("lines", F.lit(0))
