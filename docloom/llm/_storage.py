@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -36,8 +39,42 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
+#: What this process has put into shared folders and not deleted yet.
+_left: set[str] = set()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
+    _left.add(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _left.discard(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Whatever is staged inside goes at the end: results are lazy, so write or collect them inside.
+
+        with scratch(spark):
+            link_documents(docs).write.parquet(path)
+    """
+    before = set(_left)
+    try:
+        yield
+    finally:
+        for path in _left - before:
+            _delete(spark, path)
+
+
+@atexit.register
+def _delete_own() -> None:
+    """The folders that sessions of one process got of their own go with the process."""
+    for path in _own.values():
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 #: Where it is set while a table is staged, the shuffles behind the table go as soon as it is written.
@@ -69,9 +106,7 @@ def discard(*tables: DataFrame | None) -> None:
     for df in tables:
         path = getattr(df, "_staged_path", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
             df._staged_path = None
 
 
