@@ -97,23 +97,37 @@ def _own(template: str) -> list[str]:
     return sorted({x for x in "".join(c if c.isalnum() else " " for c in template.lower()).split()})
 
 
-def windows(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def needed(template: str) -> int:
+    """How many of a template's distinct words make CONFIRM of them."""
+    own = len(_own(template))
+    return next(k for k in range(own + 1) if k / own >= CONFIRM)
+
+
+def required_words(ordinary: DataFrame) -> list[str]:
+    """Words of which a text that confirms any template holds one at least: of each template all but needed() - 1 words, those that the ordinary lines hold least."""
+    every = sorted({w for ts in TEMPLATES.values() for t in ts for w in _own(t)})
+    seen = {r["w"]: r["count"] for r in ordinary.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(every)))).alias("w")).groupBy("w").count().collect()}
+    return sorted({w for ts in TEMPLATES.values() for t in ts for w in sorted(_own(t), key=lambda w: (seen.get(w, 0), w))[: len(_own(t)) - needed(t) + 1]})
+
+
+def windows(docs: DataFrame, text_col: str, id_col: str, required: list[str] | None = None) -> DataFrame:
     """(doc_id, block, lines, words) of windows of 2 or more lines between blank lines that may hold a wrapped notice.
 
     Windows have 2 to 8, 16 or 32 lines, or all of their block. A window that holds CONFIRM of a template's words lies in a
-    block that does, so other blocks are dropped first.
+    block that does, so other blocks are dropped first, and before them those without any of the required words.
     """
     known = sorted({w for ts in TEMPLATES.values() for t in ts for w in _own(t)})
     least = min(len(_own(t)) for ts in TEMPLATES.values() for t in ts) * CONFIRM
 
     def holding(rows: DataFrame) -> DataFrame:
         # exists() names the words in common, so that they are found once a row.
-        held = lambda w: F.greatest(*[_share(t, w) for ts in TEMPLATES.values() for t in ts]) >= CONFIRM
+        held = lambda w: template_share(w) >= CONFIRM
         common = F.array_distinct(F.filter("words", lambda w: w.isin(known)))
         return rows.withColumn("_common", common).filter(F.size("_common") >= least).filter(F.exists(F.array("_common"), held)).drop("_common")
 
     cut = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n\\s*\n", -1)).alias("block", "part"))
-    blocks = holding(cut.filter(F.trim("part").contains("\n")).withColumn("words", words(F.col("part"))))
+    wide = cut.filter(F.trim("part").contains("\n")).withColumn("words", words(F.col("part")))
+    blocks = holding(wide if required is None else wide.filter(F.exists("words", lambda w: w.isin(required))))
     lines = F.filter(F.transform(F.split("part", "\n", -1), words), lambda w: F.size(w) > 0)
     many = blocks.select("doc_id", "block", lines.alias("_lines")).filter(F.size("_lines") > 1)
     sizes = F.array_distinct(F.filter(F.concat(F.array(*map(F.lit, [2, 3, 4, 5, 6, 7, 8, 16, 32])), F.array(F.size("_lines"))), lambda n: n <= F.size("_lines")))
@@ -127,19 +141,12 @@ def _classes() -> list[str]:
     return ["none", *sorted(TEMPLATES)]
 
 
-def _share(template: str, w: Column) -> Column:
-    """The share of a template's distinct words that the paragraph holds."""
-    own = _own(template)
-    return F.size(F.array_intersect(F.split(F.lit(" ".join(own)), " "), w)) / F.lit(float(len(own)))
-
-
-def template_share(w: Column, family: Column) -> Column:
-    """The largest share of a template of the family that the paragraph holds."""
-    cases = F.lit(0.0)
-    for name, texts in TEMPLATES.items():
-        shares = [_share(t, w) for t in texts]
-        cases = F.when(family == name, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(cases)
-    return cases
+def template_share(w: Column, family: Column | None = None) -> Column:
+    """The largest share of a template's distinct words that the paragraph holds; family: of its templates alone."""
+    # One literal and one lambda for all templates: code made for each of them would fill the driver's memory.
+    known = F.array(*[F.struct(F.lit(name).alias("family"), F.array(*map(F.lit, _own(t))).alias("words")) for name, ts in TEMPLATES.items() for t in ts])
+    asked = known if family is None else F.filter(known, lambda t: t["family"] == family)
+    return F.coalesce(F.array_max(F.transform(asked, lambda t: F.size(F.array_intersect(t["words"], w)) / F.size(t["words"]))), F.lit(0.0))
 
 
 def _ordinary(docs: DataFrame, text_col: str) -> DataFrame:
@@ -151,8 +158,7 @@ def _ordinary(docs: DataFrame, text_col: str) -> DataFrame:
         lines = lines.filter(F.xxhash64("line") < int(-(1 << 63) + (1 << 64) * 4 * NEGATIVES / kinds))
     lines = lines.distinct()
     sample = lines.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).select(words(F.col("line")).alias("words")).filter(F.size("words") > 0)
-    looks = F.greatest(*[_share(t, F.col("words")) for ts in TEMPLATES.values() for t in ts])
-    return sample.filter(looks < CONFIRM).select("words", F.pmod(F.xxhash64("words"), F.lit(5)).cast("int").alias("part"))
+    return sample.filter(template_share(F.col("words")) < CONFIRM).select("words", F.pmod(F.xxhash64("words"), F.lit(5)).cast("int").alias("part"))
 
 
 def _examples(ordinary: DataFrame) -> DataFrame:
@@ -174,8 +180,8 @@ def _examples(ordinary: DataFrame) -> DataFrame:
 
 
 class LicenceModel:
-    def __init__(self, regression: LogisticRegressionModel, temperature: float, threshold: float):
-        self.regression, self.temperature, self.threshold = regression, temperature, threshold
+    def __init__(self, regression: LogisticRegressionModel, temperature: float, threshold: float, required: list[str]):
+        self.regression, self.temperature, self.threshold, self.required = regression, temperature, threshold, required
 
     def scores(self, rows: DataFrame) -> DataFrame:
         """rows, which have words, with raw: a score for each class."""
@@ -202,7 +208,7 @@ def train(docs: DataFrame, text_col: str = "text") -> LicenceModel:
     tf = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_grams", outputCol="features")
     known = examples.filter("label >= 0 and part <> 4").withColumn("_grams", grams(F.col("words")))
     lr = LogisticRegression(featuresCol="features", labelCol="label", rawPredictionCol="_raw", probabilityCol="", predictionCol="", family="multinomial", regParam=3e-4, elasticNetParam=0.8, maxIter=40, standardization=False)
-    model = LicenceModel(lr.fit(tf.transform(known).select("features", F.col("label").cast("double").alias("label"))), 1.0, 0.5)
+    model = LicenceModel(lr.fit(tf.transform(known).select("features", F.col("label").cast("double").alias("label"))), 1.0, 0.5, required_words(ordinary))
     held = model.scores(examples.filter("part = 4").select("words", "label"))
     temperatures, thresholds = [round(0.3 + 0.1 * i, 1) for i in range(28)], [round(0.2 + 0.05 * i, 2) for i in range(16)]
     # One pass over the held-out rows for all temperatures, and one for all thresholds.
@@ -241,7 +247,7 @@ def scan_documents(docs: DataFrame, model: LicenceModel | None = None, text_col:
     plain = each.filter("words is null").select("doc_id", F.col("n").alias("lines"), F.lit("none").alias("family"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("int").alias("block"))
     told = classify(each.filter("words is not null"), model).select("doc_id", F.when(F.col("_at") == 0, F.col("n")).otherwise(0).alias("lines"), "family", "confidence", F.lit(None).cast("int").alias("block"))
     # explode() keeps the filters behind the classifier, which would run again in each of them.
-    wrapped = classify(windows(docs, text_col, id_col), model).select(F.explode(F.array(F.struct("doc_id", "block", "lines", "family", "confidence"))).alias("_w")).select("_w.*")
+    wrapped = classify(windows(docs, text_col, id_col, model.required), model).select(F.explode(F.array(F.struct("doc_id", "block", "lines", "family", "confidence"))).alias("_w")).select("_w.*")
     wrapped = wrapped.filter(~F.col("family").isin("none", "unknown"))
     wrapped = wrapped.filter(~F.exists("lines", lambda w: template_share(w, F.col("family")) >= CONFIRM))
     wrapped = wrapped.groupBy("doc_id", "block", "family").agg(F.max("confidence").alias("confidence")).withColumn("lines", F.lit(0))

@@ -38,6 +38,21 @@ def test_probabilities_are_left_out_only_where_they_say_none(spark):
     assert both.filter("p is null and none < 0.5").count() == 0
 
 
+def test_required_words_lose_no_window(spark):
+    from docloom.llm.license_scan import TEMPLATES, _own, needed
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = train(docs)
+    for t in [t for ts in TEMPLATES.values() for t in ts]:
+        # Without the required words fewer than needed() of a template's words are left.
+        assert len(set(_own(t)) - set(model.required)) < needed(t)
+    wrapped = spark.createDataFrame([(i + 10**6, "\n".join(" ".join(t.split()[k : k + 4]) for k in range(0, len(t.split()), 4))) for i, t in enumerate(t for ts in TEMPLATES.values() for t in ts)], "doc_id long, text string")
+    both = docs.unionByName(wrapped)
+    rows = lambda df: sorted((r.doc_id, r.block, tuple(r.words)) for r in df.collect())
+    found = rows(windows(both, "text", "doc_id", model.required))
+    assert found == rows(windows(both, "text", "doc_id")) and found
+
+
 def test_windows_are_linear(spark):
     # Every line has words of notices, so no block is dropped before its windows are made.
     line = "permission is hereby granted free of charge to any person obtaining a copy of this software"
