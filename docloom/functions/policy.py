@@ -155,6 +155,11 @@ def route(tools: Column) -> Column:
 DB_ONLY = "(?i)\\b(?:from the (?:db|database)|in the (?:db|database)|(?:db|database) only|sql only|only (?:the )?(?:db|database)|ignore (?:the )?documents?|don't use (?:the )?documents?)\\b"
 DOCS_ONLY = "(?i)\\b(?:from the (?:doc|docs|document|pdf|upload|file|spreadsheet|excerpt)s?|in the (?:doc|docs|document|pdf|upload|file|spreadsheet|excerpt)s?|(?:doc|docs|document|pdf|upload|file|spreadsheet|excerpt)s? only|ignore (?:the )?(?:db|database)|don't use (?:the )?(?:db|database))\\b"
 CHART_MARKERS = ["chart", "graph", "plot", "visualize", "visualise", "draw a", "draw the"]
+GREETINGS = ["hi", "hello", "hey", "thanks", "thank you", "bye", "goodbye", "ok", "okay", "good morning", "good afternoon", "good evening"]
+OPENINGS = ["hi ", "hello ", "hey "]
+META_QUESTIONS = ["what can you do", "how can you help"]
+CLARIFYING = ["could you clarify", "please specify", "do you mean", "which one", "can you tell me which", "more specific", "clarify"]
+SCOPE_QUESTIONS = ["which document", "which file", "uploaded documents", "what document", "what file"]
 # --- End of fixed values. ---
 
 
@@ -168,6 +173,19 @@ def chart_requested(query: Column) -> Column:
     return any_phrase(F.lower(query), CHART_MARKERS)
 
 
+def small_talk(query: Column) -> Column:
+    """A greeting, thanks or a question about the assistant, and nothing at all; not a question about documents."""
+    said = F.regexp_replace(F.lower(F.trim(F.coalesce(query, F.lit("")))), "[?!.]+$", "")
+    opening = F.exists(F.array(*map(F.lit, OPENINGS)), lambda p: F.startswith(said, p)) & (F.length(said) < 40)
+    return (said == "") | said.isin(GREETINGS) | opening | any_phrase(said, META_QUESTIONS)
+
+
+def clarification(answer: Column) -> Column:
+    """An answer that asks back what is meant, but not which document."""
+    said = F.lower(F.trim(F.coalesce(answer, F.lit(""))))
+    return (F.instr(said, "?") > 0) & any_phrase(said, CLARIFYING) & ~any_phrase(said, SCOPE_QUESTIONS)
+
+
 def search_top_k(kind: Column, query: Column, asked: Column) -> Column:
     """5 for spreadsheets, 6 for PDFs and numeric questions, else what is asked for, from 1 to 50."""
     return F.when(kind == "xlsx", 5).when((kind == "pdf") | numeric_comparison(query), 6).otherwise(F.least(F.greatest(asked, F.lit(1)), F.lit(50)))

@@ -90,6 +90,24 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", P.chart_requested(F.col("text")).alias("chart"))
 
 
+#: What is said, in turn: before the words of a conversation, or alone.
+_SAID = ["Hello!", "hey there", "Thank you.", "Do you mean", "what can you DO", "Which file do you mean?", "ok", "Please specify:", "how can you help with", "  "]
+_IN = lambda phrases: "(" + " OR ".join(f"contains(s, '{p}')" for p in phrases) + ")"
+
+
+@query(
+    "b12_talk",
+    f"""WITH q AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN ([{', '.join(repr(x) for x in _SAID)}])[1 + (conv_id + turn) % {len(_SAID)}] ELSE ([{', '.join(repr(x) for x in _SAID)}])[1 + (conv_id + turn) % {len(_SAID)}] || ' ' || text || ' ?' END AS t FROM conversations),
+n AS (SELECT *, regexp_replace(lower(trim(t)), '[?!.]+$', '') AS n, lower(trim(t)) AS s FROM q)
+SELECT conv_id, turn, n = '' OR n IN ({', '.join(repr(x) for x in P.GREETINGS)}) OR (({' OR '.join(f"starts_with(n, '{p}')" for p in P.OPENINGS)}) AND length(n) < 40) OR {_IN(P.META_QUESTIONS).replace("contains(s", "contains(n")} AS small_talk,
+  contains(s, '?') AND {_IN(P.CLARIFYING)} AND NOT {_IN(P.SCOPE_QUESTIONS)} AS clarification FROM n""",
+)
+def _(spark, sf):
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (1 + (F.col("conv_id") + F.col("turn")) % len(_SAID)).cast("int"))
+    text = F.when(F.col("turn") % 2 == 0, said).otherwise(F.concat(said, F.lit(" "), "text", F.lit(" ?")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", P.small_talk(text).alias("small_talk"), P.clarification(text).alias("clarification"))
+
+
 @query("f02_top_k_policy", "SELECT doc_id, CASE WHEN lang = 'de' THEN 5 WHEN lang = 'fr' THEN 6 ELSE least(greatest(n_chars % 100, 1), 50) END AS k FROM documents")
 def _(spark, sf):
     kind = F.when(F.col("lang") == "de", "xlsx").when(F.col("lang") == "fr", "pdf").otherwise("docx")

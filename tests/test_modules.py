@@ -118,6 +118,13 @@ def test_tool_calls_with_nested_arguments(spark):
     assert got[1].c is None and got[2].c == []
 
 
+def test_small_talk_and_clarification(spark):
+    talk = {"Hi": True, "good morning!": True, "hello, who are you": False, "hello my friend": True, "hey " + "x" * 40: False, "What can you do for me?": True, "": True, None: True, "hi-fi sales": False, "thanks for the revenue figures": False}
+    assert apply(spark, policy.small_talk, list(talk)) == list(talk.values())
+    asks = {"Do you mean 2023 or 2024?": True, "Which one": False, "Which file do you mean?": False, "Could you clarify the period?": True, None: False, "Is it?": False}
+    assert apply(spark, policy.clarification, list(asks)) == list(asks.values())
+
+
 def test_table_slots(spark):
     rows = [(1, "text", "text", 0.95), (1, "highlights", "table", 0.9), (1, "region", "table", 0.5), (1, "body", "text", 0.3), (1, "searched", "table", 0.4), *[(1, f"t{i}", "text", 0.2 - i / 100) for i in range(5)]]
     hits = spark.createDataFrame(rows, "query_id int, chunk_id string, chunk_type string, score double")
