@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.vectors import l2_distance
 from docloom.operators import retrieval
 
 #: How roles of sheets are ordered, and the limits of the index.
@@ -30,18 +29,14 @@ def hybrid_search(chunks: DataFrame, questions: DataFrame, k: int, scope: Column
     chunks by BM25 in the scope and the k nearest vectors, of which those outside the scope go afterwards, are each scaled to 0
     to 1 and averaged; what one list lacks counts 0 there, so fewer than k may come back.
     """
-    scope = F.lit(True) if scope is None else scope
     words = F.array_distinct(retrieval.index_words(F.col("text")))
     terms = questions.select("query_id", F.explode(words).alias("term"))
-    allowed = chunks.filter(scope).select("chunk_id")
-    scored = retrieval.bm25(chunks.select("chunk_id", "content"), terms).withColumn("score", F.round("score", 4)).join(allowed, "chunk_id", "left_semi")
-    by_words = retrieval.top_k(scored, k, "chunk_id").select("query_id", "chunk_id", "score")
-    vectors = chunks.filter("embedding is not null").select("chunk_id", "embedding", scope.alias("_in"))
-    asked = questions.filter("vector is not null").select("query_id", "vector")
-    # The questions are a stated set of items, sent to the chunks.
-    pairs = vectors.crossJoin(F.broadcast(asked)).select("query_id", "chunk_id", "_in", F.round(l2_distance(F.col("embedding"), F.col("vector")), 6).alias("_d"))
-    nearest = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("_d", "chunk_id"))).filter(F.col("_r") <= k)
-    by_vector = nearest.filter("_in").select("query_id", "chunk_id", (1 / (1 + F.col("_d") * F.col("_d"))).alias("score"))
+    by_words = retrieval.bm25_top_k(chunks, terms, k, scope=scope).select("query_id", "chunk_id", "score")
+    asked = questions.filter("vector is not null").select("query_id", F.col("vector").alias("query"))
+    by_vector = retrieval.nearest(chunks.filter("embedding is not null"), asked, k, "chunk_id", "embedding", digits=6)
+    if scope is not None:
+        by_vector = by_vector.join(chunks.filter(scope).select("chunk_id"), "chunk_id", "left_semi")
+    by_vector = by_vector.select("query_id", "chunk_id", (1 / (1 + F.col("distance") * F.col("distance"))).alias("score"))
     fused = retrieval.fuse(by_words, by_vector, "chunk_id").withColumn("score", F.round("score", 6))
     return retrieval.top_k(fused, k, "chunk_id")
 

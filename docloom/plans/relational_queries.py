@@ -459,15 +459,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4
 SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 6"""
 
 
-def _bm25(spark, sf):
-    terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(retrieval.index_words(F.col("text")))).alias("term"))
-    return retrieval.bm25(table(spark, sf, "documents"), terms, "doc_id", "text")
-
-
 @query("f01_bm25_top_k", _BM25)
 def bm25_top_k(spark, sf):
-    ranked = retrieval.top_k(_bm25(spark, sf).withColumn("score", F.round("score", 4)), 6, "doc_id")
-    return ranked.select("query_id", "doc_id", "score", "rank")
+    terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(retrieval.index_words(F.col("text")))).alias("term"))
+    return retrieval.bm25_top_k(table(spark, sf, "documents"), terms, 6, "doc_id", "text").select("query_id", "doc_id", "score", "rank")
 
 
 @query("j04_hybrid_fusion", "WITH a AS (SELECT o_custkey AS query_id, o_orderpriority AS k, sum(o_totalprice) AS score FROM orders GROUP BY ALL), b AS (SELECT o_custkey AS query_id, o_orderpriority AS k, count(*)::DOUBLE AS score FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), x AS (SELECT query_id, k, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS s FROM a WINDOW w AS (PARTITION BY query_id)), y AS (SELECT query_id, k, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS s FROM b WINDOW w AS (PARTITION BY query_id)) SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.k, y.k) AS k, round(0.5 * coalesce(x.s, 0) + 0.5 * coalesce(y.s, 0), 6) AS score FROM x FULL OUTER JOIN y ON x.query_id = y.query_id AND x.k = y.k")
