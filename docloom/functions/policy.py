@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +28,21 @@ FORBIDDEN_FUNCTIONS = ["pg_read_file", "pg_read_binary_file", "pg_ls_dir", "pg_l
 # --- End of fixed values. ---
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is found once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def any_phrase(text: Column, phrases: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.instr(text, p) > 0)
+    return _once(text, lambda t: reduce(or_, [F.contains(t, F.lit(p)) for p in phrases]))
 
 
 def numeric_comparison(query: Column) -> Column:
     """Comparison or report phrases, metric words, or two years."""
-    text = F.concat(F.lit(" "), F.lower(F.trim(query)), F.lit(" "))
-    metric = text.rlike("\\b(" + "|".join(METRIC_TERMS) + ")\\b")
-    return any_phrase(text, COMPARISON_PHRASES) | any_phrase(text, REPORT_PHRASES) | metric | (F.size(F.regexp_extract_all(text, F.lit("\\b(19|20)\\d{2}\\b"), F.lit(0))) >= 2)
+    # By first letter, so that a word is held against few of them.
+    metric = "\\b(?:" + "|".join(f"{c}(?:{'|'.join(t[1:] for t in METRIC_TERMS if t[0] == c)})" for c in sorted({t[0] for t in METRIC_TERMS})) + ")\\b"
+    years = lambda t: F.size(F.regexp_extract_all(t, F.lit("\\b(19|20)\\d{2}\\b"), F.lit(0))) >= 2
+    return _once(F.concat(F.lit(" "), F.lower(F.trim(query)), F.lit(" ")), lambda t: any_phrase(t, COMPARISON_PHRASES + REPORT_PHRASES) | t.rlike(metric) | years(t))
 
 
 def screen_input(query: Column) -> Column:
@@ -199,16 +209,19 @@ def strip_fences(text: Column) -> Column:
 
 def json_object(text: Column) -> Column:
     """The JSON object at the start of a text, to its own closing brace, whatever follows; null where none ends."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+    # What lies between marks is passed over at once: a piece ends with a quote, a brace, or a backslash and the sign after it.
+    pieces = F.regexp_extract_all(text, F.lit(r'(?s)[^"{}\\]*+(?:\\.|["{}])'), F.lit(0))
 
-    def step(acc, c):
+    def step(acc, p):
+        c, escaped = F.substring(p, -1, 1), acc["quoted"] & (F.substring(p, -2, 1) == "\\")
         free = ~acc["quoted"]
         depth = acc["depth"] + F.when(free & (c == "{"), 1).when(free & (c == "}"), -1).otherwise(0)
-        quoted = F.when((c == '"') & ~acc["escaped"], free).otherwise(acc["quoted"])
-        n = acc["n"] + 1
-        return F.struct(depth.alias("depth"), quoted.alias("quoted"), (acc["quoted"] & (c == "\\") & ~acc["escaped"]).alias("escaped"), n.alias("n"), F.when((acc["end"] == 0) & free & (depth == 0) & (c == "}"), n).otherwise(acc["end"]).alias("end"))
+        quoted = F.when((c == '"') & ~escaped, free).otherwise(acc["quoted"])
+        n = acc["n"] + F.length(p)
+        return F.struct(depth.alias("depth"), quoted.alias("quoted"), n.alias("n"), F.when((acc["end"] == 0) & free & (depth == 0) & (c == "}"), n).otherwise(acc["end"]).alias("end"))
 
-    end = F.aggregate(F.split(text, ""), start, step, lambda acc: acc["end"])
+    end = F.aggregate(pieces, start, step, lambda acc: acc["end"])
     return F.nullif(F.substr(text, F.lit(1), F.when(text.startswith("{"), end).otherwise(0)), F.lit(""))
 
 
