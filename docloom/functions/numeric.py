@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ _NUMBER = "^\\s*\\(?[\\$€£¥]?\\s*([\\d,]+(?:\\.\\d+)?)\\s*%?\\)?\\s*$"
 
 def parse_number(cell: Column) -> Column:
     """Currency, thousands commas, per cent; parentheses are a minus sign, a leading minus is none."""
-    digits = F.regexp_replace(F.regexp_extract(cell, _NUMBER, 1), ",", "").try_cast("double")
+    digits = F.translate(F.regexp_extract(cell, _NUMBER, 1), ",", "").try_cast("double")
     negative = F.trim(cell).startswith("(") & F.trim(cell).endswith(")")
     return F.when(negative, -digits).otherwise(digits)
 
@@ -27,24 +29,30 @@ def is_financial_value(cell: Column) -> Column:
     return is_numeric_like(cell) & ~is_year_like(cell)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is found once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def period_key(label: Column) -> Column:
     """The period that a header names: a year, quarter, half, index, compact token, or the one year inside a longer header; else null."""
-    text = F.trim(F.regexp_replace(label, "\\s+", " "))
-    upper = F.upper(text)
-    year = F.regexp_extract(upper, "^(?:FY|CY)?\\s*(\\d{4})$", 1)
-    plain = F.regexp_replace(upper, " ", "")
-    digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
-    letters = F.length(F.regexp_replace(text, "[^\\p{L}]", ""))
-    money = F.regexp_replace(text, "[,%]", "").try_cast("double").isNotNull()
-    inner = F.regexp_extract_all(text, F.lit("(?<!\\d)(19\\d{2}|20\\d{2})(?!\\d)"), F.lit(1))
-    return (
-        F.when((text == "") | (F.length(text) > 48), F.lit(None).cast("string"))
-        .when(year != "", F.when(year.cast("int").between(1900, 2099), year))
-        .when(upper.rlike("^[QH][1-4](\\s*(FY|CY)?\\s*\\d{2,4})?$") & ~upper.rlike("^H[34]"), plain)
-        .when(upper.rlike("^[PT]\\d{1,2}$"), upper)
-        .when((F.length(text) <= 6) & ~money & (digits >= 2) & (letters <= 4), upper)
-        .when(F.size(inner) == 1, F.element_at(inner, 1))
-    )
+
+    def key(text: Column, upper: Column) -> Column:
+        year = F.regexp_extract(upper, "^(?:FY|CY)?\\s*(\\d{4})$", 1)
+        digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
+        letters = F.length(F.regexp_replace(text, "[^\\p{L}]", ""))
+        money = F.regexp_replace(text, "[,%]", "").try_cast("double").isNotNull()
+        inner = F.regexp_extract_all(text, F.lit("(?<!\\d)(19\\d{2}|20\\d{2})(?!\\d)"), F.lit(1))
+        other = (
+            F.when(upper.rlike("^[QH][1-4](\\s*(FY|CY)?\\s*\\d{2,4})?$") & ~upper.rlike("^H[34]"), F.replace(upper, F.lit(" "), F.lit("")))
+            .when(upper.rlike("^[PT]\\d{1,2}$"), upper)
+            .when((F.length(text) <= 6) & ~money & (digits >= 2) & (letters <= 4), upper)
+            .otherwise(once(inner, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0)))))
+        )
+        named = once(year, lambda y: F.when(y != "", F.when(y.cast("int").between(1900, 2099), y)).otherwise(other))
+        return F.when((text == "") | (F.length(text) > 48), F.lit(None).cast("string")).otherwise(named)
+
+    return once(F.trim(F.regexp_replace(label, "\\s+", " ")), lambda text: once(F.upper(text), lambda upper: key(text, upper)))
 
 
 def is_unit_token(token: Column) -> Column:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.numeric import is_financial_value, is_numeric_like, parse_number, period_key
+from docloom.functions.numeric import is_financial_value, is_numeric_like, once, parse_number, period_key
 from docloom.functions.text import normalize_whitespace
+from docloom.sources.folders import staged
 
 #: Thresholds of the rules.
 MISALIGNED, LABELLED, EMPTY_COLUMNS, DISTINCT_HEADERS, NUMERIC_CELLS = 0.15, 0.9, 0.5, 0.5, 0.15
@@ -18,6 +19,23 @@ LABEL_HEADERS = ["country", "nation", "region", "name", "entity", "year", "rank"
 MAX_LABELS, MAX_SERIES, ORIENTATION_DELTA = 12, 8, 0.25
 
 
+def prepared(cells: DataFrame, key: str = "table_id") -> DataFrame:
+    """Cells with value, their number, and of headers and labels period, staged: charts read them several times. Prepared cells stay as they are."""
+    if "value" in cells.columns:
+        return cells
+    named = F.when((F.col("row") == 0) | (F.col("col") == 0), period_key(F.col("cell")))
+    return staged(cells.select(key, "row", "col", "cell", parse_number(F.col("cell")).alias("value"), named.alias("period")))
+
+
+def _value(cells: DataFrame) -> Column:
+    return F.col("value") if "value" in cells.columns else parse_number(F.col("cell"))
+
+
+def _period(cells: DataFrame) -> Column:
+    """Of a label's or header's cell."""
+    return F.col("period") if "period" in cells.columns else period_key(F.col("cell"))
+
+
 def cleaned(cells: DataFrame, key: str = "table_id") -> DataFrame:
     """Cells with white space collapsed; rows without text go, and the others are numbered anew from 0."""
     each = cells.select(key, "row", "col", normalize_whitespace(F.col("cell")).alias("cell"))
@@ -108,7 +126,7 @@ def annotation(header: Column, filled: Column, shares: Column) -> Column:
 def column_profiles(cells: DataFrame, key: str = "table_id") -> DataFrame:
     """(key, col, header, period, annotation, filled, numbers) of every column; for what a label column is: years, small, text too."""
     data, text = F.col("row") > 0, F.col("cell") != ""
-    value = parse_number(F.col("cell"))
+    value = _value(cells)
     each = cells.groupBy(key, "col").agg(
         F.coalesce(F.max(F.when(F.col("row") == 0, F.col("cell"))), F.lit("")).alias("header"),
         F.count_if(data & text).alias("filled"),
@@ -134,7 +152,7 @@ def long(cells: DataFrame, profiles: DataFrame, key: str = "table_id") -> DataFr
     metric = (F.col("col") > 0) & ~F.col("annotation")
     bad = metric & ((F.col("header") == "") | F.col("period").isNotNull())
     columns = profiles.groupBy(key).agg(F.count("*").alias("width"), F.count_if(bad).alias("bad"), F.count_if(metric).alias("metrics"), F.count_distinct(F.when(metric, F.col("header"))).alias("kinds"))
-    label = cells.filter("row > 0 and col = 0").withColumn("period", period_key(F.col("cell")))
+    label = cells.filter("row > 0 and col = 0").withColumn("period", _period(cells))
     rows = label.groupBy(key).agg(F.count("*").alias("n"), F.count("period").alias("named"), F.count_distinct("period").alias("n_periods"))
     return columns.join(rows, key).filter("width >= 3 and bad = 0 and metrics >= 1 and kinds = metrics and n >= 2 and named = n and n_periods = n").select(key, "n_periods", "metrics")
 
@@ -143,21 +161,21 @@ def period_cells(cells: DataFrame, profiles: DataFrame, key: str = "table_id") -
     """(key, row, name, col, period, value, share) of the data cells below period columns; of columns of one period the first."""
     chosen = profiles.filter("col > 0 and not annotation and period is not null").groupBy(key, "period").agg(F.min("col").alias("col"))
     names = cells.filter("row > 0 and col = 0").select(key, "row", F.col("cell").alias("name"))
-    value = parse_number(F.col("cell"))
-    data = cells.filter("row > 0").join(chosen, [key, "col"]).join(names, [key, "row"])
+    data = cells.filter("row > 0").select(key, "row", "col", "cell", _value(cells).alias("value")).join(chosen, [key, "col"]).join(names, [key, "row"])
+    value = F.col("value")
     return data.select(key, "row", "name", "col", "period", value.alias("value"), (F.col("cell").contains("%") & value.isNotNull()).alias("share"))
 
 
 def layout_scores(cells: DataFrame, profiles: DataFrame, key: str = "table_id") -> DataFrame:
     """(key, wide_score, long_score): null where a grid has not that layout, or too few labels or numbers for it."""
     label = cells.filter("row > 0 and col = 0")
-    metric = (F.col("cell") != "") & period_key(F.col("cell")).isNull() & ~is_financial_value(F.col("cell"))
+    metric = (F.col("cell") != "") & _period(cells).isNull() & ~is_financial_value(F.col("cell"))
     named = label.groupBy(key).agg(F.avg(metric.cast("double")).alias("labels"))
     numeric = period_cells(cells, profiles, key).groupBy(key).agg(F.avg(F.col("value").isNotNull().cast("double")).alias("numbers"))
     w = wide(profiles, key).join(named, key).join(numeric, key).filter("labels >= 0.6 and numbers >= 0.75")
     w = w.select(key, ((F.col("labels") + F.col("numbers") + 1) / 3).alias("wide_score"))
     metrics = profiles.filter("col > 0 and not annotation").select(key, "col")
-    below = cells.filter("row > 0").join(metrics, [key, "col"]).groupBy(key).agg(F.avg(parse_number(F.col("cell")).isNotNull().cast("double")).alias("numbers"))
+    below = cells.filter("row > 0").join(metrics, [key, "col"]).groupBy(key).agg(F.avg(_value(cells).isNotNull().cast("double")).alias("numbers"))
     x = long(cells, profiles, key).join(below, key).filter("numbers >= 0.75").select(key, ((F.col("numbers") + 1) / 2).alias("long_score"))
     return w.join(x, key, "full_outer")
 
@@ -167,33 +185,44 @@ def series(cells: DataFrame, profiles: DataFrame, key: str = "table_id") -> Data
 
     A wide row without a name, with a number for one, mostly per cent, or with a hole is no series; a long grid with a hole has none.
     """
-    point = F.struct(*period_order(F.col("period")), "period", "value")
+    point = F.struct(_place(F.col("period")).alias("_place"), "period", "value")
     rows = period_cells(cells, profiles, key).join(wide(profiles, key).select(key), key)
     each = rows.groupBy(key, "row", "name").agg(F.array_sort(F.collect_list(point)).alias("points"), F.count_if(F.col("value").isNull()).alias("holes"), F.avg(F.col("share").cast("double")).alias("shares"))
     w = each.filter((F.col("name") != "") & ~is_financial_value(F.col("name")) & (F.col("holes") == 0) & (F.col("shares") < 0.75))
     w = w.select(key, F.lit("wide").alias("orientation"), "name", F.col("row").alias("place"), "points")
-    labels = cells.filter("row > 0 and col = 0").select(key, "row", period_key(F.col("cell")).alias("period"))
+    labels = cells.filter("row > 0 and col = 0").select(key, "row", _period(cells).alias("period"))
     metrics = profiles.filter("col > 0 and not annotation").select(key, "col", F.col("header").alias("name"))
-    data = cells.filter("row > 0").join(metrics, [key, "col"]).join(labels, [key, "row"]).join(long(cells, profiles, key).select(key), key).withColumn("value", parse_number(F.col("cell")))
+    numbers = cells.filter("row > 0").select(key, "row", "col", _value(cells).alias("value"))
+    data = numbers.join(metrics, [key, "col"]).join(labels, [key, "row"]).join(long(cells, profiles, key).select(key), key)
     x = data.groupBy(key, "col", "name").agg(F.array_sort(F.collect_list(point)).alias("points"), F.count_if(F.col("value").isNull()).alias("holes"))
     whole = x.groupBy(key).agg(F.sum("holes").alias("_holes")).filter("_holes = 0").select(key)
     x = x.join(whole, key).select(key, F.lit("long").alias("orientation"), "name", F.col("col").alias("place"), "points")
     return w.unionByName(x).withColumn("points", F.transform("points", lambda p: F.struct(p["period"].alias("period"), p["value"].alias("value"))))
 
 
+def _place(label: Column) -> Column:
+    """The place of a period in the order of periods, as a struct."""
+
+    def place(found: Column) -> Column:
+        year = F.when(found.rlike("^\\d+$"), found.cast("long"))
+        return F.struct(F.when(year.isNotNull(), 0).otherwise(1).alias("_kind"), F.coalesce(year, F.lit(0)).alias("_year"), F.when(year.isNull(), label).otherwise("").alias("_label"))
+
+    return once(period_key(label), place)
+
+
 def period_order(label: Column) -> tuple[Column, Column, Column]:
     """The order of periods: years by number, then other labels by their text."""
-    found = period_key(label)
-    year = F.when(found.rlike("^\\d+$"), found.cast("long"))
-    return F.when(year.isNotNull(), 0).otherwise(1).alias("_kind"), F.coalesce(year, F.lit(0)).alias("_year"), F.when(year.isNull(), label).otherwise("").alias("_label")
+    place = _place(label)
+    return place["_kind"], place["_year"], place["_label"]
 
 
-def chart_profiles(cells: DataFrame, key: str = "table_id") -> DataFrame:
+def chart_profiles(cells: DataFrame, key: str = "table_id", profiles: DataFrame | None = None) -> DataFrame:
     """(key, orientation, period_count, metric_count, chart_type) of grids that reduce to metrics by periods.
 
     Where both layouts fit about equally, where no series is left, or where a series sums to about 100 (a composition), there is none.
     """
-    profiles = column_profiles(cells, key)
+    cells = prepared(cells, key)
+    profiles = staged(column_profiles(cells, key)) if profiles is None else profiles
     scores = layout_scores(cells, profiles, key)
     w, x = F.col("wide_score"), F.col("long_score")
     chosen = scores.filter(w.isNull() | x.isNull() | (F.abs(w - x) >= ORIENTATION_DELTA)).select(key, F.when(x.isNull() | (w > x), "wide").otherwise("long").alias("orientation"))
@@ -205,12 +234,13 @@ def chart_profiles(cells: DataFrame, key: str = "table_id") -> DataFrame:
     return each.filter(~F.col("_composed") & (F.col("period_count") >= 2)).select(key, "orientation", F.col("period_count").cast("long").alias("period_count"), "metric_count", kind.alias("chart_type"))
 
 
-def entity_grids(cells: DataFrame, key: str = "table_id") -> DataFrame:
+def entity_grids(cells: DataFrame, key: str = "table_id", profiles: DataFrame | None = None) -> DataFrame:
     """(key, col, metric, place) of the metric columns of grids with a row an entity: no period among headers, two metrics at least.
 
     The first column names the entity; annotations, label columns and mostly textual ones are no metrics.
     """
-    profiles = column_profiles(cells, key)
+    cells = prepared(cells, key)
+    profiles = staged(column_profiles(cells, key)) if profiles is None else profiles
     full = F.col("filled")
     text = 1 - F.col("numbers") / F.nullif(full, F.lit(0))
     whole = (full > 0) & (F.col("numbers") == full)
@@ -271,13 +301,13 @@ def slice_series(points: DataFrame, key: str = "table_id", query: str = "query")
     return each.withColumn("_r", rank).filter(F.col("_r") <= F.coalesce("_limit", F.lit(MAX_SERIES))).select(*points.columns)
 
 
-def pies(cells: DataFrame, key: str = "table_id") -> DataFrame:
+def pies(cells: DataFrame, key: str = "table_id", profiles: DataFrame | None = None) -> DataFrame:
     """(key, layout, slices, total) of grids that are one value for each of 2 to 12 categories: two columns, or one period column among others."""
-    profiles = column_profiles(cells, key)
+    profiles = column_profiles(cells, key) if profiles is None else profiles
     shape = profiles.groupBy(key).agg(F.count("*").alias("width"), F.count_if((F.col("col") > 0) & F.col("period").isNotNull()).alias("periods"), F.min(F.when((F.col("col") > 0) & F.col("period").isNotNull(), F.col("col"))).alias("period_col"))
     shape = shape.filter("width = 2 or periods = 1").select(key, F.when(F.col("width") == 2, "category_value").otherwise("snapshot").alias("layout"), F.when(F.col("width") == 2, 1).otherwise(F.col("period_col")).alias("_at"))
     body = cells.filter("row > 0").join(shape, key)
-    value = parse_number(F.col("cell"))
+    value = _value(cells)
     label = F.max(F.when(F.col("col") == 0, F.col("cell")))
     rows = body.groupBy(key, "layout", "row").agg(label.alias("label"), F.max(F.when(F.col("col") == F.col("_at"), value)).alias("value"))
     good = F.coalesce((F.col("label") != "") & ~is_financial_value(F.col("label")) & (F.col("value") >= 0), F.lit(False))
@@ -287,8 +317,10 @@ def pies(cells: DataFrame, key: str = "table_id") -> DataFrame:
 
 def chart_attempts(cells: DataFrame, key: str = "table_id") -> DataFrame:
     """(key, chart) of every grid: what can be drawn of it, tried in the order metrics by periods, entities, pie; null where nothing."""
-    every = cells.select(key).distinct()
-    drawn = chart_profiles(cells, key).select(key, "chart_type")
-    entity = entity_grids(cells, key).select(key, F.lit("entity_grid").alias("_e")).distinct()
-    pie = pies(cells, key).select(key, F.lit("pie").alias("_p"))
+    cells = prepared(cells, key)
+    profiles = staged(column_profiles(cells, key))
+    every = profiles.select(key).distinct()
+    drawn = chart_profiles(cells, key, profiles).select(key, "chart_type")
+    entity = entity_grids(cells, key, profiles).select(key, F.lit("entity_grid").alias("_e")).distinct()
+    pie = pies(cells, key, profiles).select(key, F.lit("pie").alias("_p"))
     return every.join(drawn, key, "left").join(entity, key, "left").join(pie, key, "left").select(key, F.coalesce("chart_type", "_e", "_p").alias("chart"))

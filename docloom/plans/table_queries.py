@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import tables as T
 from docloom.plans.registry import query, table
+from docloom.sources.folders import staged
 
 #: The grids as cells (table_id, row, col, cell), in SQL; order_cells makes the same.
 _CELLS = """
@@ -201,8 +202,9 @@ def _(spark, sf):
 @query("l06_chart_series", f"WITH {_CELLS}{_LAYOUT} SELECT table_id, orientation, name, k AS points, round(total, 2) AS total FROM ser JOIN prof USING (table_id, orientation) WHERE lower(trim(name)) <> 'total'")
 def _(spark, sf):
     # The series of a chart's specification, checked again: totals stay out unless asked for.
-    cells = order_cells(spark, sf)
-    found = T.series(cells, T.column_profiles(cells)).join(T.chart_profiles(cells).select("table_id", "orientation"), ["table_id", "orientation"])
+    cells = T.prepared(order_cells(spark, sf))
+    profiles = staged(T.column_profiles(cells))
+    found = T.series(cells, profiles).join(T.chart_profiles(cells, profiles=profiles).select("table_id", "orientation"), ["table_id", "orientation"])
     total = F.aggregate(F.transform("points", lambda p: p["value"]), F.lit(0.0), lambda a, b: a + b)
     return found.filter(T.without_total(F.lit(""), F.col("name"))).select("table_id", "orientation", "name", F.size("points").cast("long").alias("points"), F.round(total, 2).alias("total"))
 

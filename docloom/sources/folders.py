@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -20,3 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     if context.applicationId not in _own:
         _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="docloom-")
     return _own[context.applicationId]
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder now and read from there as often as it is used."""
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
