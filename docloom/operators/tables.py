@@ -266,7 +266,7 @@ def name_overlap(query: Column, name: Column, digits: bool = False) -> Column:
     """The share of the query's distinct words that stand in a name; numbers of the query aside unless digits."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "\\s+"), lambda t: t != ""))
     asked = words(query) if digits else F.filter(words(query), lambda t: ~t.rlike("^[0-9]+$"))
-    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words(name))) / F.size(asked)).otherwise(0.0)
+    return once(asked, lambda a: F.when(F.size(a) > 0, F.size(F.array_intersect(a, words(name))) / F.size(a)).otherwise(0.0))
 
 
 def without_total(query: Column, name: Column) -> Column:
