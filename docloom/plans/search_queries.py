@@ -126,7 +126,7 @@ def _(spark, sf):
     index.append(docs.filter("doc_id % 5 <> 0").unionByName(stale), batch=1)
     index.replace(docs.filter("doc_id % 5 = 0"), batch=2)
     terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(retrieval.index_words(F.col("text")))).alias("term"))
-    return retrieval.top_k(index.search(terms).withColumn("score", F.round("score", 4)), 6, "chunk_id").select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
+    return index.top_k(terms, 6).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
 
 
 #: Hits of a search: lines of an order are what a question found.
