@@ -132,6 +132,32 @@ def test_rows_by_reach(spark):
     assert rebuilt(spark, {"p": words}, reach=0.3)["p"][1:] == [["", "1", "2"], ["B", "3", "4"]]
 
 
+def test_acceptance_of_a_grid_as_an_array(spark):
+    rng = random.Random(2)
+    grids = {"empty": [], "blank": [["", " "], [" ", ""]]}
+    for k in range(300):
+        width, cells_of = rng.randint(1, 6), rng.choice([["a", "1"], ["a", "1", "", " "], ["t", "t", ""], ["x 1", "y", ""]])
+        grids[f"g{k}"] = [[rng.choice(cells_of) for _ in range(max(1, width - (rng.random() < 0.2)))] for _ in range(rng.randint(1, 7))]
+    want = {r.table_id: r.reason for r in tables.acceptance(tables.cleaned(cells(spark, grids))).collect()}
+    frame = spark.createDataFrame(list(grids.items()), "table_id string, grid array<array<string>>")
+    got = {r.table_id: r.reason for r in frame.select("table_id", tables.grid_acceptance(F.col("grid")).alias("reason")).collect()}
+    assert got == {k: want.get(k, "no_rows") for k in grids} and len(set(got.values())) >= 7
+
+
+def test_pages_are_rebuilt_once(spark):
+    # Words are shuffled once, no cells are, and a grid is found in one place of the plan; it was shuffled and found several times.
+    words = [(k, i, *w) for k in ("near", "far") for i, w in enumerate([word("2023", 276, 0), word("2024", 376, 0), word("Sales", 20, 1), word("100", 282, 1), word("200", 382, 1), word("Costs", 20, 2), word("90", 282, 2), word("95", 382, 2)])]
+    # The values of the one page stand below their labels, within reach of the wider rows alone.
+    words = [(k, i, t, x0, top + (8.0 if k == "far" and x0 > 200 and top > 0 else 0.0), x1, bottom + (8.0 if k == "far" and x0 > 200 and top > 0 else 0.0)) for k, i, t, x0, top, x1, bottom in words]
+    df = spark.createDataFrame(words, "page string, ord int, text string, x0 double, top double, x1 double, bottom double")
+    found = page_tables.page_tables(df, "page")
+    assert {r.page for r in found.collect()} >= {"near"}
+    assert [r.cell for r in found.filter("page = 'near'").orderBy("row", "col").collect()] == ["Metric", "2023", "2024", "Sales", "100", "200", "Costs", "90", "95"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join" not in plan
+    assert plan.count(page_tables.WRAPPED) == len(page_tables.METHODS)
+
+
 def test_reading_order_of_two_columns(spark):
     rng = random.Random(1)
     two = [(1, i, x, x + 30, float(row * 14)) for i, (x, row) in enumerate((c + rng.randrange(0, 4) * 50, r) for r in range(10) for c in (20, 330))]
