@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+
+from docloom.operators import text_location
 from docloom.operators.text_location import common_length, line_boxes, locate_chunks, matched_places
 from docloom.plans import registry
 
@@ -62,6 +65,21 @@ def test_lines():
     assert line_boxes([]) == []
 
 
+def test_whole_chunks_cost_no_table_of_lengths(monkeypatch):
+    rng = random.Random(7)
+    page = [f"w{rng.randint(0, 300)}" for _ in range(5000)]
+    needle = [w for i, w in enumerate(page[2000:2080]) if i % 6 != 5]
+    want = plain_match(needle, page)
+
+    def refuse(*_):
+        raise AssertionError("looked at every word of the page")
+
+    # Lengths were found on all pages of the window, and each looked at every word of its page.
+    monkeypatch.setattr(text_location, "_steps", refuse)
+    pages = text_location.Pages(np.repeat([1, 2, 3], 5000), page * 3, np.zeros((15000, 4)))
+    assert pages.best(needle, 1, 3, 0.6) == (1, 1.0, want) and matched_places(needle, page) == want and len(pages.known) == 1
+
+
 def words_of(doc, pages):
     return [(doc, p, i, w, float(i % 10 * 50), float(i // 10 * 14), float(i % 10 * 50 + 40), float(i // 10 * 14 + 10)) for p, text in pages.items() for i, w in enumerate(text.split())]
 
