@@ -55,7 +55,7 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
         np.minimum(middle, inner[j : j + n - k + 1], out=middle)
     last = inner[width - 1 : width - 1 + n - k + 1]
     chosen = np.flatnonzero((low <= np.minimum(middle, last)) | (last < np.minimum(middle, low)))
-    return chosen, hashes(k)[chosen]
+    return chosen, mix((total[chosen + k] - total[chosen]) * undo[chosen])
 
 
 def sketch(text: str, k: int = K, s: int = S, size: int = SKETCH) -> np.ndarray:
@@ -83,8 +83,12 @@ def from_text(fingerprint: str) -> np.ndarray:
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     if not len(a) and not len(b):
         return 1.0
-    union = np.union1d(a, b)[:size]
-    return float(np.intersect1d(np.intersect1d(a, b, True), union, True).size / len(union))
+    # Both are ascending and distinct, so what is common stands twice in a row.
+    both = np.concatenate([a, b])
+    both.sort()
+    twice = both[1:] == both[:-1]
+    union = _distinct(both)[:size]
+    return float(np.count_nonzero(both[1:][twice] <= union[-1]) / len(union))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -100,30 +104,88 @@ def placed(mine: tuple[np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.nda
     Each shared anchor is placed once: where the passage of the anchor before it goes on if it does, else at the leftmost
     place of its hash. So a text of one repeated word costs no pairs of all its places.
     """
-    (at, h), (other, g) = mine, theirs
-    order = np.argsort(g, kind="stable")
-    found = np.searchsorted(g, h, sorter=order)
+    return _placed(Anchors(*mine), Anchors(*theirs), k)[0]
+
+
+class Anchors:
+    """The anchors of a text, with their order by hash, which is found once for all comparisons."""
+
+    __slots__ = ("at", "h", "order", "sorted", "distinct")
+
+    def __init__(self, at: np.ndarray, h: np.ndarray):
+        self.at, self.h = at, h
+        self.order = np.argsort(h, kind="stable")
+        self.sorted = h[self.order]
+        self.distinct = _distinct(self.sorted)
+
+    def smallest(self, size: int = SKETCH) -> np.ndarray:
+        high = (self.sorted >> U64(32)).astype(np.uint32)
+        # Few of the first ones are equal, so all are looked at only where too few of them differ.
+        low = _distinct(high[: 4 * size])
+        return (low if len(low) >= size or len(high) <= 4 * size else _distinct(high))[:size]
+
+
+def _distinct(ascending: np.ndarray) -> np.ndarray:
+    if len(ascending) < 2:
+        return ascending
+    new = np.empty(len(ascending), bool)
+    new[0] = True
+    np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+    return ascending[new]
+
+
+def _placed(mine: Anchors, theirs: Anchors, k: int = K) -> tuple[np.ndarray, float]:
+    """(passages as placed() gives them, likeness as jaccard() gives it)."""
+    at, h, other, g = mine.at, mine.h, theirs.at, theirs.h
+    none = np.zeros((0, 3), np.int64)
+    if not len(h) or not len(g):
+        return none, 0.0 if len(h) or len(g) else 1.0
+    # Of each of my anchors by hash, its first place among theirs.
+    found = np.searchsorted(theirs.sorted, mine.sorted)
     found[found == len(g)] = 0
-    shared = np.flatnonzero(g[order[found]] == h) if len(g) and len(h) else np.zeros(0, np.int64)
-    if not len(shared):
-        return np.zeros((0, 3), np.int64)
+    equal = theirs.sorted[found] == mine.sorted
+    both = len(_distinct(mine.sorted[equal]))
+    like = both / (len(mine.distinct) + len(theirs.distinct) - both)
+    if not both:
+        return none, like
+    first = np.full(len(h), -1, np.int64)
+    first[mine.order[equal]] = theirs.order[found[equal]]
+    shared = np.flatnonzero(first >= 0)
     at, h = at[shared], h[shared]
-    leftmost = other[order[found[shared]]] - at
+    leftmost = other[first[shared]] - at
     offset = leftmost.copy()
-    near = np.append(False, np.diff(at) <= k)
-    # An anchor is looked at again whenever the one before it has moved.
-    todo = np.flatnonzero(near)
+    near = np.empty(len(at), bool)
+    near[0] = False
+    np.less_equal(at[1:] - at[:-1], k, out=near[1:])
+    # An anchor is looked at again whenever the one before it has moved. One at the offset of the one before it stays where it is.
+    todo = np.flatnonzero(near[1:] & (offset[1:] != offset[:-1])) + 1
     while len(todo):
         wanted = offset[todo - 1]
-        place = np.minimum(np.searchsorted(other, at[todo] + wanted), len(other) - 1)
-        new = np.where((other[place] == at[todo] + wanted) & (g[place] == h[todo]), wanted, leftmost[todo])
+        here = at[todo] + wanted
+        place = np.minimum(np.searchsorted(other, here), len(other) - 1)
+        new = np.where((other[place] == here) & (g[place] == h[todo]), wanted, leftmost[todo])
         moved = todo[new != offset[todo]]
         offset[todo] = new
         todo = moved[moved < len(at) - 1] + 1
         todo = todo[near[todo]]
-    first = np.flatnonzero(np.append(True, ~near[1:] | (np.diff(offset) != 0)))
-    last = np.append(first[1:], len(at)) - 1
-    return np.stack([at[first], at[first] + offset[first], at[last] - at[first] + k], 1)
+    begins = np.empty(len(at), bool)
+    begins[0] = True
+    np.logical_or(~near[1:], offset[1:] != offset[:-1], out=begins[1:])
+    start = np.flatnonzero(begins)
+    last = np.append(start[1:], len(at)) - 1
+    return np.stack([at[start], at[start] + offset[start], at[last] - at[start] + k], 1), like
+
+
+def edited_anchors(text: str, mine: tuple[np.ndarray, np.ndarray], cut: int, following: str, theirs: tuple[np.ndarray, np.ndarray], taken: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of text[:cut] + following[:taken] from those of both texts: only the k-mers over the seam are looked at."""
+    if cut + taken < k:
+        return anchors(text[:cut] + following[:taken], k)
+    left = max(0, cut - k + 1)
+    over, hashes = anchors(text[left:cut] + following[: min(taken, k - 1)], k) if cut - left + min(taken, k - 1) >= k else (np.zeros(0, np.int64), np.zeros(0, U64))
+    # A text of fewer than k points is one anchor of another kind, which no longer text has.
+    a = np.searchsorted(mine[0], cut - k, "right") if len(text) >= k else 0
+    b = np.searchsorted(theirs[0], taken - k, "right") if len(following) >= k else 0
+    return np.concatenate([mine[0][:a], over + left, theirs[0][:b] + cut]), np.concatenate([mine[1][:a], hashes, theirs[1][:b]])
 
 
 def anchor_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = K, s: int = S) -> DataFrame:
@@ -229,12 +291,12 @@ def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "do
             out: list[tuple] = []
             for at, late, i, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if held is not None and held[0] == at:
-                    mine = anchors(text)
+                    mine = Anchors(*anchors(text))
                     out.append(_row(held, text, mine, passages))
                 elif late:
                     continue
                 else:
-                    mine = anchors(text)
+                    mine = Anchors(*anchors(text))
                 held = None if late else (at, i, text, mine)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -243,13 +305,11 @@ def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "do
     return ordered.select("at", "late", "id", "text").mapInArrow(run, spelled)
 
 
-def _places(mine: tuple, text: str, theirs: tuple, other: str) -> tuple:
-    like = jaccard(mine[1], theirs[1])
+def _places(mine: Anchors, text: str, theirs: Anchors, other: str) -> tuple:
+    found, like = _placed(mine, theirs)
     if min(len(text), len(other)) < K:
         # A text shorter than k is one anchor of all its letters, which stands nowhere but in its equal.
         found = np.array([[0, 0, len(text)]] if text and text == other else np.zeros((0, 3)), np.int64)
-    else:
-        found = placed(mine, theirs)
     if not len(found):
         return like, 0, 0, None, None, 0
     starts, ends = found[:, 0], np.maximum.accumulate(found[:, 0] + found[:, 2])
@@ -258,12 +318,12 @@ def _places(mine: tuple, text: str, theirs: tuple, other: str) -> tuple:
     return like, len(found), covered, *longest
 
 
-def _row(held: tuple, following: str, following_anchors: tuple, passages: bool = False) -> tuple:
+def _row(held: tuple, following: str, following_anchors: Anchors, passages: bool = False) -> tuple:
     _, i, text, mine = held
     half = len(text) // 2
     edited = text[: len(text) - half] + following[:half]
-    theirs = anchors(edited)
-    a, b, c = smallest(mine[1]), smallest(theirs[1]), smallest(following_anchors[1])
+    theirs = Anchors(*edited_anchors(text, (mine.at, mine.h), len(text) - half, following, (following_anchors.at, following_anchors.h), min(half, len(following))))
+    a, b, c = mine.smallest(), theirs.smallest(), following_anchors.smallest()
     row = (i, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), as_text(a), as_text(b), likeness(a, b), likeness(a, c))
     if passages:
         row += (*_places(mine, text, theirs, edited), *_places(mine, text, following_anchors, following))

@@ -1,7 +1,11 @@
 """Positional matching of anchors: shared passages against brute force."""
 
-from docloom.llm import entries
-from docloom.llm.syncmer import K, anchors, compare_with_next, jaccard, likeness, placed, shared_passages, sketch
+import random
+
+import numpy as np
+
+from docloom.llm import entries, syncmer
+from docloom.llm.syncmer import K, Anchors, anchors, compare_with_next, edited_anchors, jaccard, likeness, placed, shared_passages, sketch
 
 
 def prose(seed, n):
@@ -63,6 +67,21 @@ def test_shared_passages_of_a_table(spark):
         assert {tuple(r) for r in shared_passages(docs, hot=hot).collect()} == want
 
 
+def test_anchors_of_an_edited_text_come_from_both_texts(monkeypatch):
+    rng = random.Random(4)
+    texts = ["", "a", "x" * 200, LONG, OTHER, *["".join(rng.choice(["ab ", "cd", "é", "f"]) for _ in range(rng.randint(0, 80))) for _ in range(300)]]
+    for text, following in [(LONG, OTHER), *[(rng.choice(texts), rng.choice(texts)) for _ in range(2000)]]:
+        cut, taken = len(text) - len(text) // 2, min(len(text) // 2, len(following))
+        got, want = edited_anchors(text, anchors(text), cut, following, anchors(following), taken), anchors(text[:cut] + following[:taken])
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+        assert Anchors(*want).smallest().tolist() == sketch(text[:cut] + following[:taken]).tolist()
+    # Every text is read once; the edited one was read anew.
+    mine, theirs, read = anchors(LONG), anchors(OTHER), []
+    monkeypatch.setattr(syncmer, "anchors", lambda text, k=K, plain=anchors: read.append(len(text)) or plain(text, k))
+    syncmer._row((0, 1, LONG, Anchors(*mine)), OTHER, Anchors(*theirs), True)
+    assert sum(read) < 2 * K and np.array_equal(mine[1], anchors(LONG)[1])
+
+
 def test_the_query_places_passages(spark):
     got = entries.queries()["op7_document_fingerprints"](spark, "/root/testdata/sf0.001")
     rows = got.collect()
