@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +159,15 @@ def test_pages_are_rebuilt_once(spark):
     assert plan.count(page_tables.WRAPPED) == len(page_tables.METHODS)
 
 
+def test_pages_are_unpacked_by_bytes():
+    # A whole batch of up to 10,000 pages was unpacked at once.
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([[{"t": "x" * 4000}] if i % 50 else [{"t": "y" * 200_000}] for i in range(500)])], names=["page", "w"])
+    pieces = list(page_tables._pieces(batch, 100_000))
+    assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows == 1 or p.nbytes <= 100_000 for p in pieces) and len(pieces) < 100
+    assert list(page_tables._pieces(batch.slice(0, 0), 100_000)) == []
+
+
 def test_reading_order_of_two_columns(spark):
     rng = random.Random(1)
     two = [(1, i, x, x + 30, float(row * 14)) for i, (x, row) in enumerate((c + rng.randrange(0, 4) * 50, r) for r in range(10) for c in (20, 330))]
