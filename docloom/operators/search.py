@@ -136,11 +136,11 @@ def merge_image_sources(sources: DataFrame, images: DataFrame, group: str = "que
 def rank_tables(candidates: DataFrame, group: str = "query_id") -> DataFrame:
     """Table chunks by how well they answer a chart question: likeness of vectors, shared words, search score, and a bonus for tables of the talk so far.
 
-    candidates: group, chunk_id, query, content, similarity, score, prior. Words are those between white space, caseless.
+    candidates: group, chunk_id, query, content, similarity, score, prior. Words are those between white space of the whole text, caseless.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "\\s+"), lambda t: t != ""))
     asked = words(F.col("query"))
-    shared = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words(F.substring("content", 1, 2000)))) / F.size(asked)).otherwise(0.0)
+    shared = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words(F.col("content")))) / F.size(asked)).otherwise(0.0)
     value = F.col("similarity") + 0.25 * shared + 0.05 * F.greatest(F.col("score"), F.lit(0.0)) + F.when(F.col("prior"), 1.0).otherwise(0.0)
     ranked = candidates.withColumn("relevance", F.round(value, 6))
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("relevance"), "chunk_id")))

@@ -203,7 +203,7 @@ def _(spark, sf):
 
 @query(
     "f07_table_ranking",
-    f"""WITH {_hybrid(8, 'true')}, w AS (SELECT hy.query_id, hy.chunk_id, hy.score, coalesce(list_dot_product(c.embedding::DOUBLE[], questions.vector::DOUBLE[]), 0) AS sim, list_distinct(list_filter(regexp_split_to_array(lower(questions.text), '\\s+'), lambda x: x <> '')) AS qa, list_distinct(list_filter(regexp_split_to_array(lower(left(c.content, 2000)), '\\s+'), lambda x: x <> '')) AS ca FROM hy JOIN chunks c USING (chunk_id) JOIN questions USING (query_id)),
+    f"""WITH {_hybrid(8, 'true')}, w AS (SELECT hy.query_id, hy.chunk_id, hy.score, coalesce(list_dot_product(c.embedding::DOUBLE[], questions.vector::DOUBLE[]), 0) AS sim, list_distinct(list_filter(regexp_split_to_array(lower(questions.text), '\\s+'), lambda x: x <> '')) AS qa, list_distinct(list_filter(regexp_split_to_array(lower(c.content), '\\s+'), lambda x: x <> '')) AS ca FROM hy JOIN chunks c USING (chunk_id) JOIN questions USING (query_id)),
 s AS (SELECT query_id, chunk_id, round(sim + 0.25 * CASE WHEN len(qa) > 0 THEN len(list_intersect(qa, ca)) / len(qa)::DOUBLE ELSE 0 END + 0.05 * greatest(score, 0) + CASE WHEN chunk_id % 6 = 0 THEN 1.0 ELSE 0.0 END, 6) AS relevance FROM w)
 SELECT query_id, chunk_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) AS place FROM s""",
 )
