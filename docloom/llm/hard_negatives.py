@@ -5,11 +5,12 @@ that a sum of products of residues stays below 2^24 and is exact in float32; of
 restores the signed score. There are as many primes as the largest score needs: by Cauchy and Schwarz it is at most the
 largest square of a vector.
 
-Anchors are a stated set, taken against all rows in blocks: a block of anchors meets a block of rows in an equi-join on
-both numbers, and the product is taken in tiles, so what a task holds follows from the sizes of blocks and tiles. Every
-pair of blocks gives the anchor's first few rows of it, and a window over the anchor selects among those of all blocks; the
-selection is cut to the first few before the shuffle as well. Positives come first; their scores then bound the windows in
-which negatives are taken, in a second pass of products.
+Anchors are a stated set, taken against all rows in blocks: a block of anchors meets every group of row blocks in one
+partition, the anchors first and then the row blocks one by one. No join puts them together, so nothing is broadcast whatever
+Spark takes the tables' sizes for, and what a task holds follows from the sizes of blocks and tiles. Rows of a block stand by
+label, so positives need the products of their own label only. A task keeps the first few of each anchor over its group,
+which also say what a later row must reach; a window over the anchor selects among the groups. Positives come first; their
+scores then bound the windows in which negatives are taken, in a second pass of products.
 
 Cases: rows with a null id, label or vector, or with a component that is null or not finite, take no part; rows of one id
 are one, the first by label and vector; ties in score go by the smaller id; a shorter vector is filled up with zeros; an
@@ -30,8 +31,11 @@ from pyspark.sql import functions as F
 
 from docloom.llm._storage import discard, measured, small_batches, staged, tidy
 
-#: Rows of a block of anchors and of a block of rows; anchors of a tile; components of one product.
-ANCHORS, ROWS, TILE, DEPTH = 1024, 4096, 64, 4096
+#: Rows of a block of anchors and of a block of rows, of BLOCK_BYTES at most; anchors of a tile; components of one product.
+ANCHORS, ROWS, TILE, DEPTH, BLOCK_BYTES = 4096, 4096, 64, 4096, 8 << 20
+#: Row blocks of a group; partitions that blocks of anchors and groups are dealt over at most.
+GROUP, PARTITIONS = 8, 4096
+NONE = np.iinfo(np.int64).min
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
 
@@ -58,6 +62,15 @@ def primes_for(depth: int, bound: int) -> list[int]:
     return found or [3]
 
 
+def _reduce(x: np.ndarray, p: int) -> np.ndarray:
+    """x modulo p in place, centred about zero, as far as x / p is precise."""
+    q = x * x.dtype.type(1 / p)
+    np.rint(q, out=q)
+    q *= p
+    x -= q
+    return x
+
+
 class Residues:
     """A matrix of integers modulo each prime, centred about zero, in float32."""
 
@@ -67,24 +80,39 @@ class Residues:
         for p in primes:
             r = x % p
             self.parts.append(np.where(r > p // 2, r - p, r).astype(np.float32))
+        # Two small primes are remaindered in float32: quotients stay precise enough, and scores below 2^24.
+        depth = min(x.shape[1], DEPTH)
+        self.kind = np.float32 if len(primes) <= 2 and max(primes) <= 2000 and depth * (max(primes) // 2) ** 2 + max(primes) < 1 << 24 else np.float64
 
-    def products(self, others: Residues, a: int, b: int) -> np.ndarray:
-        """The exact signed inner products of rows a to b with the others."""
-        value, modulus = np.zeros((), np.int64), 1
+    def products(self, others: Residues, a: int, b: int, columns: slice = slice(None)) -> np.ndarray:
+        """The exact signed inner products of rows a to b with the others, as whole numbers in self.kind."""
+        value, modulus = None, 1
         for p, mine, theirs in zip(self.primes, self.parts, others.parts, strict=True):
-            # Each product of at most DEPTH components is an exact integer.
-            r = sum((mine[a:b, k : k + DEPTH] @ theirs[:, k : k + DEPTH].T).astype(np.int64) % p for k in range(0, mine.shape[1], DEPTH))
-            value = value + (r - value) % p * pow(modulus, -1, p) % p * modulus
+            r = None
+            for k in range(0, max(mine.shape[1], 1), DEPTH):
+                # Each product of at most DEPTH components is an exact integer.
+                part = _reduce((mine[a:b, k : k + DEPTH] @ theirs[columns, k : k + DEPTH].T).astype(self.kind, copy=False), p)
+                r = part if r is None else r + part
+            if value is None:
+                # Large products may be off by one p; small numbers are not.
+                value = _reduce(r, p)
+            else:
+                r -= _reduce(value.copy(), p)
+                inverse = pow(modulus, -1, p)
+                r *= inverse - p if inverse > p // 2 else inverse
+                _reduce(r, p)
+                r *= modulus
+                value += r
             modulus *= p
-        return np.where(value > modulus // 2, value - modulus, value)
+        return value
 
 
 def _pack(rows: DataFrame, blocks: int, name: str, dims: int, kind: np.dtype) -> DataFrame:
-    """Staged (name, ids, labels, x): one row a block, by ascending id."""
+    """Staged (name, ids, labels, x): one row a block, by label and ascending id."""
     schema = pa.schema([(name, pa.int32()), ("ids", pa.binary()), ("labels", pa.binary()), ("x", pa.binary())])
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id").combine_chunks()
+        table = table.sort_by([("label", "ascending"), ("id", "ascending")]).combine_chunks()
         x = np.zeros((table.num_rows, dims), kind)
         vectors = table.column("x").combine_chunks()
         n = np.array(vectors.value_lengths())
@@ -96,9 +124,108 @@ def _pack(rows: DataFrame, blocks: int, name: str, dims: int, kind: np.dtype) ->
     return staged(dealt.groupBy(name).applyInArrow(pack, f"{name} int, ids binary, labels binary, x binary"), "vectors", free=True)
 
 
-def _unpacked(row: dict, side: str, dims: int, kind: np.dtype, primes: list[int]) -> tuple[np.ndarray, np.ndarray, Residues]:
-    ids, labels = (np.frombuffer(row[f"{side}_{c}"], "<i8") for c in ("ids", "labels"))
-    return ids, labels, Residues(np.frombuffer(row[f"{side}_x"], kind).reshape(len(ids), dims).astype(np.int64), primes)
+class _Block:
+    """Rows by label and id: their residues, and their places by id, the smallest last."""
+
+    def __init__(self, row: dict, dims: int, kind: np.dtype, primes: list[int]):
+        self.ids, self.labels = (np.frombuffer(row[c], "<i8") for c in ("ids", "labels"))
+        self.n = len(self.ids)
+        self.by_id = np.argsort(self.ids)[::-1]
+        self.behind = np.empty(self.n, np.int64)
+        self.behind[self.by_id] = np.arange(self.n)
+        self.residues = Residues(np.frombuffer(row["x"], kind).reshape(self.n, dims).astype(np.int64), primes)
+
+    def of(self, label: int) -> slice:
+        return slice(*np.searchsorted(self.labels, [label, label + 1]))
+
+
+def _firsts(scores: np.ndarray, fit: np.ndarray, k: int, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the first k of each row that fit, by score and then by the larger behind."""
+    many = int(behind.max(initial=0)) + 1
+    n = fit.shape[1]
+    # Scores are below 2^50 and blocks have 2^13 rows at most.
+    keys = np.where(fit, scores.astype(np.int64) * many + behind, NONE)
+    at = np.argpartition(keys, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), keys.shape)
+    r, c = np.nonzero(np.take_along_axis(keys, at, axis=1) != NONE)
+    return r, at[r, c]
+
+
+class _Best:
+    """The first k rows found so far of each of many groups, by score, then id."""
+
+    def __init__(self, groups: int, k: int):
+        self.k, self.found = k, [(np.zeros(0, np.int64),) * 3]
+        #: What a row must reach: the score of the k-th, if there is one.
+        self.least = np.full(groups, NONE)
+
+    def add(self, group: np.ndarray, score: np.ndarray, other: np.ndarray) -> None:
+        self.found.append((group.astype(np.int64), score.astype(np.int64), other))
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        group, score, other = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((other, -score, group))
+        group, score, other = group[order], score[order], other[order]
+        place = np.arange(len(group)) - np.searchsorted(group, group)
+        last = place == self.k - 1
+        self.least[group[last]] = score[last]
+        kept = place < self.k
+        self.found = [(group[kept], score[kept], other[kept])]
+        return self.found[0]
+
+
+def _add_same(best: _Best, mine: _Block, theirs: _Block) -> None:
+    """The rows of an anchor's own label."""
+    for label in np.intersect1d(mine.labels, theirs.labels).tolist():
+        own, rows = mine.of(label), theirs.of(label)
+        others, behind = theirs.ids[rows], theirs.behind[rows]
+        for at in range(own.start, own.stop, TILE):
+            to = min(at + TILE, own.stop)
+            scores = mine.residues.products(theirs.residues, at, to, rows)
+            fit = (scores >= best.least[at:to, None]) & (mine.ids[at:to, None] != others[None, :])
+            r, c = _firsts(scores, fit, best.k, behind)
+            best.add(r + at, scores[r, c], others[c])
+    best.settle()
+
+
+def _add_below(best: _Best, mine: _Block, theirs: _Block, least: np.ndarray, most: np.ndarray) -> None:
+    """The rows of other labels with scores from least to most, in a group for each anchor and column of those."""
+    many = least.shape[1]
+    floor = np.maximum(least, best.least.reshape(least.shape))
+    for at in range(0, mine.n if many else 0, TILE):
+        to = min(at + TILE, mine.n)
+        scores = mine.residues.products(theirs.residues, at, to)
+        # Thresholds beyond all scores are brought to where a float is exact.
+        end = 1 << (23 if scores.dtype == np.float32 else 52)
+        low, high = (np.clip(x[at:to], -end, end).astype(scores.dtype) for x in (floor, most))
+        fit = scores >= low.min(axis=1)[:, None]
+        fit &= mine.labels[at:to, None] != theirs.labels[None, :]
+        if np.count_nonzero(fit) > fit.size // 8:
+            for j in range(many):
+                r, c = _firsts(scores, fit & (scores >= low[:, j, None]) & (scores <= high[:, j, None]), best.k, theirs.behind)
+                best.add((r + at) * many + j, scores[r, c], theirs.ids[c])
+            continue
+        r, c = np.nonzero(fit)
+        s = scores[r, c]
+        order = np.lexsort((theirs.ids[c], -s, r))
+        r, c, s = r[order], c[order], s[order]
+        for j in range(many):
+            took = np.flatnonzero((s >= low[r, j]) & (s <= high[r, j]))
+            took = took[np.arange(len(took)) - np.searchsorted(r[took], r[took]) < best.k]
+            best.add((r[took] + at) * many + j, s[took], theirs.ids[c[took]])
+    best.settle()
+
+
+def _windows(ids: np.ndarray, anchors: np.ndarray, scores: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, least, most) of anchors by ids, a column for each of an anchor's bounds; columns that an anchor lacks are empty windows."""
+    by_id = np.argsort(ids)
+    order = np.lexsort((scores, anchors))
+    anchors, scores = anchors[order], scores[order]
+    column = np.arange(len(anchors)) - np.searchsorted(anchors, anchors)
+    row = by_id[np.searchsorted(ids[by_id], anchors)]
+    bounds = np.zeros((len(ids), int(column.max(initial=-1)) + 1), np.int64)
+    least, most = np.ones_like(bounds), np.zeros_like(bounds)
+    bounds[row, column], least[row, column], most[row, column] = scores, -(-low * scores // 100), high * scores // 100
+    return bounds, least, most
 
 
 def mine_hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95) -> DataFrame:
@@ -114,45 +241,55 @@ def mine_hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, ne
     dims = seen["dims"] or 0
     kind = np.dtype("<i2" if (seen["widest"] or 0) < 1 << 15 else "<i8")
     primes = primes_for(min(dims, DEPTH), int((seen["square"] or 0) * 1.001) + 1)
-    n_rows, n_anchors = max(1, -(-seen["n"] // ROWS)), max(1, -(-seen["anchors"] // ANCHORS))
+    most_rows = max(1, BLOCK_BYTES // max(1, dims * kind.itemsize))
+    n_rows, n_anchors = max(1, -(-seen["n"] // min(ROWS, most_rows))), max(1, -(-seen["anchors"] // min(ANCHORS, most_rows)))
+    n_groups = -(-n_rows // GROUP)
     row_blocks = _pack(kept, n_rows, "b", dims, kind)
     anchor_blocks = _pack(kept.filter(anchors), n_anchors, "a", dims, kind)
     discard(kept)
-    # Every block of anchors meets every block of rows: an equi-join on both numbers, one row a pair of blocks.
-    right = row_blocks.select("b", *[F.col(c).alias(f"r_{c}") for c in ("ids", "labels", "x")], F.explode(F.sequence(F.lit(0), F.lit(n_anchors - 1))).alias("a"))
-    left = anchor_blocks.select("a", *[F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "x")], F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("b"))
     small_batches(spark)
+    columns = ["ids", "labels", "x"]
+    no_bounds = F.lit(None).cast("array<struct<anchor:bigint,score:bigint>>").alias("bounds")
+
+    def meetings(blocks: DataFrame) -> DataFrame:
+        """(pair, place, ids, labels, x, bounds): blocks of anchors (a, ids, labels, x, bounds) with each group of row blocks, the anchors in place 0."""
+        pair = F.col("a") * F.lit(n_groups).cast("long") + F.col("g")
+        left = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).select(pair.alias("pair"), F.lit(0).alias("place"), *columns, "bounds")
+        grouped = row_blocks.withColumn("g", (F.col("b") % n_groups).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_anchors - 1))))
+        right = grouped.select(pair.alias("pair"), F.lit(1).alias("place"), *columns, no_bounds)
+        return left.unionAll(right).repartition(min(n_anchors * n_groups, PARTITIONS), "pair").sortWithinPartitions("pair", "place")
+
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, bool, pa.ListScalar]]:
+        """(block, whether it is one of anchors, its bounds)."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in columns}
+                yield _Block(row, dims, kind, primes), batch.column("place")[i].as_py() == 0, batch.column("bounds")[i]
 
     found_schema = pa.schema([("anchor", pa.int64()), ("other", pa.int64()), ("score", pa.int64())])
 
-    def tiles(row: dict) -> Iterator[tuple]:
-        """(anchors' places, scores as keys that order a row's columns, places of the same label) of each tile."""
-        ids, labels, mine = _unpacked(row, "a", dims, kind, primes)
-        others, their, theirs = _unpacked(row, "r", dims, kind, primes)
-        n = len(others)
-        behind = np.arange(n - 1, -1, -1)
-        for at in range(0, len(ids), TILE):
-            to = min(at + TILE, len(ids))
-            scores = mine.products(theirs, at, to) if dims else np.zeros((to - at, n), np.int64)
-            # Larger keys come first: higher scores, then smaller ids.
-            yield at, to, ids, others, scores * n + behind, labels[at:to, None] == their[None, :]
-
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                for at, to, ids, others, keys, same in tiles(row):
-                    n = len(others)
-                    keys = np.where(same & (ids[at:to, None] != others[None, :]), keys, np.iinfo(np.int64).min)
-                    top = np.partition(keys, max(n - positives, 0), axis=1)[:, max(n - positives, 0) :]
-                    r, c = np.nonzero(top != np.iinfo(np.int64).min)
-                    key = top[r, c]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + r]), pa.array(others[n - 1 - key % n]), pa.array(key // n)], schema=found_schema)
+        mine = best = None
+
+        def out() -> pa.RecordBatch:
+            at, score, other = best.settle()
+            return pa.RecordBatch.from_arrays([pa.array(mine.ids[at]), pa.array(other), pa.array(score)], schema=found_schema)
+
+        for block, is_anchors, _ in blocks_of(batches):
+            if is_anchors:
+                if mine is not None:
+                    yield out()
+                mine, best = block, _Best(block.n, positives)
+            elif mine is not None:
+                _add_same(best, mine, block)
+        if mine is not None:
+            yield out()
 
     def first_of(found: DataFrame, keys: list[str], many: int, rank: str) -> DataFrame:
         order = Window.partitionBy(*keys).orderBy(F.desc("score"), "other")
         return found.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= many)
 
-    near = left.join(right, ["a", "b"]).mapInArrow(tidy(nearest), "anchor long, other long, score long")
+    near = meetings(anchor_blocks.withColumn("bounds", no_bounds)).mapInArrow(tidy(nearest), "anchor long, other long, score long")
     chosen = staged(first_of(near, ["anchor"], positives, "place"), "positives", free=True)
     # The scores that bound the windows: a few an anchor, with the anchor's block.
     bounds = chosen.select(F.pmod(F.xxhash64("anchor"), F.lit(n_anchors)).cast("int").alias("a"), "anchor", "score").distinct().groupBy("a").agg(F.collect_list(F.struct("anchor", "score")).alias("bounds"))
@@ -160,27 +297,27 @@ def mine_hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, ne
     window_schema = pa.schema([("anchor", pa.int64()), ("bound", pa.int64()), ("other", pa.int64()), ("score", pa.int64())])
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                wanted: dict[int, list[int]] = {}
-                for b in row["bounds"]:
-                    wanted.setdefault(b["anchor"], []).append(b["score"])
-                out: list[tuple] = []
-                for at, to, ids, others, keys, same in tiles(row):
-                    n = len(others)
-                    # Those of the anchor's label go below all others.
-                    keys = np.sort(np.where(same, np.iinfo(np.int64).min, keys), axis=1)
-                    for i, anchor in enumerate(ids[at:to].tolist()):
-                        for bound in wanted.get(anchor, []):
-                            least, most = -(-low * bound // 100), high * bound // 100
-                            end = int(np.searchsorted(keys[i], (most + 1) * n))
-                            took = keys[i, max(0, end - negatives) : end]
-                            took = took[took >= least * n]
-                            out += [(anchor, bound, int(others[n - 1 - k % n]), k // n) for k in took.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], schema=window_schema)
-
-    with_bounds = left.join(bounds, "a").join(right, ["a", "b"])
-    kept_below = with_bounds.mapInArrow(tidy(below), "anchor long, bound long, other long, score long")
+        mine = best = None
+        windows: tuple = ()
+
+        def out() -> pa.RecordBatch:
+            at, score, other = best.settle()
+            many = windows[0].shape[1]
+            return pa.RecordBatch.from_arrays([pa.array(mine.ids[at // max(many, 1)]), pa.array(windows[0].ravel()[at]), pa.array(other), pa.array(score)], schema=window_schema)
+
+        for block, is_anchors, told in blocks_of(batches):
+            if is_anchors:
+                if mine is not None:
+                    yield out()
+                anchor, score = (np.array(told.values.field(c)) for c in ("anchor", "score"))
+                mine, windows = block, _windows(block.ids, anchor, score, low, high)
+                best = _Best(windows[0].size, negatives)
+            elif mine is not None:
+                _add_below(best, mine, block, *windows[1:])
+        if mine is not None:
+            yield out()
+
+    kept_below = meetings(anchor_blocks.join(bounds.hint("merge"), "a")).mapInArrow(tidy(below), "anchor long, bound long, other long, score long")
     hard = first_of(kept_below, ["anchor", "bound"], negatives, "rank")
     named = hard.select("anchor", "bound", "rank", F.col("other").alias("negative_id"), F.col("score").alias("negative_score"))
     picked = chosen.select("anchor", F.col("score").alias("bound"), F.col("other").alias("positive_id"))

@@ -64,3 +64,29 @@ def test_repeated_rows_short_vectors_and_empty_tables(spark):
     assert mine_hard_negatives(frame, F.col("id") == 77).count() == 0
     with pytest.raises(ValueError):
         mine_hard_negatives(spark.createDataFrame([(1, 1, [1 << 40])], "id long, label long, x array<long>"), F.col("id") == 1)
+
+
+@pytest.mark.parametrize("shift", [0, 500])
+def test_groups_of_blocks(spark, monkeypatch, shift):
+    """Several groups, and windows that hold a few rows of a block or nearly all of them."""
+    for name, value in (("ANCHORS", 9), ("ROWS", 40), ("GROUP", 2), ("TILE", 4)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rng = random.Random(shift)
+    rows = [(i, rng.randrange(3), [rng.randint(-99, 99) + shift for _ in range(8)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, label long, x array<long>").repartition(3)
+    want = plain(rows, lambda i: i % 10 == 0, 5, 3, 50, 95)
+    assert sorted(map(tuple, mine_hard_negatives(frame, F.col("id") % 10 == 0).collect())) == want and want
+
+
+def test_no_repeated_blocks_are_broadcast(spark):
+    """Blocks that are repeated for their pairs are far larger than the tables they come from, after which Spark chose to broadcast them."""
+    frame = spark.range(200).selectExpr("id", "id % 3 as label", "array(id, 7L) as x")
+    todo, seen = [mine_hard_negatives(frame, F.col("id") % 10 == 0)._jdf.queryExecution().sparkPlan()], 0
+    while todo:
+        p = todo.pop()
+        seen += p.nodeName() == "Generate"
+        if p.nodeName() == "BroadcastHashJoin":
+            side = (p.left() if str(p.buildSide()) == "BuildLeft" else p.right()).toString()
+            assert "Generate" not in side or "MapInArrow" in side
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert seen
