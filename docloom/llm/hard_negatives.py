@@ -259,28 +259,28 @@ def mine_hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, ne
         right = grouped.select(pair.alias("pair"), F.lit(1).alias("place"), *columns, no_bounds)
         return left.unionAll(right).repartition(min(n_anchors * n_groups, PARTITIONS), "pair").sortWithinPartitions("pair", "place")
 
-    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, bool, pa.ListScalar]]:
-        """(block, whether it is one of anchors, its bounds)."""
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Block, bool, pa.ListScalar]]:
+        """(pair, block, whether it is one of anchors, its bounds); a pair may lack its anchors, where none of them has a bound."""
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in columns}
-                yield _Block(row, dims, kind, primes), batch.column("place")[i].as_py() == 0, batch.column("bounds")[i]
+                yield batch.column("pair")[i].as_py(), _Block(row, dims, kind, primes), batch.column("place")[i].as_py() == 0, batch.column("bounds")[i]
 
     found_schema = pa.schema([("anchor", pa.int64()), ("other", pa.int64()), ("score", pa.int64())])
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = best = None
+        mine = best = of = None
 
         def out() -> pa.RecordBatch:
             at, score, other = best.settle()
             return pa.RecordBatch.from_arrays([pa.array(mine.ids[at]), pa.array(other), pa.array(score)], schema=found_schema)
 
-        for block, is_anchors, _ in blocks_of(batches):
+        for pair, block, is_anchors, _ in blocks_of(batches):
             if is_anchors:
                 if mine is not None:
                     yield out()
-                mine, best = block, _Best(block.n, positives)
-            elif mine is not None:
+                mine, of, best = block, pair, _Best(block.n, positives)
+            elif pair == of:
                 _add_same(best, mine, block)
         if mine is not None:
             yield out()
@@ -297,7 +297,7 @@ def mine_hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, ne
     window_schema = pa.schema([("anchor", pa.int64()), ("bound", pa.int64()), ("other", pa.int64()), ("score", pa.int64())])
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = best = None
+        mine = best = of = None
         windows: tuple = ()
 
         def out() -> pa.RecordBatch:
@@ -305,14 +305,14 @@ def mine_hard_negatives(rows: DataFrame, anchors: Column, positives: int = 5, ne
             many = windows[0].shape[1]
             return pa.RecordBatch.from_arrays([pa.array(mine.ids[at // max(many, 1)]), pa.array(windows[0].ravel()[at]), pa.array(other), pa.array(score)], schema=window_schema)
 
-        for block, is_anchors, told in blocks_of(batches):
+        for pair, block, is_anchors, told in blocks_of(batches):
             if is_anchors:
                 if mine is not None:
                     yield out()
                 anchor, score = (np.array(told.values.field(c)) for c in ("anchor", "score"))
-                mine, windows = block, _windows(block.ids, anchor, score, low, high)
+                mine, of, windows = block, pair, _windows(block.ids, anchor, score, low, high)
                 best = _Best(windows[0].size, negatives)
-            elif mine is not None:
+            elif pair == of:
                 _add_below(best, mine, block, *windows[1:])
         if mine is not None:
             yield out()

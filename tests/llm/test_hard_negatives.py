@@ -78,6 +78,18 @@ def test_groups_of_blocks(spark, monkeypatch, shift):
     assert sorted(map(tuple, mine_hard_negatives(frame, F.col("id") % 10 == 0).collect())) == want and want
 
 
+def test_blocks_of_anchors_without_positives(spark, monkeypatch):
+    """Their pairs have no anchors in the second pass, and must not meet those of the pair before."""
+    for name, value in (("ANCHORS", 1), ("ROWS", 10), ("GROUP", 1), ("PARTITIONS", 1)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rng = random.Random(5)
+    # Half of the anchors have a label of their own.
+    rows = [(i, i if i % 20 == 0 else 1 + (i // 10) % 2, [rng.randint(1, 50) for _ in range(4)]) for i in range(160)]
+    frame = spark.createDataFrame(rows, "id long, label long, x array<long>")
+    want = plain(rows, lambda i: i % 10 == 0, 5, 3, 50, 95)
+    assert sorted(map(tuple, mine_hard_negatives(frame, F.col("id") % 10 == 0).collect())) == want and want
+
+
 def test_no_repeated_blocks_are_broadcast(spark):
     """Blocks that are repeated for their pairs are far larger than the tables they come from, after which Spark chose to broadcast them."""
     frame = spark.range(200).selectExpr("id", "id % 3 as label", "array(id, 7L) as x")
