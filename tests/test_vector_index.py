@@ -65,3 +65,42 @@ def test_large_cells_bad_rows_and_empty_tables(spark):
     got = rows(search_index(index, asked, 3))
     assert [g[:3] for g in got] == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (3, 1, 500), (3, 2, 0), (3, 3, 1)]
     assert search_index(build_index(frame.limit(0)), asked, 3).count() == 0
+
+
+def joined(df):
+    """Rows that the joins of a plan have made."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            todo.append(p.plan())
+        else:
+            if p.nodeName().endswith("Join"):
+                rows += p.metrics().apply("numOutputRows").value()
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return rows
+
+
+def test_no_row_for_each_pair(spark, vectors, questions):
+    """500 vectors and 20 questions that look into all cells: 10,000 pairs."""
+    assert joined(search_index(build_index(vectors), questions, 10, probes=10**6)) < 2000
+
+
+def test_blocks_slots_and_ties(spark, monkeypatch):
+    """Many blocks and slots, keys of text, equal distances and a question that stands twice: as the exact search where all cells are probed."""
+    from docloom.operators import vector_index
+
+    for name, value in (("SLOT_ROWS", 60), ("QUESTIONS", 9), ("ROWS", 16), ("PAIRS", 64)):
+        monkeypatch.setattr(vector_index, name, value)
+    rng = np.random.default_rng(3)
+    data = [(f"k{i:03d}", [float(c) for c in rng.integers(0, 3, 3)]) for i in range(400)]
+    frame = spark.createDataFrame(data, "name string, v array<double>").repartition(3)
+    asked = frame.filter("substr(name, 4) = '0'").selectExpr("name as query_id", "v as query")
+    asked = asked.unionAll(asked.limit(1))
+    found = search_index(build_index(frame, "name", "v", cells=7, part_rows=50), asked, 5, probes=10**6)
+    exact = retrieval.nearest(frame, asked, 5, "name", "v")
+    show = lambda df: sorted((r.query_id, r["rank"], r.name, r.distance) for r in df.collect())
+    assert show(found) == show(exact) and len(show(found)) == 200
